@@ -155,7 +155,8 @@ def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame
                 for name, edges in block:
                     sure, open_ = _box_verdict(edges, *(b[c].to_numpy() for c in ("w", "s", "e", "n")))
                     keep = sure | open_
-                    yield pd.DataFrame({"row": b["row"][keep], "col": b["col"][keep], "region": [name] * int(keep.sum()), "sure": sure[keep]})
+                    if keep.any():
+                        yield pd.DataFrame({"row": b["row"][keep], "col": b["col"][keep], "region": [name] * int(keep.sum()), "sure": sure[keep]})
 
         polygons = dict(block)
 
@@ -164,7 +165,8 @@ def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame
                 keep = b["sure"].to_numpy(dtype=bool).copy()
                 for name, part in b[~keep].groupby("region"):
                     keep[b.index.get_indexer(part.index)] = inside(polygons[name], part["x"].to_numpy(), part["y"].to_numpy())
-                yield pd.DataFrame({c: b[c].to_numpy()[keep].tolist() for c in ("_id", "region")})
+                if keep.any():
+                    yield pd.DataFrame({c: b[c].to_numpy()[keep].tolist() for c in ("_id", "region")})
 
         found = nodes.mapInPandas(classify, f"row bigint, col bigint, region {kind}, sure boolean")
         return p.join(found, ["row", "col"]).select("_id", "x", "y", "region", "sure").mapInPandas(test, f"_id {p.schema['_id'].dataType.simpleString()}, region {kind}")
