@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import splits, topn
+from loam.llm import clusters, splits, topn
+from loam.plans.problems import located
 from loam.sources.tables import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,37 @@ r as (select distinct key, patch_id, oblast_code from target_points_clustered le
 e as (select distinct a.oblast_code x, b.oblast_code y from r a join r b using (patch_id)),
 reach as (select distinct oblast_code x, oblast_code y from r where oblast_code is not null union select reach.x, e.y from reach join e on e.x = reach.y)
 select key, min(m) group_code from r left join (select x, min(y) m from reach group by 1) on x = oblast_code group by 1"""
+
+
+# 6. grouping records into similarity clusters
+
+
+def _clusters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return clusters.pivot_clusters(located(spark, d), "key", "lat", "lon", 500.0)
+
+
+@query
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of neighbouring target records with size, medoid and most typical keys."""
+    return _clusters(spark, d)["clusters"]
+
+
+@query
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of each located target record, and the patch it was given, if any."""
+    patch = table(spark, d, "target_points_clustered").where("key is not null").groupBy("key").agg(F.min("patch_id").alias("patch_id"))
+    return _clusters(spark, d)["members"].select("key", "lat", "lon", "cluster").join(patch, "key", "left")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.linked_groups(_clusters(spark, d), 500.0, 3)
+
+
+SQL["p6_found"] = """with recursive o as (select distinct key, decimalLatitude lat, decimalLongitude lon from heracleum_ua_clean
+  where label_role = 'target' and decimalLatitude between 44.2 and 52.5 and decimalLongitude between 22 and 40.3),
+e as (select distinct a.key x, b.key y from o a join o b on b.lat between a.lat - 0.005 and a.lat + 0.005 and b.lon between a.lon - 0.01 and a.lon + 0.01
+  where 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) < 500),
+reach as (select x, y from e union select reach.x, e.y from reach join e on e.x = reach.y),
+g as (select x key, min(y) cluster_key from reach group by 1)
+select key, cluster_key from g where cluster_key in (select cluster_key from g group by 1 having count(*) >= 3)"""
