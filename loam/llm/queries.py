@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import clusters, splits, topn
+from loam.llm import clusters, splits, survivor, topn
+from loam.operators.lineage import cut
+from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
 from loam.sources.tables import table
 
@@ -115,3 +117,30 @@ e as (select distinct a.key x, b.key y from o a join o b on b.lat between a.lat
 reach as (select x, y from e union select reach.x, e.y from reach join e on e.x = reach.y),
 g as (select x key, min(y) cluster_key from reach group by 1)
 select key, cluster_key from g where cluster_key in (select cluster_key from g group by 1 having count(*) >= 3)"""
+
+
+# 2. best representative of each duplicate group
+
+#: Fields that make a record complete.
+FIELDS = ["datasetName", "institutionCode", "identificationVerificationStatus", "recordedBy", "identifiedBy", "stateProvince", "locality", "individualCount", "coordinateUncertaintyInMeters", "mediaTypes"]
+
+
+@query
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per reported occurrence, its empty fields filled from the next best records of its group."""
+    seen = table(spark, d, "heracleum_ua_clean").select("ingest_id", "key", "speciesKey", "decimalLatitude", "decimalLongitude", "eventDate", "lastInterpreted", *FIELDS)
+    read = interpretations(seen, "eventDate", "Europe/Kyiv")
+    one = F.size(F.array_distinct("instants")) == 1
+    when = F.when(one, F.concat(F.lit("i"), F.col("instants")[0].cast("string"))).when(F.col("day").isNotNull(), F.concat(F.lit("d"), F.col("day").cast("string"))).otherwise(F.coalesce(F.concat(F.lit("t"), F.col("eventDate")), F.lit("n")))
+    lat, lon = (F.when(F.round(c, 5) != 0, F.round(F.round(c, 5) * 100_000).cast("bigint").cast("string")) for c in ("decimalLatitude", "decimalLongitude"))
+    place = F.concat(F.col("speciesKey").cast("string"), F.lit("|"), lat, F.lit("|"), lon, F.lit("|"), when)
+    rows = cut(read.withColumn("_key", F.col("key").cast("string")).withColumn("_place", place).drop("formats", "instants", "day", "key", "speciesKey", "decimalLatitude", "decimalLongitude", "eventDate"))
+    groups = survivor.duplicate_groups(rows, "ingest_id", [F.col("_key"), F.col("_place")])
+    status = F.lower(F.col("identificationVerificationStatus"))
+    trust = F.when(status.contains("expert"), 3).when(status == "verified", 2).when(survivor.filled(status), 1).otherwise(0)
+    return survivor.survivors(rows.join(groups, "ingest_id"), "group", "ingest_id", FIELDS, "lastInterpreted", trust)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_survivors(spark, d).where("n_rows > 1").select("first_id", "survivor_id")
