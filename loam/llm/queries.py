@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import clusters, splits, survivor, topn
+from loam.llm import clusters, packing, splits, survivor, topn
 from loam.operators.lineage import cut
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
@@ -144,3 +144,17 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_survivors(spark, d).where("n_rows > 1").select("first_id", "survivor_id")
+
+
+# 8. filling fixed-capacity containers with items
+
+#: Tokens of a container.
+CAPACITY = 4096
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each text of documents, in tokens, with its place in a container of 4096 tokens."""
+    path, pattern = packing.tokenizer_files()
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_counts(docs, "doc_id", "text", path, pattern), "doc_id", "n_tokens", CAPACITY)
