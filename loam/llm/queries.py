@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import clusters, packing, splits, survivor, topn
+from loam.llm import clusters, packing, quality, splits, survivor, topn
 from loam.operators.lineage import cut
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
@@ -158,3 +158,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     path, pattern = packing.tokenizer_files()
     docs = table(spark, d, "documents").select("doc_id", "text")
     return packing.pack(packing.token_counts(docs, "doc_id", "text", path, pattern), "doc_id", "n_tokens", CAPACITY)
+
+
+# 10. per-document text quality statistics
+
+
+@query
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and kind of every mail."""
+    return quality.quality_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mails whose author mostly wrote a list, a table or junk."""
+    return p10_statistics(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
