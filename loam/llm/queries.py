@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import clusters, packing, quality, splits, survivor, topn
+from loam.llm import clusters, leakage, packing, quality, splits, survivor, topn
 from loam.operators.lineage import cut
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
@@ -173,3 +173,23 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Mails whose author mostly wrote a list, a table or junk."""
     return p10_statistics(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+# 9. evaluation texts leaking into training text
+
+
+@query
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Mails that hold at least 12 consecutive words of a test item, with the number of windows found."""
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@query
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """The test items that leaked and into how many mails."""
+    return p9_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_windows").alias("most_windows"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
