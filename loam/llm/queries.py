@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
-from loam.llm import clusters, leakage, packing, quality, splits, survivor, topn
+from loam.llm import clusters, leakage, names, packing, quality, splits, survivor, topn
 from loam.operators.lineage import cut
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
@@ -193,3 +193,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+# 5. variant spellings of names typed by people
+
+
+@query
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a recorder or identifier and the person or organisation it means."""
+    return names.link_names(table(spark, d, "heracleum_ua_clean").select("recordedBy", "identifiedBy"), ["recordedBy", "identifiedBy"])
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    e = cut(p5_entities(spark, d).where("entity is not null").select("entity", "name"))
+    return e.select("entity", F.col("name").alias("name_a")).join(e.select("entity", F.col("name").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")
