@@ -235,7 +235,8 @@ def near_cores(cores: DataFrame, k: int = EDITS, limit: float = LIMIT, hot: int
     probes = cores.mapInPandas(keys(probe_keys, False), kind)
 
     def meet(i: DataFrame, p: DataFrame) -> DataFrame:
-        return i.select("key", F.col("class"), F.col("core").alias("a")).join(p.select("key", F.col("core").alias("b")), "key").where("a < b").select("class", "a", "b")
+        # the planner cannot know how many keys Python makes of a core, so neither side may be broadcast on its estimate
+        return i.select("key", F.col("class"), F.col("core").alias("a")).join(p.select("key", F.col("core").alias("b")).hint("merge"), "key").where("a < b").select("class", "a", "b")
 
     pairs = meet(index.join(often, "key", "left_anti"), probes)
     deep = meet(index.join(often, "key").mapInPandas(keys(index_keys, True), kind), probes.join(often, "key").mapInPandas(keys(probe_keys, True), kind))
