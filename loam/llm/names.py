@@ -294,6 +294,7 @@ def link_names(df: DataFrame, columns: list[str], k: int = EDITS, limit: float =
     # every pair comes from both ends; the rarer end decides whether a far pair is its nearest
     lower = same.where("su <= sv").withColumn("least", F.min("d").over(Window.partitionBy("u")))
     edges = lower.where((F.col("d") <= SUBSTITUTION) | (F.col("d") == F.col("least"))).select("u", "v")
+    edges = cut(edges)
     short = units.where("startswith(given, '~') and class <> '*'").select("class", "core", F.col("given").alias("mark"), F.col("unit").alias("u"), F.col("support").alias("su"))
     reach = near.union(units.where("class <> '*'").select("class", "core", F.col("core").alias("other"), F.lit(0.0).alias("d")).distinct())
     chance = short.join(reach, ["class", "core"]).join(right, ["class", "other"]).select("u", "mark", "v", "given", "d", "sv").distinct()
@@ -314,7 +315,7 @@ def link_names(df: DataFrame, columns: list[str], k: int = EDITS, limit: float =
     lone = short.join(chosen, "u", "left_anti")
     again = lone.select("class", F.col("core").alias("other"), F.col("mark").alias("mark2"), F.col("u").alias("v"))
     twins = lone.join(reach, ["class", "core"]).join(again, ["class", "other"]).where("u < v and (startswith(mark, mark2) or startswith(mark2, mark) or instr(substring(mark, 2), substring(mark2, 2)) > 0 or instr(substring(mark2, 2), substring(mark, 2)) > 0)").where(F.col("d") <= SUBSTITUTION)
-    found = connected_components(edges.union(chosen).union(twins.select("u", "v")), "u", "v")
+    found = cut(connected_components(edges.union(chosen).union(cut(twins.select("u", "v"))), "u", "v"))
     # a spelling with several readings takes the one that is linked, else the first
     own = read.join(found, read["unit"] == found["node"], "left").groupBy("name").agg(F.min(F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "unit").alias("entity")))["entity"].alias("entity"))
     return names.join(own, "name", "left")
