@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.plans import problems, registry  # noqa: F401
+from loam.plans import problems, registry, relational  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
