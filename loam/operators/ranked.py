@@ -92,3 +92,14 @@ def value_at_rank(df: DataFrame, column: str, k: int) -> float | None:
     r = running_sums(value_counts(df, column), [F.desc(column)], {"upto": F.col("n")})
     got = r.where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)).select(column).first()
     return got[0] if got else None
+
+
+def grouped_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median") -> DataFrame:
+    """``keys + [name]``: exact median per group. Distinct values are counted before the shuffle and a sort that can spill finds the middle, so no group is held in memory."""
+    clean = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    counts = clean.groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    total = clean.groupBy(*keys).agg(F.count("*").alias("_all"))
+    mid = upto.join(total, list(keys)).where((2 * F.col("_upto") >= F.col("_all")) & (2 * (F.col("_upto") - F.col("_n")) <= F.col("_all")))
+    # the middle row, or the mean of the two middle rows if they differ
+    return mid.groupBy(*keys).agg(F.avg("_v").alias(name))
