@@ -62,7 +62,7 @@ def gdd_frost(spark: SparkSession, d: str) -> DataFrame:
     return day.groupBy("point").agg(F.round(F.sum(E.degree_days(F.col("lo"), F.col("hi"), 5.0, 30.0)), 4).alias("gdd"), F.sum((F.col("lo") < 1).cast("int")).alias("frost_days"))
 
 
-@query("select n_nationkey point, date '2020-01-01' + cast(i as integer) date, n_nationkey + i t, case when i % 2 = 0 then n_nationkey * 10.0 + i end p from nation, range(4) r(i)")
+@query("select n_nationkey point, date '2020-01-01' + cast(i as integer) date, n_nationkey + i t, case when i % 2 = 0 then cast(n_nationkey * 10 + i as double) end p from nation, range(4) r(i)")
 def json_map_unpivot(spark: SparkSession, d: str) -> DataFrame:
     """Daily rows from a map of maps, as climate services answer."""
     n = table(spark, d, "nation")

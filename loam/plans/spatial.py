@@ -161,7 +161,7 @@ def growth_azimuth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with b as (select floor(min(x) / 1000) x0, ceil(max(x) / 1000) x1, floor(min(y) / 1000) y0, ceil(max(y) / 1000) y1 from grid_1km_ua)
-select r * 100000 + c cell_id, r "row", c col, c * 1000 + 500.0 x, r * 1000 + 500.0 y from (select unnest(range(cast(y0 as bigint), cast(y1 as bigint))) r, x0, x1 from b) join (select unnest(range(cast(x0 as bigint), cast(x1 as bigint))) c from b) on true""")
+select r * 100000 + c cell_id, r "row", c col, cast(c * 1000 + 500 as double) x, cast(r * 1000 + 500 as double) y from (select unnest(range(cast(y0 as bigint), cast(y1 as bigint))) r, x0, x1 from b) join (select unnest(range(cast(x0 as bigint), cast(x1 as bigint))) c from b) on true""")
 def grid_generate(spark: SparkSession, d: str) -> DataFrame:
     """Every 1 km cell of the bounds of the grid: rows by columns, keyed and centred."""
     b = table(spark, d, "grid_1km_ua").agg(F.floor(F.min("x") / 1000).alias("x0"), F.ceil(F.max("x") / 1000).alias("x1"), F.floor(F.min("y") / 1000).alias("y0"), F.ceil(F.max("y") / 1000).alias("y1"))
@@ -231,7 +231,7 @@ def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with r as (select cast("row" as bigint) "row", cast(col as bigint) col, nullif(case when ("row" + col) % 5 = 0 then -9999.0 else "row" * 0.5 + col end, -9999.0) v from (select distinct cell_id, "row", col from grid_1km_ua where cell_id is not null)),
 p as (select distinct key, cast(floor((2900000 - y3035) / 1000) as bigint) r, cast(floor((x3035 - 5300000) / 1000) as bigint) c from target_points_clustered where key is not null)
-select key, v bio_01 from p left join r on 2899 - r."row" = p.r and r.col - 5300 = p.c""")
+select key, cast(v as double) bio_01 from p left join r on 2899 - r."row" = p.r and r.col - 5300 = p.c""")
 def raster_long_sample(spark: SparkSession, d: str) -> DataFrame:
     """Values of a long raster (one row per pixel, a mark for missing ones) at the target points."""
     from loam.sources.files import sample_raster

@@ -31,13 +31,13 @@ def ser(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("point", "d", "v")
 
 
-YEARLY_SQL = SER_SQL + ", yearly as (select point, year(d) \"year\", round(avg(v), 4) v, count(*) n from ser where point % 7 <> 3 or year(d) <> 1998 group by 1, 2)"
+YEARLY_SQL = SER_SQL + ", yearly as (select point, year(d) \"year\", cast(sum(cast(round(v * 100) as bigint)) as double) / count(*) / 100 v, count(*) n from ser where point % 7 <> 3 or year(d) <> 1998 group by 1, 2)"
 
 
 def yearly(spark: SparkSession, d: str) -> DataFrame:
     """Annual means of the series; some points lack a year, which tells lags by row from lags by year."""
     s = ser(spark, d).withColumn("year", F.year("d")).where("point % 7 <> 3 or year <> 1998")
-    return s.groupBy("point", "year").agg(F.round(F.avg("v"), 4).alias("v"), F.count("*").alias("n"))
+    return s.groupBy("point", "year").agg((F.sum(F.round(F.col("v") * 100).cast("bigint")).cast("double") / F.count("*") / 100).alias("v"), F.count("*").alias("n"))
 
 
 WND_SQL = "wnd as (select user_id point, cast(day(ts) as integer) d, value, ((value * 7) % 360 + 360) % 360 angle, value speed from events)"
