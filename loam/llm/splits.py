@@ -39,8 +39,9 @@ def linked_records(records: DataFrame, key: str, links: list[str]) -> DataFrame:
     lone = r.where("_first is null").groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
     lone = r.where("_first is not null").join(lone, r[key] == lone["_k"], "left_semi").groupBy(F.col(key).alias("_k")).agg(F.min("_first").alias("_borrowed"))
     r = r.join(lone, r[key] == lone["_k"], "left").withColumn("_first", F.coalesce("_first", "_borrowed")).drop("_k", "_borrowed")
-    out = r.join(found, r["_first"] == found["node"], "left")
-    return out.withColumn("component", F.coalesce("component", "_first", own)).drop("_first", "node")
+    found = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    out = r.join(found, r["_first"] == found["_node"], "left")
+    return out.withColumn("component", F.coalesce("_component", "_first", own)).drop("_first", "_node", "_component")
 
 
 def cost_of(totals: np.ndarray, target: np.ndarray) -> float:
