@@ -161,11 +161,14 @@ ATTRIBUTION = re.compile(r"(?i)^(?:on\b.{4,200}\bwrote:|am\b.{4,200}\bschrieb\b.
 ORIGINAL = re.compile(r"(?i)^-{2,}\s*(?:original|forwarded|ursprüngliche|weitergeleitete|wiadomość|oryginalna|przekazana|переслане|пересланное|початкове|оригінальне|начало|begin)\b.*-{2,}$|^begin forwarded message:?$")
 #: Words a greeting or a closing begins with.
 GREETING = re.compile(r"(?i)^(?:hi|hello|dear|hey|good (?:morning|afternoon|evening|day)|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|cześć|witam|witaj|dzień dobry|szanown\w+|drog\w+|вітаю|привіт|добр(?:ий|ого|ої) (?:день|дня|ранку|вечір|вечора)|доброго|шановн\w+|дорог\w+)\b.{0,60}$")
-CLOSING = re.compile(r"(?i)^(?:(?:best|kind|warm)(?: regards| wishes)?|regards|thanks(?: (?:a lot|again|in advance))?|thank you|many thanks|cheers|see you(?: \w+)?|take care|bye|sincerely|yours(?: \w+)?|all the best|(?:viele|beste|liebe|schöne|herzliche|freundliche) grüße|mit (?:freundlichen|besten|herzlichen) grüßen|gruß|bis (?:bald|dann|später)|tschüss|lg|vg|danke|pozdrawiam|do zobaczenia|na razie|pozdrowienia|z poważaniem|dziękuję|serdecznie|з повагою|до зустрічі|бувайте|дякую|щиро|на все добре|всього найкращого|з найкращими побажаннями)\b[^.?!]{0,30}[,!.]?$")
+CLOSING = re.compile(r"(?i)^(?:(?:best|kind|warm)(?: regards| wishes)?|regards|thanks(?: (?:a lot|again|in advance))?|thank you|many thanks|cheers|see you(?: \w+)?|take care|bye|sincerely|yours(?: \w+)?|all the best|(?:viele|beste|liebe|schöne|herzliche|freundliche) grüße|mit (?:freundlichen|besten|herzlichen) grüßen|gruß|bis (?:bald|dann|später)|tschüss|lg|vg|danke|pozdrawiam|do zobaczenia|na razie|pozdrowienia|z poważaniem|dziękuję|serdecznie|з повагою|до зустрічі|бувайте|дякую|щиро|на все добре|всього найкращого|з найкращими побажаннями)\b[^.?!]{0,30}[,!]?$")
 #: How a disclaimer begins.
 DISCLAIMER = re.compile(r"(?i)^(?:confidential(?:ity)?\b|please consider\b|this (?:e-?mail|message|communication)\b.{0,80}|the information (?:contained )?in this|disclaimer|diese (?:e-?mail|nachricht)\b|vertraulich|ta wiadomość\b|niniejsza wiadomość|wiadomość (?:ta )?jest poufna|poufne|це повідомлення\b|цей лист\b|конфіденційно)")
 
 
+_RULED = re.compile(r"([_*=~#-])\1{9,}")
+
+
 class Author(NamedTuple):
     """What is left of a mail for its author: the lines, and how many lines were taken away by reason."""
 
@@ -224,9 +227,11 @@ def author_lines(parts: list[Part]) -> Author:
     while kept and not kept[-1].strip():
         kept.pop()
     for k, x in enumerate(kept):  # a disclaimer runs to the end, a rule above it belongs to it
-        later = sum(bool(y.strip()) for y in kept[k:])
-        ruled = re.fullmatch(r"([_*=~#-])\1{9,}", x.strip()) and later <= 9 and not any(re.fullmatch(r"[|+].*[|+]", y.strip()) for y in kept[k + 1 :])
-        if ruled or DISCLAIMER.match(x.strip()) and later <= 14:
+        ruled = bool(_RULED.fullmatch(x.strip()))
+        if not ruled and not DISCLAIMER.match(x.strip()):
+            continue
+        later = sum(bool(y.strip()) for y in kept[k : k + 200])
+        if ruled and later <= 9 and not any(re.fullmatch(r"[|+].*[|+]", y.strip()) for y in kept[k + 1 :]) or not ruled and later <= 14:
             while k and not kept[k - 1].strip():
                 k -= 1
             boilerplate += later

@@ -33,6 +33,8 @@ _MOJIBAKE = re.compile(r"[ÃÂÐÑ][\x80-\xbf -¿�ŒœŠšŽžŸƒˆ˜–—
 _GARBLED = re.compile(r"Ã[\x80-\xbf¤¶¼Ÿ„–œ�]|[ÐÑ][\x80-\xbf�?][^\s]*[ÐÑ][\x80-\xbf�?]|â€")
 _VOWELS = re.compile(r"[aeiouyäöüąęóаеєиіїоуюяыэё]", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
+_SENTENCE = re.compile(r"[.!?…][\"'»”)\]]*\s*$")
+_ALNUM, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 _END = re.compile(r"[.!?…:;,][\"'»”)\]]*$")
 
 
@@ -41,18 +43,17 @@ def line_kind(line: str) -> str:
     s = line.strip()
     if _RULE.match(s) and "+" in s or s.count("|") >= 2 and _RULE.match(s):
         return "table"
-    letters = sum(c.isalpha() for c in s)
     words = [w for w in _WORD.findall(s) if w[0].isalpha()]
     if _URL.match(s) or _LOG.search(s) or _BLOB.match(s) and (not s.isalpha() or len(s) > 40):
         return "junk"
-    if len(s) > 2 and letters + sum(c.isdigit() for c in s) < 0.3 * len(s.replace(" ", "")) and not _LIST.match(line):
+    if len(s) > 2 and sum(map(len, _ALNUM.findall(s))) < 0.3 * len(s.replace(" ", "")) and not _LIST.match(line):
         return "rule" if len(set(s)) <= 2 else "junk"
     if _GARBLED.search(s) or len(_MOJIBAKE.findall(s)) >= max(2, 0.02 * len(s)):
         return "junk"
     if len(words) >= 5 and len(set(words)) <= 0.5 * len(words):
         return "junk"
     long_ = [w for w in words if len(w) >= 2]
-    if long_ and sum(not _VOWELS.search(w) for w in long_) > 0.6 * len(long_) and len(s) > 5 and not any(c.isdigit() for c in s):
+    if long_ and len(s) > 5 and sum(not _VOWELS.search(w) for w in long_) > 0.6 * len(long_) and not _DIGITS.search(s):
         return "junk"
     if _PIPES.match(s) or "\t" in s or len(_COLUMNS.findall(s)) >= 2 or _CELLS.match(s) and s.count(_CELLS.match(s)[1]) >= 2 and not re.search(r"[;,] ", s):
         return "table"
@@ -81,7 +82,8 @@ def text_statistics(text: str | None) -> dict[str, object]:
     lines = [x for x in own.lines if x.strip()]
     joined = "\n".join(own.lines)
     words = [w.lower() for w in _WORD.findall(joined)]
-    solid = sum(not c.isspace() for c in joined)
+    solid = sum(map(len, joined.split()))
+    alnum, digits = sum(map(len, _ALNUM.findall(joined))), sum(map(len, _DIGITS.findall(joined)))
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", joined) if p.strip()]
     kinds = Counter(line_kind(x) for x in lines)
     n = len(lines) - kinds["rule"]
@@ -103,9 +105,9 @@ def text_statistics(text: str | None) -> dict[str, object]:
         kind = "list"
     return {
         "n_chars": len(text or ""), "n_parts": len(parts), "n_lines": len(lines), "n_words": len(words), "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": sum(not c.isalnum() and not c.isspace() for c in joined) / solid if solid else 0.0,
-        "digit_ratio": sum(c.isdigit() for c in joined) / solid if solid else 0.0,
-        "ending_share": sum(bool(re.search(r"[.!?…][\"'»”)\]]*$", x.rstrip())) for x in lines) / len(lines) if lines else 0.0,
+        "symbol_ratio": (solid - alnum) / solid if solid else 0.0,
+        "digit_ratio": digits / solid if solid else 0.0,
+        "ending_share": sum(bool(_SENTENCE.search(x)) for x in lines) / len(lines) if lines else 0.0,
         "common_share": sum(w in COMMON for w in words) / len(words) if words else 0.0,
         "duplicate_line_share": repeated, "duplicate_paragraph_share": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
         "dominant_ngram_share": _dominant(words, sum(map(len, words))),
