@@ -12,6 +12,7 @@ from loam.llm import clusters, leakage, names, packing, quality, splits, survivo
 from loam.operators.lineage import cut
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
+from loam.plans.timestamps_sql import INSTANTS_SQL
 from loam.sources.tables import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,17 +129,18 @@ FIELDS = ["datasetName", "institutionCode", "identificationVerificationStatus",
 @query
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One record per reported occurrence, its empty fields filled from the next best records of its group."""
-    seen = table(spark, d, "heracleum_ua_clean").select("ingest_id", "key", "speciesKey", "decimalLatitude", "decimalLongitude", "eventDate", "lastInterpreted", *FIELDS)
-    read = interpretations(seen, "eventDate", "Europe/Kyiv")
+    seen = table(spark, d, "heracleum_ua_clean")
+    read = interpretations(seen.select("ingest_id", "key", "speciesKey", "decimalLatitude", "decimalLongitude", "eventDate"), "eventDate", "Europe/Kyiv")
     one = F.size(F.array_distinct("instants")) == 1
     when = F.when(one, F.concat(F.lit("i"), F.col("instants")[0].cast("string"))).when(F.col("day").isNotNull(), F.concat(F.lit("d"), F.col("day").cast("string"))).otherwise(F.coalesce(F.concat(F.lit("t"), F.col("eventDate")), F.lit("n")))
     lat, lon = (F.when(F.round(c, 5) != 0, F.round(F.round(c, 5) * 100_000).cast("bigint").cast("string")) for c in ("decimalLatitude", "decimalLongitude"))
     place = F.concat(F.col("speciesKey").cast("string"), F.lit("|"), lat, F.lit("|"), lon, F.lit("|"), when)
-    rows = cut(read.withColumn("_key", F.col("key").cast("string")).withColumn("_place", place).drop("formats", "instants", "day", "key", "speciesKey", "decimalLatitude", "decimalLongitude", "eventDate"))
-    groups = survivor.duplicate_groups(rows, "ingest_id", [F.col("_key"), F.col("_place")])
+    links = cut(read.select("ingest_id", F.col("key").cast("string").alias("_key"), place.alias("_place")))
+    groups = survivor.duplicate_groups(links, "ingest_id", [F.col("_key"), F.col("_place")])
     status = F.lower(F.col("identificationVerificationStatus"))
     trust = F.when(status.contains("expert"), 3).when(status == "verified", 2).when(survivor.filled(status), 1).otherwise(0)
-    return survivor.survivors(rows.join(groups, "ingest_id"), "group", "ingest_id", FIELDS, "lastInterpreted", trust)
+    rows = seen.select("ingest_id", "lastInterpreted", *FIELDS).join(groups, "ingest_id")
+    return survivor.survivors(rows, "group", "ingest_id", FIELDS, "lastInterpreted", trust, size="group_size")
 
 
 @query
@@ -146,6 +148,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_survivors(spark, d).where("n_rows > 1").select("first_id", "survivor_id")
 
 
+_BLANK = ", ".join("'" + u.replace("'", "''") + "'" for u in survivor.UNKNOWN)
+_FULL = " + ".join(f"coalesce(cast(regexp_replace(lower(trim(regexp_replace(cast({c} as varchar), '\\s+', ' ', 'g'))), '\\.+$', '') not in ({_BLANK}) as integer), 0)" for c in FIELDS)
+SQL["p2_found"] = f"""with recursive {INSTANTS_SQL},
+one as (select ingest_id, min(u) u from instants group by 1 having count(distinct u) = 1), day1 as (select ingest_id, min(dd) dd from days group by 1),
+r as (select ingest_id, key, lastInterpreted, {_FULL} c, case when round(decimalLatitude, 5) <> 0 and round(decimalLongitude, 5) <> 0 then
+  speciesKey || '|' || cast(round(round(decimalLatitude, 5) * 100000) as bigint) || '|' || cast(round(round(decimalLongitude, 5) * 100000) as bigint) || '|' || coalesce('i' || u, 'd' || dd, 't' || eventDate, 'n') end place
+  from heracleum_ua_clean left join one using (ingest_id) left join day1 using (ingest_id)),
+e as (select a.ingest_id x, b.ingest_id y from r a join r b using (key) union select a.ingest_id, b.ingest_id from r a join r b using (place)),
+reach as (select x, y from e union select reach.x, e.y from reach join e on e.x = reach.y),
+g as (select x ingest_id, min(y) first_id from reach group by 1),
+best as (select first_id, ingest_id, count(*) over (partition by first_id) n, row_number() over (partition by first_id order by c desc, lastInterpreted desc nulls last, ingest_id) k from g join r using (ingest_id))
+select first_id, ingest_id survivor_id from best where k = 1 and n > 1"""
+
+
 # 8. filling fixed-capacity containers with items
 
 #: Tokens of a container.

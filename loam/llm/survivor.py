@@ -24,23 +24,29 @@ def filled(value: Column) -> Column:
 
 
 def duplicate_groups(rows: DataFrame, ident: str, links: list[Column]) -> DataFrame:
-    """``(ident, group)`` for all rows: rows that share a non-NULL link value, directly or through others, have one group.
+    """``(ident, group, group_size)`` for all rows: rows that share a non-NULL link value, directly or through others, have one group.
 
-    Links are texts; ``group`` is a text, NULL for a row without any link. Only distinct pairs of link values become edges.
+    Links are texts; ``group`` is a text, NULL with size NULL for a row without any link. Only values that bring different first links together become edges.
     """
     first = F.coalesce(*[F.when(x.isNotNull(), F.concat(F.lit(f"{i}:"), x)) for i, x in enumerate(links)])
     tagged = rows.select(F.col(ident).alias("_id"), first.alias("_first"), *[F.when(x.isNotNull(), F.concat(F.lit(f"{i}:"), x)).alias(f"_l{i}") for i, x in enumerate(links)])
+    # rows of one value of a further link meet at the smallest first link among them; values with one first link need no edge
     edges = None
     for i in range(1, len(links)):
-        e = tagged.select("_first", F.col(f"_l{i}").alias("_other")).where("_other is not null and _other <> _first")
+        other = tagged.where(F.col(f"_l{i}").isNotNull()).select("_first", F.col(f"_l{i}").alias("_other"))
+        shared = other.groupBy("_other").agg(F.min("_first").alias("_low"), F.max("_first").alias("_high")).where("_low <> _high").select("_other", "_low")
+        e = other.join(shared, "_other").select("_first", "_low")
         edges = e if edges is None else edges.union(e)
-    if edges is None:
-        return tagged.select(F.col("_id").alias(ident), F.col("_first").alias("group"))
-    found = connected_components(edges, "_first", "_other")
-    return tagged.join(found, tagged["_first"] == found["node"], "left").select(F.col("_id").alias(ident), F.coalesce("component", "_first").alias("group"))
+    grouped = tagged.select("_id", F.col("_first").alias("group"))
+    if edges is not None:
+        found = connected_components(edges, "_first", "_low")
+        grouped = tagged.join(found, tagged["_first"] == found["node"], "left").select("_id", F.coalesce("component", "_first").alias("group"))
+    grouped = cut(grouped)
+    sizes = grouped.where("group is not null").groupBy("group").agg(F.count("*").alias("group_size"))
+    return grouped.join(sizes, "group", "left").select(F.col("_id").alias(ident), "group", "group_size")
 
 
-def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recency: str, trust: Column | None = None, layers: int = LAYERS) -> DataFrame:
+def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recency: str, trust: Column | None = None, layers: int = LAYERS, size: str | None = None) -> DataFrame:
     """``(group, first_id, n_rows, survivor_id, completeness, recency, trust, fields...)``: one row per non-NULL group.
 
     Method: rows of a group are compared by completeness (number of filled ``fields``), ``recency`` (NULL is oldest) and ``trust``
@@ -52,13 +58,24 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
     Scale: before anything is compared, rows are aggregated to one entry per (group, completeness, trust, recency), and of each
     (group, completeness, trust) only the ``layers`` most recent entries can be in the first ``layers`` layers; so a group of any
     size becomes a few bounded entries, before and in the shuffle. A field none of these layers fills comes from the undominated
-    rows among those that fill it, found by a bounded aggregate too, so nothing is cut off. ``ident`` must be unique. Values are taken
+    rows among those that fill it, found by a bounded aggregate too, so nothing is cut off. Where a column ``size`` tells the rows of
+    the group, rows alone in theirs are taken as they are, without a shuffle. ``ident`` must be unique. Values are taken
     as they are, blanks included; unfilled ones count as missing. An empty table gives no rows.
     """
     full = [filled(F.col(c)) for c in fields]
+    value = {c: F.when(f, F.col(c)) for c, f in zip(fields, full)}
+    single = None
+    if size is not None:
+        alone = rows.where(F.col(group).isNotNull() & (F.col(size) == 1))
+        level = (trust if trust is not None else F.lit(0)).cast("int")
+        single = alone.select(
+            F.col(group).alias("group"), F.col(ident).alias("first_id"), F.lit(1).cast("bigint").alias("n_rows"), F.col(ident).alias("survivor_id"), sum((f.cast("int") for f in full), F.lit(0)).alias("completeness"),
+            F.coalesce(level, F.lit(0)).alias("trust"), F.col(recency).alias("newest"), *[v.alias(c) for c, v in value.items()],
+        )
+        rows = rows.where(F.col(size) > 1)
     r = rows.where(F.col(group).isNotNull()).select(
         F.col(group).alias("_g"), F.col(ident).alias("_id"), F.col(recency).alias("_r"), (trust if trust is not None else F.lit(0)).cast("int").alias("_t"),
-        sum((f.cast("int") for f in full), F.lit(0)).alias("_c"), *[F.when(f, F.col(c)).alias(f"_v{i}") for i, (c, f) in enumerate(zip(fields, full))],
+        sum((f.cast("int") for f in full), F.lit(0)).alias("_c"), *[v.alias(f"_v{i}") for i, v in enumerate(value.values())],
     ).fillna(0, ["_t"])
     values = [F.col(f"_v{i}") for i in range(len(fields))]
     entries = r.groupBy("_g", "_c", "_t", "_r").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"), *[F.min_by(v, F.when(v.isNotNull(), F.col("_id"))).alias(f"_v{i}") for i, v in enumerate(values)])
@@ -87,4 +104,5 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
     rank = F.struct((-F.col("_c")).alias("c"), F.col("_r").isNull().alias("old"), (-F.unix_micros(F.col("_r").cast("timestamp"))).alias("r"), (-F.col("_t")).alias("t"), F.col("_id").alias("id"))
     deep = entries.groupBy("_g").agg(*[F.min_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_d{i}") for i in range(len(fields))], F.max("_r").alias("_newest"))
     out = picked.join(deep, "_g").join(size, "_g")
-    return out.select(F.col("_g").alias("group"), "first_id", "n_rows", "survivor_id", "completeness", "trust", F.col("_newest").alias("newest"), *[F.coalesce(f"_v{i}", f"_d{i}").alias(c) for i, c in enumerate(fields)])
+    out = out.select(F.col("_g").alias("group"), "first_id", "n_rows", "survivor_id", "completeness", "trust", F.col("_newest").alias("newest"), *[F.coalesce(f"_v{i}", f"_d{i}").alias(c) for i, c in enumerate(fields)])
+    return out if single is None else out.unionByName(single)
