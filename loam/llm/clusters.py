@@ -15,7 +15,7 @@ from loam.operators.dualtree import positions_within
 from loam.operators.lineage import cut
 
 #: Side of a spot as a part of the radius: records of a spot count as one item, so an item has a bounded number of neighbours.
-SPOT = 1 / 16
+SPOT = 1 / 10
 #: Similar pairs of items one task may settle (exactly as the rounds would); above it, rounds run on the cluster.
 LOCAL_PAIRS = 1_500_000
 
@@ -88,7 +88,8 @@ def similar_spots(records: DataFrame, radius: float, seed: int) -> tuple[DataFra
         F.sum("lat").alias("slat"), F.sum("lon").alias("slon"),
     ).withColumn("h", F.xxhash64("spot", F.lit(seed))))
     reps = spots.select(F.col("rep.lat").alias("lat"), F.col("rep.lon").alias("lon"))
-    near = positions_within(reps, reps, radius * (1 + 4 * SPOT))
+    # representatives of spots with points nearer than the radius are at most two diagonals further apart
+    near = positions_within(reps, reps, radius * (1 + 2.9 * SPOT))
     near = near.select(_spot(F.col("l_lat"), F.col("l_lon"), radius).alias("a"), _spot(F.col("r_lat"), F.col("r_lon"), radius).alias("b"), F.col("distance_m").alias("d")).where("a < b")
     return rows, spots, cut(near)
 
@@ -96,7 +97,7 @@ def similar_spots(records: DataFrame, radius: float, seed: int) -> tuple[DataFra
 def pivot_clusters(records: DataFrame, key: str, lat: str, lon: str, radius: float, typical: int = 3, seed: int = 0, local_pairs: int = LOCAL_PAIRS, max_rounds: int = 60) -> dict[str, DataFrame]:
     """Divides records into clusters of mutually near ones.
 
-    Method: records of one spot (a square of a sixteenth of ``radius``) are one item, placed at its smallest position. Items
+    Method: records of one spot (a square of a tenth of ``radius``) are one item, placed at its smallest position. Items
     nearer than ``radius`` are similar. Parallel pivot correlation clustering: in rounds, items whose hash is least among their
     active similar items become pivots and absorb these; then every absorbed item moves to its nearest pivot, and the medoid of each
     cluster, the spot nearest to its centre of mass, is computed anew. Every member is similar to the pivot of its cluster.
