@@ -73,7 +73,8 @@ def positions_within(left: DataFrame, right: DataFrame, radius: float) -> DataFr
     pairs = _verdict(pairs, radius).select(f"l_n{LEVELS}", f"r_n{LEVELS}", "sure")
     for k in range(LEVELS - 1, -1, -1):
         lk, rk = f"l_n{k + 1}", f"r_n{k + 1}"
-        pairs = pairs.join(_side(nl[k], "l_"), lk).join(_side(nr[k].select(f"n{k}", f"n{k + 1}", "s", "n", "w", "e"), "r_"), rk)
+        keep = (f"n{k}", f"n{k + 1}", "s", "n", "w", "e")
+        pairs = pairs.join(_side(nl[k].select(*keep), "l_"), lk).join(_side(nr[k].select(*keep), "r_"), rk)
         pairs = _verdict(pairs, radius).select(f"l_n{k}", f"r_n{k}", "sure")
     points = pairs.join(_side(pl.select("n0", "lat", "lon"), "l_"), "l_n0").join(_side(pr.select("n0", "lat", "lon"), "r_"), "r_n0")
     near = points.withColumn("distance_m", great_circle(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("sure") | (F.col("distance_m") <= radius))
@@ -140,7 +141,7 @@ def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame
     coordinates and regions without a polygon match nothing; points outside all regions do not come out; a point in two
     overlapping regions comes out twice, repeated rows repeatedly.
     """
-    p = points.select(F.col(ident).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("not isnan(x) and not isnan(y)")
+    p = points.select(F.col(ident).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     p = p.withColumn("row", F.floor(F.col("y") / leaf)).withColumn("col", F.floor(F.col("x") / leaf))
     nodes = cut(p.groupBy("row", "col").agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n")))
     kind = regions.schema[region_id].dataType.simpleString()
