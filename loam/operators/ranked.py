@@ -20,23 +20,20 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(df.select("*", *[e.alias(f"_v_{k}") for k, e in sums.items()]).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    totals = sorted(placed.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).collect())
-    before: dict[str, dict[int, object]] = {k: {} for k in sums}
-    run = dict.fromkeys(sums, 0)
-    for r in totals:
+    kinds = {k: "bigint" if placed.schema[f"_v_{k}"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double" for k in sums}
+    run: dict[str, float] = dict.fromkeys(sums, 0)
+    offsets = []
+    for r in sorted(placed.groupBy("_part").agg(*[F.sum(F.col(f"_v_{k}").cast(kinds[k])).alias(k) for k in sums]).collect()):
+        offsets.append((r["_part"], *[kind(run[k]) for k, kind in ((k, int if kinds[k] == "bigint" else float) for k in sums)]))
         for k in sums:
-            before[k][r["_part"]] = run[k]
             run[k] += r[k] or 0
+    before = spark.createDataFrame(offsets, "_part int, " + ", ".join(f"_b_{k} {kinds[k]}" for k in sums))
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed
+    # one row per partition: small whatever the data
+    out = placed.join(F.broadcast(before), "_part")
     for k in sums:
-        kind = placed.schema[f"_v_{k}"].dataType.simpleString()
-        kind = "bigint" if kind in ("int", "bigint", "smallint", "tinyint") else "double"
-        start = F.lit(0).cast(kind)
-        if before[k]:
-            start = F.create_map(*[F.lit(x) for p, v in before[k].items() for x in (p, v)])[F.col("_part")].cast(kind)
-        out = out.withColumn(k, start + F.coalesce(F.sum(f"_v_{k}").over(w), F.lit(0)))
-    return out.drop("_part", *[f"_v_{k}" for k in sums])
+        out = out.withColumn(k, F.col(f"_b_{k}") + F.coalesce(F.sum(F.col(f"_v_{k}").cast(kinds[k])).over(w), F.lit(0).cast(kinds[k])))
+    return out.drop("_part", *[f"_{p}_{k}" for k in sums for p in "vb"])
 
 
 def value_counts(df: DataFrame, column: str, extra: dict[str, Column] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ BLOCK_ROWS = 20_000
 
 
 def _xy(df: DataFrame, x: str, y: str, *keep: Column) -> DataFrame:
-    return df.select(*keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("not isnan(x) and not isnan(y)")
+    return df.select(*keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
 def _bucket(c: Column | str, side: float) -> Column:

@@ -9,6 +9,7 @@ from loam.functions.geo import laea_xy
 from loam.operators.dualtree import regions_of, within_distance
 from loam.operators.timestamps import normalise_timestamps
 from loam.plans.registry import query
+from loam.plans.timestamps_sql import FOUND_SQL
 from loam.sources.tables import table
 
 
@@ -19,7 +20,7 @@ def p3_timestamps(spark: SparkSession, d: str) -> DataFrame:
     return normalise_timestamps(seen, "ingest_id", "datasetKey", "eventDate", "Europe/Kyiv").withColumnsRenamed({"ident": "ingest_id", "source": "datasetKey", "value": "eventDate"})
 
 
-@query()
+@query(FOUND_SQL)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose event date names exactly one instant."""
     return p3_timestamps(spark, d).where("n_instants = 1").select("ingest_id", "utc_second")

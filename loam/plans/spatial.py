@@ -240,3 +240,35 @@ def raster_long_sample(spark: SparkSession, d: str) -> DataFrame:
     value = F.when((F.col("row") + F.col("col")) % 5 == 0, -9999.0).otherwise(F.col("row") * 0.5 + F.col("col"))
     raster = cells.select(F.lit("bio_01").alias("band"), (2899 - F.col("row")).cast("bigint").alias("row"), (F.col("col") - 5300).cast("bigint").alias("col"), value.alias("value"))
     return sample_raster(V.pts(spark, d), raster, "x", "y", 5300000.0, 2900000.0, 1000.0, 1000.0, ["bio_01"]).select("key", "bio_01")
+
+
+@query()
+def patch_hulls(spark: SparkSession, d: str) -> DataFrame:
+    """Area, perimeter, centroid, compactness and density of the convex hull of each patch."""
+    from loam.functions.geometry import hulls
+
+    p = V.pts(spark, d).where("patch_id is not null")
+    h = hulls(p, "patch_id", "x", "y").join(p.groupBy("patch_id").agg(F.count("*").alias("n_points")), "patch_id")
+    return h.withColumn("compactness", E.compactness(F.col("hull_area"), F.col("hull_perimeter"))).withColumn("density_km2", F.try_divide(F.col("n_points"), F.nullif(F.col("hull_area") / 1e6, F.lit(0.0))))
+
+
+@query(f"""with {V.PTS_SQL}, a as (select radians("year" * 37.0) t from pts where "year" is not null) select count(*) n, round(sqrt(sum(cos(t)) ** 2 + sum(sin(t)) ** 2) / count(*), 8) r, round((sum(cos(t)) ** 2 + sum(sin(t)) ** 2) / count(*), 5) z from a""")
+def rayleigh(spark: SparkSession, d: str) -> DataFrame:
+    """Rayleigh statistic of a set of directions: resultant length and z."""
+    t = F.radians(F.col("year") * 37.0)
+    s = V.pts(spark, d).where("year is not null").agg(F.count("*").alias("n"), F.sum(F.cos(t)).alias("c"), F.sum(F.sin(t)).alias("s"))
+    return s.select("n", F.round(F.hypot("c", "s") / F.col("n"), 8).alias("r"), F.round((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), 5).alias("z"))
+
+
+@query(f"""with {V.GRID_SQL}, n as (select cell_id, "row", col, coalesce(cast(n_plant_effort as double), 0) v from grid join grid_features_static using (cell_id, "row", col)), m as (select avg(v) m, sum((v - (select avg(v) from n)) ** 2) s, count(*) k from n),
+w as (select a.v av, b.v bv from n a join n b on (abs(a."row" - b."row") + abs(a.col - b.col)) = 1)
+select count(*) pairs, round(max(k) / count(*) * sum((av - m) * (bv - m)) / max(s), 8) moran from w, m""")
+def moran(spark: SparkSession, d: str) -> DataFrame:
+    """Moran's I of a cell value over cells that share a side; neighbours by key, not by distance."""
+    n = V.grid(spark, d).join(table(spark, d, "grid_features_static").select("cell_id", F.coalesce(F.col("n_plant_effort").cast("double"), F.lit(0.0)).alias("v")), "cell_id").select("row", "col", "v")
+    b = n.agg(F.avg("v").alias("m"), F.count("*").alias("k")).first()
+    s = n.agg(F.sum(F.pow(F.col("v") - b["m"], 2))).first()[0]
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    a = n.withColumn("o", F.explode(steps)).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("v").alias("av"))
+    w = a.join(n, ["row", "col"])
+    return w.agg(F.count("*").alias("pairs"), F.sum((F.col("av") - b["m"]) * (F.col("v") - b["m"])).alias("x")).select("pairs", F.round(F.col("x") / s * b["k"] / F.col("pairs"), 8).alias("moran"))

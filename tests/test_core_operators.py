@@ -343,3 +343,36 @@ def test_model_round_trip(spark, tmp_path):
     a, b = ({r["i"]: r["score"] for r in x.collect()} for x in (s, ml.score(again, df)))
     assert a == pytest.approx(b)
     assert ml.elkan_noto(s, "y") > 0.5
+
+
+def test_hulls_merge(spark):
+    from loam.functions.geometry import convex_hull, hulls, ring_measures, wkb_points
+
+    r = np.random.default_rng(3)
+    xy = r.uniform(0, 100, (500, 2))
+    square = [("s", x, y) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (2.0, 1.0))]
+    rows = square + [("r", float(x), float(y)) for x, y in xy] + [("one", 1.0, 1.0), ("line", 0.0, 0.0), ("line", 3.0, 4.0), (None, 1.0, 1.0), ("r", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    got = {x["g"]: x for x in hulls(df, "g", "x", "y", buffer=40).collect()}
+    assert (got["s"]["hull_area"], got["s"]["hull_perimeter"], got["s"]["hull_x"], got["s"]["hull_y"], got["s"]["corners"]) == (12.0, 14.0, 2.0, 1.5, 4)
+    assert got["r"]["hull_area"] == pytest.approx(ring_measures(convex_hull(xy))[0]) and got["one"]["hull_area"] == 0 and got["line"]["hull_perimeter"] == 10.0
+    assert set(got) == {"s", "r", "one", "line"} and hulls(df.where("false"), "g", "x", "y").count() == 0
+    import struct
+
+    poly = struct.pack("<BIII", 1, 3, 1, 4) + struct.pack("<8d", 0, 0, 1, 0, 1, 1, 0, 0)
+    assert wkb_points(poly).tolist() == [[0, 0], [1, 0], [1, 1], [0, 0]] and wkb_points(struct.pack(">BI2d", 0, 1, 5, 6)).tolist() == [[5, 6]]
+
+
+def test_streaming_ingest(spark, tmp_path):
+    from loam.streaming import ingest
+
+    rows = [(1, "2024-01-01 10:00:00", 25.0, 47.0), (1, "2024-01-01 10:05:00", 25.0, 47.0), (2, "2024-01-01 11:00:00", 25.0, 47.0), (3, "2024-01-02 09:00:00", None, 47.0)]
+    spark.createDataFrame(rows, "key long, at string, lon double, lat double").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, at timestamp, lon double, lat double").parquet(str(tmp_path / "in"))
+    first = ingest.first_deliveries(ingest.with_cells(stream, "lon", "lat"), "key", "at")
+    q = ingest.append_parquet(first, str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    counts = ingest.window_counts(ingest.with_cells(batch, "lon", "lat"), ["cell_id"], "at").collect()
+    assert [r["n"] for r in counts] == [3]
