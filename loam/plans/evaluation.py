@@ -186,3 +186,14 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     t = _train(spark, d)
     return ml.ablation(t.where("fold > 0"), t.where("fold = 0"), {"all": FEATURES, "no_effort": FEATURES[:2], "climate": FEATURES[:1]}, model="logistic")
+
+
+@query()
+def shap_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Mean absolute Shapley value of each feature of boosted trees, per quintile of their score."""
+    from loam.operators import shap
+
+    t = _train(spark, d)
+    m = ml.fit(t, FEATURES, "y", trees=5, depth=3)
+    b, _ = ranked.quantile_bins(cut(ml.score(m, t).select("cell_id", "score")), "score", 5, "quintile")
+    return shap.mean_absolute(shap.shap_values(m, t, "cell_id", FEATURES).join(b, "cell_id"), FEATURES, "quintile")

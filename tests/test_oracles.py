@@ -8,7 +8,7 @@ from conftest import DATA
 from loam.plans import catalogue
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
-SLOW = {"pu_train_score", "baseline_ladder", "permutation_importance", "ablation_grid"}
+SLOW = {"pu_train_score", "baseline_ladder", "permutation_importance", "ablation_grid", "shap_strata"}
 
 
 @pytest.mark.skipif(not __import__("pathlib").Path(DATA).exists(), reason="no test data")
