@@ -197,3 +197,19 @@ def shap_strata(spark: SparkSession, d: str) -> DataFrame:
     m = ml.fit(t, FEATURES, "y", trees=5, depth=3)
     b, _ = ranked.quantile_bins(cut(ml.score(m, t).select("cell_id", "score")), "score", 5, "quintile")
     return shap.mean_absolute(shap.shap_values(m, t, "cell_id", FEATURES).join(b, "cell_id"), FEATURES, "quintile")
+
+
+@query(f"""with {V.PTS_SQL}, f as (select cell_id, min("year") first_year from pts where "year" is not null group by 1), {V.GRID_SQL}, g as (select grid.cell_id, first_year from grid left join f using (cell_id)),
+t as (select unnest([2012, 2016, 2020]) t)
+select t, part, count(*) n, count(*) filter (where y = 1) n_pos from (
+  select t, 'train' part, case when first_year <= t then 1 else 0 end y from t, g
+  union all select t, 'test', case when first_year = t + 1 then 1 else 0 end from t, g where first_year is null or first_year > t) group by 1, 2""")
+def temporal_split(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and positives of point-in-time splits: known by the cutoff against first seen the year after; later finds are background, not yet known."""
+    first = V.pts(spark, d).where("year is not null").groupBy("cell_id").agg(F.min("year").alias("first_year"))
+    g = V.grid(spark, d).select("cell_id").join(first, "cell_id", "left")
+    t = F.explode(F.array(*map(F.lit, (2012, 2016, 2020)))).alias("t")
+    rows = g.select("first_year", t)
+    train = rows.select("t", F.lit("train").alias("part"), F.coalesce(F.col("first_year") <= F.col("t"), F.lit(False)).alias("y"))
+    test = rows.where("first_year is null or first_year > t").select("t", F.lit("test").alias("part"), F.coalesce(F.col("first_year") == F.col("t") + 1, F.lit(False)).alias("y"))
+    return train.unionByName(test).groupBy("t", "part").agg(F.count("*").alias("n"), F.count_if("y").alias("n_pos"))

@@ -71,7 +71,7 @@ def dict_map_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select ingest_id, mediaTypes is not null has_media, coalesce(regexp_matches(mediaTypes, 'StillImage|MovingImage'), false) has_picture, coalesce(regexp_matches(datasetName, '(?i)atlas|track|snap'), false) is_citizen,
-basisOfRecord = 'PRESERVED_SPECIMEN' is_preserved, coalesce(nullif(trim(datasetName), ''), upper(institutionCode), 'unknown') dataset_resolved, length(locality) locality_length, starts_with(scientificName, 'Heracleum') is_genus, replace(occurrenceID, 'urn:obs:', '') bare_id from heracleum_ua_clean""")
+basisOfRecord = 'PRESERVED_SPECIMEN' is_preserved, coalesce(nullif(trim(datasetName), ''), upper(institutionCode), 'unknown') dataset_resolved, cast(length(locality) as integer) locality_length, starts_with(scientificName, 'Heracleum') is_genus, replace(occurrenceID, 'urn:obs:', '') bare_id from heracleum_ua_clean""")
 def provenance_flags(spark: SparkSession, d: str) -> DataFrame:
     """Flags from what a record says about where it comes from."""
     return V.obs(spark, d).select(
@@ -82,7 +82,7 @@ def provenance_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k, case when json_array_length(json_keys(props)) > 0 then json_array_length(json_keys(props)) end n_props from (select event_id, props, json_keys(props) ks from events)".replace("json_array_length(json_keys(props))", "len(ks)"))
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k, cast(case when len(json_keys(props)) > 0 then len(json_keys(props)) end as integer) n_props from events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     """A value out of JSON text, and the number of its keys, NULL if there is none."""
     keys = F.size(F.json_object_keys("props"))
@@ -90,7 +90,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select case when month(o_orderdate) in (12, 1, 2) then 'winter' when month(o_orderdate) <= 5 then 'spring' when month(o_orderdate) <= 8 then 'summer' else 'autumn' end season,
-count(*) n, min(dayofyear(o_orderdate)) first_day, max(dayofyear(o_orderdate)) last_day from orders group by 1""")
+count(*) n, cast(min(dayofyear(o_orderdate)) as integer) first_day, cast(max(dayofyear(o_orderdate)) as integer) last_day from orders group by 1""")
 def season_bucket(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.groupBy(E.season(F.month("o_orderdate")).alias("season")).agg(F.count("*").alias("n"), F.min(F.dayofyear("o_orderdate")).alias("first_day"), F.max(F.dayofyear("o_orderdate")).alias("last_day"))
@@ -168,7 +168,7 @@ def percentile_exact(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(x, 6) for x in v)], "p25 double, p50 double, p95 double, p99 double")
 
 
-@query("select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') priorities, len(list(distinct o_orderpriority)) n from orders group by 1")
+@query("select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') priorities, cast(len(list(distinct o_orderpriority)) as integer) n from orders group by 1")
 def collect_sorted_set(spark: SparkSession, d: str) -> DataFrame:
     s = F.array_sort(F.collect_set("o_orderpriority"))
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(s, ",").alias("priorities"), F.size(s).alias("n"))

@@ -13,7 +13,7 @@ from loam.plans.registry import query
 from loam.sources.tables import table
 
 
-@query(f"""with {V.SER_SQL} select point, year(d) "year", round(coalesce(sum(v) filter (where month(d) in (4, 5, 6, 7, 8, 9)), 0), 2) warm_sum, round(avg(v) filter (where month(d) in (12, 1, 2)), 4) winter_mean, count(*) filter (where v > 150000) n_high, round(coalesce(sum(v) filter (where month(d) = 7 and v > 200000), 0), 2) july_high from ser where point is not null group by 1, 2""")
+@query(f"""with {V.SER_SQL} select point, cast(year(d) as integer) "year", round(coalesce(sum(v) filter (where month(d) in (4, 5, 6, 7, 8, 9)), 0), 2) warm_sum, round(avg(v) filter (where month(d) in (12, 1, 2)), 4) winter_mean, count(*) filter (where v > 150000) n_high, round(coalesce(sum(v) filter (where month(d) = 7 and v > 200000), 0), 2) july_high from ser where point is not null group by 1, 2""")
 def conditional_season_sums(spark: SparkSession, d: str) -> DataFrame:
     """Several seasonal sums and means per point and year in one pass."""
     s = V.ser(spark, d).withColumn("year", F.year("d"))

@@ -31,7 +31,7 @@ def ser(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("point", "d", "v")
 
 
-YEARLY_SQL = SER_SQL + ", yearly as (select point, year(d) \"year\", cast(sum(cast(round(v * 100) as bigint)) as double) / count(*) / 100 v, count(*) n from ser where point % 7 <> 3 or year(d) <> 1998 group by 1, 2)"
+YEARLY_SQL = SER_SQL + ", yearly as (select point, cast(year(d) as integer) \"year\", cast(sum(cast(round(v * 100) as bigint)) as double) / count(*) / 100 v, count(*) n from ser where point % 7 <> 3 or year(d) <> 1998 group by 1, 2)"
 
 
 def yearly(spark: SparkSession, d: str) -> DataFrame:
