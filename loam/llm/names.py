@@ -16,6 +16,8 @@ from loam.operators.lineage import cut
 
 #: Edits allowed between two spellings of a surname or place; a substitution weighs a little more than an insertion, deletion or transposition.
 EDITS, SUBSTITUTION, LIMIT = 2, 1.25, 2.25
+#: Letters of the longest surname or place that may be misspelled; longer texts are no typed names and mean the same only if they are equal.
+LONGEST = 100
 #: Index entries of a segment above which its names are told apart by a second segment.
 HOT = 200
 #: Given names and the short or other forms of each (Latin letters; Ukrainian letters are romanised first).
@@ -268,7 +270,7 @@ def link_names(df: DataFrame, columns: list[str], k: int = EDITS, limit: float =
     Surnames and own names that are near (``near_cores``: pigeonhole segment join and banded edit distance) belong together where
     the given names agree: full names by a table of short forms; an initial or shortened name joins the one given name that fits it
     best: nearest surname, then most spellings; if two fit alike it joins neither. A distance above one edit only counts from a
-    spelling's rarer surname to the nearest other. Entities are what is linked, directly or through others; ``entity`` is the smallest
+    spelling's rarer surname to the nearest other; texts of more than ``LONGEST`` letters link only if equal. Entities are what is linked, directly or through others; ``entity`` is the smallest
     unit name in it. Words that say nobody, blanks and NULL mean nobody: ``entity`` is NULL for the former, the latter do not come out.
     Only distinct spellings are joined, so a name in a third of all rows counts once.
     """
@@ -284,7 +286,7 @@ def link_names(df: DataFrame, columns: list[str], k: int = EDITS, limit: float =
     unit = F.concat_ws("|", "core", F.when(F.col("class").startswith("@"), F.col("class")).otherwise(F.col("given")))
     read = read.withColumn("unit", unit)
     units = cut(read.groupBy("core", "class", "given", "unit").agg(F.countDistinct("name").alias("support")))
-    cores = units.where("length(core) >= 5 and class <> '*'").select("core", "class").distinct()
+    cores = units.where(f"length(core) between 5 and {LONGEST} and class <> '*'").select("core", "class").distinct()
     pairs = cut(near_cores(cores, k, limit, hot))
     near = pairs.select("class", F.col("a").alias("core"), F.col("b").alias("other"), "d").union(pairs.select("class", "b", "a", "d"))
     full = units.where("not startswith(given, '~')")

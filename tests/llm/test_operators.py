@@ -417,3 +417,17 @@ def test_statistics(spark):
     assert got[2]["kind"] == got[3]["kind"] == "empty" and got[2]["n_words"] == 0
     assert got[4]["kind"] == "list" and got[4]["list_share"] == 1.0 and got[5]["kind"] == "junk" and got[5]["n_words"] == 60_000
     assert quality.quality_statistics(df.where("false"), "d", "t").count() == 0
+
+
+def test_dominant_share_of_long_texts(monkeypatch):
+    r = random.Random(1)
+    words = [f"w{r.randint(0, 9)}" for _ in range(3000)]
+    few = quality._dominant(words, sum(map(len, words)))
+    monkeypatch.setattr(quality, "_MANY_WORDS", 10)
+    assert quality._dominant(words, sum(map(len, words))) == pytest.approx(few)
+
+
+def test_very_long_names(spark):
+    df = spark.createDataFrame([(LONG,), (LONG,), ("x" * 100_000,), ("Petro Hopepinko",)], "a string")
+    got = names.link_names(df, ["a"]).collect()
+    assert len(got) == 3 and all(r["entity"] for r in got)
