@@ -7,38 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.geo import EARTH_RADIUS, box_distance_bounds, great_circle
 from loam.operators.lineage import cut
 
-#: A node has FAN x FAN children; the tree has LEVELS levels above its leaves, whose side is a quarter of the radius.
-FAN, LEVELS = 4, 3
+#: A node has 4 x 4 children (two bits of each number); the tree has LEVELS levels above its leaves, whose side is a quarter of the radius.
+BITS, LEVELS = 2, 3
 _WIDE = 1 << 32
 
 
+def _parent(node: Column, levels: int) -> Column:
+    """The node some levels up of a node number, which is row * 2^32 + column."""
+    return F.shiftleft(F.shiftright(node, 32 + BITS * levels), 32) + F.shiftright(node.bitwiseAND(F.lit(_WIDE - 1)), BITS * levels)
+
+
 def _positions(df: DataFrame, lat: str, lon: str, leaf: float) -> DataFrame:
-    """Distinct positions with the keys of their nodes at each level (n0: leaf)."""
+    """Distinct positions with the number of their leaf."""
     p = df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     p = p.where("lat between -90 and 90 and lon between -540 and 540").distinct()
-    row, col = F.floor((F.col("lat") + 90) / leaf), F.floor((F.col("lon") + 720) / leaf)
-    for k in range(LEVELS + 1):
-        side = FAN**k
-        p = p.withColumn(f"n{k}", F.floor(row / side) * _WIDE + F.floor(col / side))
-    return p
-
-
-def _nodes(positions: DataFrame) -> list[DataFrame]:
-    """Tight boxes of the nodes at each level, each made from the level below."""
-    box = [F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e")]
-    up = [F.first(f"n{k}").alias(f"n{k}") for k in range(1, LEVELS + 1)]
-    level = positions.groupBy("n0").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), *up)
-    out = [level]
-    for k in range(1, LEVELS + 1):
-        level = level.groupBy(f"n{k}").agg(*box, *[F.first(f"n{j}").alias(f"n{j}") for j in range(k + 1, LEVELS + 1)])
-        out.append(level)
-    return out
+    return p.withColumn("n0", F.floor((F.col("lat") + 90) / leaf) * _WIDE + F.floor((F.col("lon") + 720) / leaf))
+
+
+def _nodes(positions: DataFrame, level: int) -> DataFrame:
+    """Tight boxes (s, n, w, e) of the nodes of a level and the number of their parent: one aggregate, combined before the shuffle."""
+    box = positions.groupBy(_parent(F.col("n0"), level).alias(f"n{level}")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    return box.withColumn(f"n{level + 1}", _parent(F.col(f"n{level}"), 1))
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
@@ -61,20 +56,18 @@ def positions_within(left: DataFrame, right: DataFrame, radius: float) -> DataFr
     reach = F.lit(min(180.0, float(np.degrees(radius / EARTH_RADIUS)) * 40))
     wrapped = right.select("lat", F.explode(F.filter(F.array(F.col("lon"), F.when(F.col("lon") > 180 - reach, F.col("lon") - edge), F.when(F.col("lon") < -180 + reach, F.col("lon") + edge)), lambda x: x.isNotNull())).alias("lon"))
     pr = cut(_positions(wrapped, "lat", "lon", leaf))
-    nl, nr = _nodes(pl), _nodes(pr)
-    top = leaf * FAN**LEVELS
+    top = leaf * 2 ** (BITS * LEVELS)
     pad = F.lit(float(np.degrees(radius / EARTH_RADIUS)) * 1.0001)
     far = F.greatest(F.abs("l_s"), F.abs("l_n")) + pad
     wide = F.when(far >= 89.0, 180.0).otherwise(pad / F.cos(F.radians(F.least(far, F.lit(89.0)))))
     rows = F.sequence(F.floor((F.col("l_s") - pad + 90) / top), F.floor((F.col("l_n") + pad + 90) / top))
     cols = F.sequence(F.floor((F.col("l_w") - wide + 720) / top), F.floor((F.col("l_e") + wide + 720) / top))
-    start = _side(nl[LEVELS], "l_").withColumn("_r", F.explode(rows)).withColumn("_c", F.explode(cols)).withColumn(f"r_n{LEVELS}", F.col("_r") * _WIDE + F.col("_c")).drop("_r", "_c")
-    pairs = start.join(_side(nr[LEVELS], "r_"), f"r_n{LEVELS}").withColumn("sure", F.lit(False))
+    start = _side(_nodes(pl, LEVELS), "l_").withColumn("_r", F.explode(rows)).withColumn("_c", F.explode(cols)).withColumn(f"r_n{LEVELS}", F.col("_r") * _WIDE + F.col("_c")).drop("_r", "_c")
+    pairs = start.join(_side(_nodes(pr, LEVELS), "r_"), f"r_n{LEVELS}").withColumn("sure", F.lit(False))
     pairs = _verdict(pairs, radius).select(f"l_n{LEVELS}", f"r_n{LEVELS}", "sure")
     for k in range(LEVELS - 1, -1, -1):
         lk, rk = f"l_n{k + 1}", f"r_n{k + 1}"
-        keep = (f"n{k}", f"n{k + 1}", "s", "n", "w", "e")
-        pairs = pairs.join(_side(nl[k].select(*keep), "l_"), lk).join(_side(nr[k].select(*keep), "r_"), rk)
+        pairs = pairs.join(_side(_nodes(pl, k), "l_"), lk).join(_side(_nodes(pr, k), "r_"), rk)
         pairs = _verdict(pairs, radius).select(f"l_n{k}", f"r_n{k}", "sure")
     points = pairs.join(_side(pl.select("n0", "lat", "lon"), "l_"), "l_n0").join(_side(pr.select("n0", "lat", "lon"), "r_"), "r_n0")
     near = points.withColumn("distance_m", great_circle(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("sure") | (F.col("distance_m") <= radius))
