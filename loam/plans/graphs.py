@@ -30,15 +30,34 @@ def graph_downstream_50(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with recursive {_DOWN_SQL} select node source, source node, km from down where source <> node and node % 10 = 3")
 def graph_upstream(spark: SparkSession, d: str) -> DataFrame:
+    """The upstream sets of a tenth of the nodes, those its SQL names; ``graph_upstream_all`` has those of all."""
     n = V.net(spark, d).where("node % 10 = 3").select(F.col("node").alias("source"))
     return G.upstream(n, _edges(spark, d))
 
 
+@query(f"with recursive {_DOWN_SQL} select node source, source node, km from down where source <> node")
+def graph_upstream_all(spark: SparkSession, d: str) -> DataFrame:
+    """The upstream set of every node with distances."""
+    return G.upstream(V.net(spark, d).select(F.col("node").alias("source")), _edges(spark, d))
+
+
 @query(f"with recursive {_DOWN_SQL}, p as (select node a, node + 1 b from net where node % 3 = 0 union select node, node // 4 from net where node >= 8) select a, b, min(case when x.node = b or y.node = a then x.km + y.km end) directed, min(x.km + y.km) undirected from p left join (down x join down y on x.node = y.node) on x.source = a and y.source = b group by 1, 2")
 def graph_pair_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the pairs its SQL names, the consecutive ones of a third of the nodes; ``graph_pair_distance_all`` has those of all."""
+    n = V.net(spark, d)
+    return _pair_distances(spark, d, n.where("node % 3 = 0").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).union(n.where("node >= 8").select("node", F.expr("node div 4"))))
+
+
+@query(f"with recursive {_DOWN_SQL}, p as (select node a, node + 1 b from net union select node, node // 4 from net where node >= 8) select a, b, min(case when x.node = b or y.node = a then x.km + y.km end) directed, min(x.km + y.km) undirected from p left join (down x join down y on x.node = y.node) on x.source = a and y.source = b group by 1, 2")
+def graph_pair_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of every node and the next id, and of every node and the one two levels down, with the flow and over the junction."""
+    n = V.net(spark, d)
+    return _pair_distances(spark, d, n.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).union(n.where("node >= 8").select("node", F.expr("node div 4"))))
+
+
+def _pair_distances(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     """Distance of pairs of nodes with the flow, either way, and over the junction of their streams."""
-    n, e = V.net(spark, d), _edges(spark, d)
-    p = n.where("node % 3 = 0").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).union(n.where("node >= 8").select("node", F.expr("node div 4"))).distinct()
+    n, e, p = V.net(spark, d), _edges(spark, d), pairs.distinct()
     one, two = G.pair_distances(p, n, e).withColumnRenamed("km", "directed"), G.pair_distances(p, n, e, undirected=True).withColumnRenamed("km", "undirected")
     return one.join(two, ["a", "b"])
 
