@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import expr as E
 from loam.functions.geo import laea_xy
-from loam.operators import dualtree, spatial
+from loam.operators import dualtree, ml, spatial
 from loam.operators.ranked import running_sums
 from loam.plans import views as V
 from loam.plans.registry import query
@@ -62,8 +62,21 @@ def nearest_point(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {V.PTS_SQL}, {V.GRID_SQL}, b as (select cell_id from grid where exists (select 1 from pts where pts.key % 50 = 0 and sqrt((grid.x - pts.x) ** 2 + (grid.y - pts.y) ** 2) < 5000)) select cell_id from grid where cell_id not in (select cell_id from b)""")
 def buffered_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    """Cells that stay for training: none within 5 km of a test point (the points whose key is divisible by 50)."""
-    g, p = V.grid(spark, d).select("cell_id", "x", "y"), V.pts(spark, d).where("key % 50 = 0").select("key", "x", "y")
+    """Cells with none of the points its SQL names, every fiftieth key, within 5 km; ``buffered_exclusion_blocks`` has the whole test set."""
+    return _outside(spark, d, V.pts(spark, d).where("key % 50 = 0"))
+
+
+@query(f"""with {V.PTS_SQL}, {V.GRID_SQL}, n as (select floor(x / 20000) bx, floor(y / 20000) by_, count(*) n from pts group by 1, 2), o as (select *, sum(n) over (order by md5(concat_ws('|', cast(cast(bx as bigint) as varchar), cast(cast(by_ as bigint) as varchar), '42')), bx, by_) - n before from n),
+test as (select x, y from pts join o on floor(x / 20000) = bx and floor(y / 20000) = by_ where before < 0.2 * (select count(*) from pts))
+select cell_id from grid where not exists (select 1 from test where sqrt((grid.x - test.x) ** 2 + (grid.y - test.y) ** 2) < 5000)""")
+def buffered_exclusion_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that stay for training: none within 5 km of a test point of the 20 km block split, which holds a fifth of all points."""
+    return _outside(spark, d, ml.block_split(V.pts(spark, d), "x", "y", 20000.0, 0.2, 42).where("is_test"))
+
+
+def _outside(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
+    """Grid cells at least 5 km away from all points; points of one place are one."""
+    g, p = V.grid(spark, d).select("cell_id", "x", "y"), points.groupBy("x", "y").agg(F.min("key").alias("key"))
     near = spatial.radius_pairs(g, "cell_id", p, "key", 5000.0).where("distance < 5000").select("cell_id")
     return g.join(near, "cell_id", "left_anti").select("cell_id")
 

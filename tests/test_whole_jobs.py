@@ -33,3 +33,14 @@ def test_pair_distances_of_every_node(spark):
     net = _net(spark)
     got = {(r["a"], r["b"]) for r in QUERIES["graph_pair_distance_all"](spark, DATA).collect()}
     assert got == {(n, n + 1) for n in net} | {(n, n // 4) for n in net if n >= 8}
+
+
+def test_buffer_of_the_whole_block_split(spark):
+    from loam.plans import views
+
+    test = {r["key"] for r in QUERIES["block_running_share"](spark, DATA).where("is_test").collect()}
+    at = [(r["x"], r["y"]) for r in views.pts(spark, DATA).collect() if r["key"] in test]
+    grid = views.grid(spark, DATA).select("cell_id", "x", "y").collect()
+    want = {c for c, x, y in grid if all((x - a) ** 2 + (y - b) ** 2 >= 5000**2 for a, b in at)}
+    assert len(at) > 20 and 0 < len(want) < len(grid)
+    assert {r["cell_id"] for r in QUERIES["buffered_exclusion_blocks"](spark, DATA).collect()} == want
