@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.operators.components import connected_components
 from loam.operators.lineage import cut
@@ -13,7 +17,7 @@ UNKNOWN = (
     "", "-", "--", "?", "na", "n/a", "n.a", "null", "none", "nil", "nan", "unknown", "unspecified", "anonymous", "anon", "not recorded", "not stated", "not given", "not known", "no data",
     "observer not stated", "observer unknown", "collector unknown", "unknown observer", "unknown collector", "<na>", "невідомо", "невідомий", "немає даних", "не вказано", "анонім", "s.n", "nobody", "missing",
 )
-#: Dominance layers that are peeled one by one; a field found in none of them comes from the undominated holders of the field.
+#: Dominance layers that are peeled one by one; groups with a field found in none of them get the layer of each entry from a sorted pass.
 LAYERS = 4
 
 
@@ -46,6 +50,24 @@ def duplicate_groups(rows: DataFrame, ident: str, links: list[Column]) -> DataFr
     return grouped.join(sizes, "group", "left").select(F.col("_id").alias(ident), "group", "group_size")
 
 
+def layer_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``_layer``: the dominance layer of each entry, from 1, of rows sorted by ``_g``, then newest, most complete and most trusted first.
+
+    What beats an entry comes before it, so its layer is one more than the deepest layer so far with at least its completeness and
+    trust. Kept are only the deepest layers of one group by completeness and trust.
+    """
+    group, deepest = None, {}
+    for b in batches:
+        out = []
+        for g, c, t in zip(*(b.column(x).to_pylist() for x in ("_g", "_c", "_t"))):
+            if g != group:
+                group, deepest = g, {}
+            layer = 1 + max((v for (c2, t2), v in deepest.items() if c2 >= c and t2 >= t), default=0)
+            deepest[c, t] = layer
+            out.append(layer)
+        yield b.append_column("_layer", pa.array(out, pa.int32()))
+
+
 def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recency: str, trust: Column | None = None, layers: int = LAYERS, size: str | None = None) -> DataFrame:
     """``(group, first_id, n_rows, survivor_id, completeness, recency, trust, fields...)``: one row per non-NULL group.
 
@@ -57,8 +79,9 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
 
     Scale: before anything is compared, rows are aggregated to one entry per (group, completeness, trust, recency), and of each
     (group, completeness, trust) only the ``layers`` most recent entries can be in the first ``layers`` layers; so a group of any
-    size becomes a few bounded entries, before and in the shuffle. A field none of these layers fills comes from the undominated
-    rows among those that fill it, found by a bounded aggregate too, so nothing is cut off. Where a column ``size`` tells the rows of
+    size becomes a few bounded entries, before and in the shuffle. Only groups with a filled field in none of these layers go on:
+    their entries get their layers in one sorted pass that holds a few numbers (``layer_numbers``), a group in one task, and the
+    field comes from the least layer of its holders, however deep. Where a column ``size`` tells the rows of
     the group, rows alone in theirs are taken as they are, without a shuffle. ``ident`` must be unique. Values are taken
     as they are, blanks included; unfilled ones count as missing. An empty table gives no rows.
     """
@@ -100,9 +123,16 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
     order = F.concat(*[F.col(f"layer{k}") for k in range(layers)])
     packed = packed.withColumn("all", order).withColumn("best", F.col("layer0")[0])
     picked = packed.select("_g", F.col("best.id").alias("survivor_id"), (-F.col("best.c")).alias("completeness"), (-F.col("best.t")).alias("trust"), *[F.get(F.filter(F.col(f"all.v.v{i}"), lambda v: v.isNotNull()), F.lit(0)).alias(f"_v{i}") for i in range(len(fields))])
-    # exact fallback: of the holders of each field, the first by completeness, recency, trust and id is undominated among them
-    rank = F.struct((-F.col("_c")).alias("c"), F.col("_r").isNull().alias("old"), (-F.unix_micros(F.col("_r").cast("timestamp"))).alias("r"), (-F.col("_t")).alias("t"), F.col("_id").alias("id"))
-    deep = entries.groupBy("_g").agg(*[F.min_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_d{i}") for i in range(len(fields))], F.max("_r").alias("_newest"))
-    out = picked.join(deep, "_g").join(size, "_g")
-    out = out.select(F.col("_g").alias("group"), "first_id", "n_rows", "survivor_id", "completeness", "trust", F.col("_newest").alias("newest"), *[F.coalesce(f"_v{i}", f"_d{i}").alias(c) for i, c in enumerate(fields)])
+    held = entries.groupBy("_g").agg(*[F.count(f"_v{i}").alias(f"_h{i}") for i in range(len(fields))], F.max("_r").alias("_newest"))
+    out = cut(picked.join(held, "_g").join(size, "_g"))
+    deep = out.where(F.exists(F.array(*[F.col(f"_v{i}").isNull() & (F.col(f"_h{i}") > 0) for i in range(len(fields))]), lambda x: x)) if fields else out.where("false")
+    if not deep.isEmpty():
+        # the order within a layer, and of the pass over all of them; completeness before recency within a layer only
+        old, micros = F.col("_r").isNull().alias("old"), (-F.unix_micros(F.col("_r").cast("timestamp"))).alias("r")
+        of_deep = entries.join(deep.select("_g"), "_g", "left_semi").repartition("_g").sortWithinPartitions("_g", old, micros, F.desc("_c"), F.desc("_t"))
+        numbered = of_deep.mapInArrow(layer_numbers, T.StructType([*of_deep.schema.fields, T.StructField("_layer", T.IntegerType())]))
+        rank = F.struct("_layer", (-F.col("_c")).alias("c"), old, micros, (-F.col("_t")).alias("t"), F.col("_id").alias("id"))
+        found = numbered.groupBy("_g").agg(*[F.min_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_d{i}") for i in range(len(fields))])
+        out = out.join(found, "_g", "left").withColumns({f"_v{i}": F.coalesce(f"_v{i}", f"_d{i}") for i in range(len(fields))})
+    out = out.select(F.col("_g").alias("group"), "first_id", "n_rows", "survivor_id", "completeness", "trust", F.col("_newest").alias("newest"), *[F.col(f"_v{i}").alias(c) for i, c in enumerate(fields)])
     return out if single is None else out.unionByName(single)

@@ -114,6 +114,34 @@ def test_survivor_deep_fallback(spark):
     assert survivor.survivors(df.where("false"), "g", "id", ["a", "b"], "seen").count() == 0
 
 
+def test_survivor_deep_layers(spark):
+    """Fields whose holders are all below the peeled layers come from the least layer, not from the most complete holder."""
+    six, five = dict.fromkeys("abcdef", "x"), dict.fromkeys("abcde", "x")
+    rows = [(i, "g", r, {**six}) for i, r in enumerate([40, 38, 36, 34, 32, 30, 28, 26, 24, 22])]
+    rows += [(50, "g", 33, {**dict.fromkeys("abcd", "x"), "h": "Y"}), (51, "g", 10, {**five, "h": "X"})]
+    r = random.Random(4)
+    for g in range(6):
+        for i in range(60):
+            row = {c: "x" for c in r.sample("abcdef", r.randrange(7))}
+            t = r.choice([None, *range(40)])
+            if (t is None or t < 12) and len(row) < 4:
+                row["h"] = f"h{g}-{i}"
+            rows.append((100 * (g + 1) + i, f"r{g}", t, row))
+    flat = [(i, g, t, (i * 7) % 3, *[v.get(c) for c in "abcdefh"]) for i, g, t, v in rows]
+    df = spark.createDataFrame(flat, "id long, g string, t int, q int, a string, b string, c string, d string, e string, f string, h string").repartition(5).withColumn("seen", F.timestamp_seconds("t"))
+    deep = 0
+    for trust, level in ((None, lambda x: 0), (F.col("q"), lambda x: x[3])):
+        got = {x["group"]: x for x in survivor.survivors(df, "g", "id", list("abcdefh"), "seen", trust).collect()}
+        for g in got:
+            layers = _layers([(x[0], sum(v is not None for v in x[4:]), -1 if x[2] is None else x[2], level(x), x) for x in flat if x[1] == g])
+            held = [k for k, layer in enumerate(layers) if any(p[4][10] for p in layer)]
+            deep += held[0] >= survivor.LAYERS
+            assert got[g]["h"] == next(p[4][10] for p in sorted(layers[held[0]], key=lambda p: (-p[1], -p[2], -p[3], p[0])) if p[4][10])
+        if trust is None:
+            assert got["g"]["h"] == "Y"
+    assert deep >= 5
+
+
 def test_duplicate_groups(spark):
     df = spark.createDataFrame([(1, "k", "p"), (2, "k", "q"), (3, "l", "q"), (4, "m", None), (5, None, None), (6, None, "p")], "id long, a string, b string")
     got = {r["id"]: r["group"] for r in survivor.duplicate_groups(df, "id", [F.col("a"), F.col("b")]).collect()}
