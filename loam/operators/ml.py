@@ -92,19 +92,25 @@ def rescale(c: Column, constant: float) -> Column:
 def permutation_importance(model, df: DataFrame, features: Sequence[str], key: str, label: str = "y", repeats: int = 2, seed: int = 0) -> DataFrame:
     """``(feature, drop_mean, drop_std)``: loss of average precision when a feature's values are dealt out anew.
 
-    Values are dealt by joining two hash orders on their rank, numbered by running sums, so no task sees the whole column.
+    Values are dealt by joining two hash orders on their rank, numbered by running sums, so no task sees the whole column; all repeats
+    are dealt at once, and all of a feature scored at once. ``key`` must be unique; rows without a label are dealt but do not count.
     """
     from loam.operators.ranked import running_sums
 
-    base = ranking_metrics(score(model, df), "score", F.col(label)).first()["ap"]
+    base = ranking_metrics(score(model, df), "score", F.col(label)).first()
+    reps = df.select(key, *features).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = lambda s: F.md5(F.concat_ws("|", F.col(key).cast("string"), (F.col("_r") + s).cast("string")))  # noqa: E731 as order_hash, a seed per repeat
+    # every repeat has as many rows, so ranks over all of them meet within a repeat
+    a = running_sums(reps.select("_r", key, order(seed).alias("_o")), [F.asc("_r"), F.asc("_o"), F.asc(key)], {"_n": F.lit(1)}).select("_r", key, "_n")
+    b = running_sums(reps.select("_r", F.col(key).alias("_k"), *[F.col(f).alias(f"_new{i}") for i, f in enumerate(features)], order(seed + 1000).alias("_o")), [F.asc("_r"), F.asc("_o"), F.asc("_k")], {"_n": F.lit(1)}).drop("_r", "_k", "_o")
+    dealt = cut(df.select(key, label, *features).join(a, key).join(b, "_n").drop("_n"))
     rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            a = running_sums(df.select(key, order_hash(seed + r, F.col(key)).alias("_o")), [F.asc("_o"), F.asc(key)], {"_n": F.lit(1)}).select(key, "_n")
-            b = running_sums(df.select(f, order_hash(seed + 1000 + r, F.col(key)).alias("_o")), [F.asc("_o")], {"_n": F.lit(1)}).select(F.col(f).alias("_new"), "_n")
-            dealt = df.join(a, key).join(b, "_n").withColumn(f, F.col("_new")).drop("_n", "_new")
-            drops.append(base - ranking_metrics(score(model, dealt), "score", F.col(label)).first()["ap"])
+    for i, f in enumerate(features):
+        got = score(model, dealt.withColumn(f, F.col(f"_new{i}")).select("_r", label, *features)).where(F.col(label).isNotNull())
+        counts = got.groupBy("_r", "score").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("pos"))
+        run = running_sums(counts, [F.asc("_r"), F.desc("score")], {"upto": F.col("n"), "tp": F.col("pos")})
+        steps = F.col("pos") * (F.col("tp") - F.col("_r") * base["n_pos"]) / (F.col("upto") - F.col("_r") * base["n"])
+        drops = [base["ap"] - r["s"] / base["n_pos"] for r in run.groupBy("_r").agg(F.sum(steps).alias("s")).collect()]
         rows.append((f, float(np.mean(drops)), float(np.std(drops))))
     return df.sparkSession.createDataFrame(rows, "feature string, drop_mean double, drop_std double")
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import expr as E
-from loam.operators import metrics, ml, ranked
+from loam.operators import metrics, ml, ranked, spatial
 from loam.operators.lineage import cut
 from loam.operators.relational import keep_first
 from loam.plans import views as V
 from loam.plans.registry import query
+from loam.sources.tables import table
 
 _CURVE_SQL = """c as (select {g} score, count(*) n, sum(y) pos from {t} group by {gn} score), w as (select *, sum(n) over ({p} order by score desc) upto, sum(pos) over ({p} order by score desc) tp from c)"""
 
@@ -20,7 +21,15 @@ def _curve(t: str = "pu", groups: str = "") -> str:
 
 
 _AUC = "sum((n - pos) * (tp - pos / 2)) / (sum(pos) * (sum(n) - sum(pos))) auc, sum(pos * tp / upto) / sum(pos) ap"
-FEATURES = ["bio_01", "elevation_m", "effort"]
+#: All feature columns of grid_features_static; effort is n_plant_effort.
+FEATURES = ["bio_01", "elevation_m", "effort", "bio_12", "slope_deg", "dist_river_m", "dist_road_m", "dist_settlement_m", "network_distance_to_infected_km"]
+FOLDS, REPEATS = 5, 20
+#: The subsets of the reference as far as the table has their columns: effort goes with roads, and of connectivity there is one column.
+_EFFORT, _CONNECTIVITY = {"effort", "dist_road_m"}, {"network_distance_to_infected_km"}
+SUBSETS = {
+    "all": FEATURES, "no_effort": [f for f in FEATURES if f not in _EFFORT], "no_connectivity": [f for f in FEATURES if f not in _CONNECTIVITY],
+    "no_effort_no_connectivity": [f for f in FEATURES if f not in _EFFORT | _CONNECTIVITY], "climate": ["bio_01", "bio_12"],
+}
 
 
 @query(f"with {V.PU_SQL}, {_curve()}, l as (select avg(-y * ln(greatest(least(score, 1 - 1e-7), 1e-7)) - (1 - y) * ln(1 - greatest(least(score, 1 - 1e-7), 1e-7))) loss from pu) select cast(sum(n) as bigint) n, cast(sum(pos) as bigint) n_pos, round(max(auc), 6) auc, round(max(ap), 6) ap, round(max(loss), 6) log_loss from (select sum(n) n, sum(pos) pos, {_AUC} from w), l")
@@ -151,27 +160,32 @@ def folds_group_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
-    p = V.pu(spark, d).select("cell_id", "y", "grp", *FEATURES)
-    return cut(ml.stratified_folds(p, "y", "cell_id", 3, 42))
+    p = V.pu(spark, d).select("cell_id", "y", "grp", *FEATURES[:3])
+    more = table(spark, d, "grid_features_static").groupBy("cell_id").agg(*[F.max(c).cast("double").alias(c) for c in FEATURES[3:]])
+    return cut(ml.stratified_folds(p.join(more, "cell_id"), "y", "cell_id", FOLDS, 42))
 
 
 @query()
 def pu_train_score(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on labelled cells against background: out-of-fold scores, the share of positives labelled, rescaled scores of all cells."""
     t = _train(spark, d)
-    oof = ml.out_of_fold(t, FEATURES, "y", "fold", 3, trees=5, depth=3)
+    oof = ml.out_of_fold(t, FEATURES, "y", "fold", FOLDS)
     c = ml.elkan_noto(oof, "y")
     return oof.select("cell_id", "y", "fold", "score", ml.rescale(F.col("score"), c).alias("calibrated"))
 
 
 @query()
 def baseline_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """A constant, one-feature and logistic baselines against boosted trees, on held-out regions."""
+    """A constant, effort, the nearest positive, and logistic models of climate, infrastructure and all features against boosted trees, on held-out regions."""
     t = _train(spark, d)
     train, test = t.where("grp >= 'VX-18'"), t.where("grp < 'VX-18'")
-    rows = [("constant", *metrics.ranking_metrics(test.withColumn("score", F.lit(0.5)), "score", F.col("y")).first()), ("effort", *metrics.ranking_metrics(test.withColumn("score", F.col("effort").cast("double")), "score", F.col("y")).first())]
-    for name, f, how in (("climate", ["bio_01"], "logistic"), ("logistic", FEATURES, "logistic"), ("trees", FEATURES, "gbt")):
-        m = ml.score(ml.fit(train, f, "y", how, trees=5, depth=3), test)
+    at = V.grid(spark, d).select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    known = train.where("y = 1").join(at, "cell_id").withColumnRenamed("cell_id", "known")
+    near = spatial.nearest(test.join(at, "cell_id"), "cell_id", known, "known", 2000.0, x="px", y="py").select("cell_id", (-F.col("distance")).alias("score"))
+    simple = {"constant": test.withColumn("score", F.lit(0.5)), "effort": test.withColumn("score", F.col("effort").cast("double")), "nearest_positive": test.join(near, "cell_id")}
+    rows = [(name, *metrics.ranking_metrics(m, "score", F.col("y")).first()) for name, m in simple.items()]
+    for name, f, how in (("climate", ["bio_01", "bio_12"], "logistic"), ("infrastructure", ["dist_river_m", "dist_road_m"], "logistic"), ("logistic", FEATURES, "logistic"), ("trees", FEATURES, "gbt")):
+        m = ml.score(ml.fit(train, f, "y", how), test)
         rows.append((name, *metrics.ranking_metrics(m, "score", F.col("y")).first()))
     return spark.createDataFrame([tuple(r) for r in rows], "model string, n bigint, n_pos bigint, auc double, ap double")
 
@@ -179,13 +193,13 @@ def baseline_ladder(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     t = _train(spark, d)
-    return ml.permutation_importance(ml.fit(t, FEATURES, "y", "logistic"), t, FEATURES, "cell_id", repeats=1)
+    return ml.permutation_importance(ml.fit(t, FEATURES, "y"), t, FEATURES, "cell_id", repeats=REPEATS)
 
 
 @query()
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     t = _train(spark, d)
-    return ml.ablation(t.where("fold > 0"), t.where("fold = 0"), {"all": FEATURES, "no_effort": FEATURES[:2], "climate": FEATURES[:1]}, model="logistic")
+    return ml.ablation(t.where("fold > 0"), t.where("fold = 0"), SUBSETS)
 
 
 @query()
@@ -194,7 +208,7 @@ def shap_strata(spark: SparkSession, d: str) -> DataFrame:
     from loam.operators import shap
 
     t = _train(spark, d)
-    m = ml.fit(t, FEATURES, "y", trees=5, depth=3)
+    m = ml.fit(t, FEATURES, "y")
     b, _ = ranked.quantile_bins(cut(ml.score(m, t).select("cell_id", "score")), "score", 5, "quintile")
     return shap.mean_absolute(shap.shap_values(m, t, "cell_id", FEATURES).join(b, "cell_id"), FEATURES, "quintile")
 

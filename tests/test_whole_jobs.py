@@ -44,3 +44,39 @@ def test_buffer_of_the_whole_block_split(spark):
     want = {c for c, x, y in grid if all((x - a) ** 2 + (y - b) ** 2 >= 5000**2 for a, b in at)}
     assert len(at) > 20 and 0 < len(want) < len(grid)
     assert {r["cell_id"] for r in QUERIES["buffered_exclusion_blocks"](spark, DATA).collect()} == want
+
+
+def test_baselines_and_permutations(spark):
+    """All rungs of the ladder over the same cells; importance of every feature column, over repeats that differ."""
+    rungs = {r["model"]: r for r in QUERIES["baseline_ladder"](spark, DATA).collect()}
+    assert {"constant", "nearest_positive", "climate", "infrastructure", "logistic", "trees"} <= set(rungs)
+    assert rungs["nearest_positive"]["n"] == rungs["constant"]["n"] and rungs["infrastructure"]["auc"] is not None
+    got = QUERIES["permutation_importance"](spark, DATA).collect()
+    assert len(got) == 9 and any(r["drop_std"] > 0 for r in got)
+
+
+def test_permutations_are_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    from loam.operators import ml
+
+    rows = [(i, (i * 37) % 11 / 10, (i * 53) % 17 / 10, int((i * 37) % 11 + (i * 5) % 4 > 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = ml.fit(df, ["a", "b"], "y", "logistic")
+
+    def ap(xs):
+        s = {r["id"]: r["score"] for r in ml.score(model, spark.createDataFrame(xs, "id long, a double, b double, y int")).collect()}
+        by = sorted(((s[x[0]], x[3]) for x in xs), reverse=True)
+        at = {v: (sum(p[0] >= v for p in by), sum(p[1] for p in by if p[0] >= v)) for v, _ in by}
+        return sum(y * at[v][1] / at[v][0] for v, y in by) / sum(y for _, y in by)
+
+    o = lambda s: sorted(range(60), key=lambda i: hashlib.md5(f"{i}|{s}".encode()).hexdigest())
+    drops = {"a": [], "b": []}
+    for r in range(3):
+        source = dict(zip(o(r), o(1000 + r)))
+        for k, f in ((1, "a"), (2, "b")):
+            drops[f].append(ap(rows) - ap([(*x[:k], rows[source[x[0]]][k], *x[k + 1 :]) for x in rows]))
+    for r in ml.permutation_importance(model, df, ["a", "b"], "id", repeats=3).collect():
+        assert abs(r["drop_mean"] - np.mean(drops[r["feature"]])) < 1e-9 and abs(r["drop_std"] - np.std(drops[r["feature"]])) < 1e-9
