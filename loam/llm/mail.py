@@ -226,11 +226,16 @@ def author_lines(parts: list[Part]) -> Author:
         i += 1
     while kept and not kept[-1].strip():
         kept.pop()
+    to_end, later = [], 0  # lines that are not blank from each line to the end
+    for x in reversed(kept):
+        later += bool(x.strip())
+        to_end.append(later)
+    to_end.reverse()
     for k, x in enumerate(kept):  # a disclaimer runs to the end, a rule above it belongs to it
         ruled = bool(_RULED.fullmatch(x.strip()))
         if not ruled and not DISCLAIMER.match(x.strip()):
             continue
-        later = sum(bool(y.strip()) for y in kept[k : k + 200])
+        later = to_end[k]
         if ruled and later <= 9 and not any(re.fullmatch(r"[|+].*[|+]", y.strip()) for y in kept[k + 1 :]) or not ruled and later <= 14:
             while k and not kept[k - 1].strip():
                 k -= 1

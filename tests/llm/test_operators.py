@@ -381,6 +381,17 @@ def test_text_parts():
         mail.text_parts(MULTI[:cut_at])
 
 
+def test_lines_after_a_long_blank_stretch():
+    """A line like a disclaimer with much text below it is no disclaimer, however many blank lines are between."""
+    own = [f"Line {i} of the author" for i in range(30)]
+    for first in ("Disclaimer", "=" * 20):
+        text = "Subject: x\n\nMine.\n" + first + "\n" + "\n" * 250 + "\n".join(own)
+        got = mail.author_lines(mail.text_parts(text))
+        assert [x for x in got.lines if x] == ["Mine.", first, *own] and got.boilerplate == 0
+    text = "Subject: x\n\nMine.\nDisclaimer\n" + "\n" * 250 + "\n".join(own[:10])
+    assert mail.author_lines(mail.text_parts(text)) == mail.Author(["Mine."], 0, 11)
+
+
 def test_author_lines():
     text = "Subject: x\n\nHello all,\n\nIt works now. Thanks, it does.\n\nBest regards,\nIvan\n\nOn 2020-01-02, A B wrote:\n> old\n>> older\n-- \nIvan\nphone"
     got = mail.author_lines(mail.text_parts(text))
