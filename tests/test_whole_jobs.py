@@ -80,3 +80,15 @@ def test_permutations_are_brute_force(spark):
             drops[f].append(ap(rows) - ap([(*x[:k], rows[source[x[0]]][k], *x[k + 1 :]) for x in rows]))
     for r in ml.permutation_importance(model, df, ["a", "b"], "id", repeats=3).collect():
         assert abs(r["drop_mean"] - np.mean(drops[r["feature"]])) < 1e-9 and abs(r["drop_std"] - np.std(drops[r["feature"]])) < 1e-9
+
+
+def test_points_in_regions_of_any_shape(spark, tmp_path):
+    pts = [(i, 1, "p", 2020, x, y) for i, (x, y) in enumerate([(1.0, 1.0), (5.0, 5.0), (21.0, 1.0), (29.0, 9.0), (41.0, 1.0), (61.0, 1.0)])]
+    spark.createDataFrame(pts, "key long, cell_id long, patch_id string, year int, x3035 double, y3035 double").write.parquet(str(tmp_path / "target_points_clustered.parquet"))
+    shapes = [
+        ("hole", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"), ("triangle", "POLYGON ((20 0, 30 0, 20 10, 20 0))"),
+        ("two", "MULTIPOLYGON (((40 0, 50 0, 50 10, 40 10, 40 0)), ((60 0, 70 0, 70 10, 60 10, 60 0)))"),
+    ]
+    spark.createDataFrame(shapes, "oblast_code string, geometry_wkt string").write.parquet(str(tmp_path / "admin_units.parquet"))
+    got = {(r["key"], r["oblast_code"]) for r in QUERIES["point_in_polygon"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "hole"), (2, "triangle"), (4, "two"), (5, "two")}
