@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder of the session and read back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is chosen. localCheckpoint is never used: its blocks die with an executor.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the master is this
+    machine (tests) a temporary folder is chosen; on a cluster it is an error, as executors do not share such a
+    folder. localCheckpoint is never used: its blocks die with an executor.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set up if need be: see ``cut``."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loam-checkpoint-"))
+    return sc.getCheckpointDir()

@@ -91,12 +91,27 @@ def value_at_rank(df: DataFrame, column: str, k: int) -> float | None:
     return got[0] if got else None
 
 
+def grouped_runs(counts: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``counts`` with, for each entry of ``sums`` (never negative), its sum within the row's group up to and with the row, and ``_all_`` + its name, that of the whole group.
+
+    One running sum over all rows, the keys leading the order; a group's sum is what it adds to where it began. So a group of any size
+    is spread over many tasks. NULL keys are a group.
+    """
+    run = running_sums(counts, [*[F.asc(k) for k in keys], *order], {f"_run_{k}": e for k, e in sums.items()})
+    own = run.withColumns({f"_own_{k}": F.coalesce(e, F.lit(0)) for k, e in sums.items()})
+    ends = own.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(*[x for k in sums for x in (F.min(F.col(f"_run_{k}") - F.col(f"_own_{k}")).alias(f"_from_{k}"), F.max(f"_run_{k}").alias(f"_to_{k}"))])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    out = own.join(ends, on)
+    return out.select(*counts.columns, *[x for k in sums for x in ((F.col(f"_run_{k}") - F.col(f"_from_{k}")).alias(k), (F.col(f"_to_{k}") - F.col(f"_from_{k}")).alias(f"_all_{k}"))])
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median") -> DataFrame:
-    """``keys + [name]``: exact median per group. Distinct values are counted before the shuffle and a sort that can spill finds the middle, so no group is held in memory."""
+    """``keys + [name]``: exact median per group. Distinct values are counted before the shuffle and numbered by a running sum with the keys in front, so a group of any size is spread over many tasks."""
     clean = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     counts = clean.groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = clean.groupBy(*keys).agg(F.count("*").alias("_all"))
-    mid = upto.join(total, list(keys)).where((2 * F.col("_upto") >= F.col("_all")) & (2 * (F.col("_upto") - F.col("_n")) <= F.col("_all")))
+    run = grouped_runs(counts, keys, [F.asc("_v")], {"_upto": F.col("_n")})
+    mid = run.where((2 * F.col("_upto") >= F.col("_all__upto")) & (2 * (F.col("_upto") - F.col("_n")) <= F.col("_all__upto")))
     # the middle row, or the mean of the two middle rows if they differ
     return mid.groupBy(*keys).agg(F.avg("_v").alias(name))

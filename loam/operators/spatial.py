@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from loam.operators.components import connected_components
 from loam.operators.lineage import cut
+from loam.operators.nearest import nearest_items
 
 #: Rows of the small side of a kernel that go to the tasks at once.
 BLOCK_ROWS = 20_000
 
 
 def _xy(df: DataFrame, x: str, y: str, *keep: Column) -> DataFrame:
-    return df.select(*keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    return df.select(*keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("abs(x) < 1e300 and abs(y) < 1e300")  # neither NULL, NaN nor infinite
 
 
 def _bucket(c: Column | str, side: float) -> Column:
@@ -28,13 +29,17 @@ def _offsets(n: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-n, n + 1) for j in range(-n, n + 1)])
 
 
-def radius_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """``(left_id, right_id, distance)`` of rows at most ``radius`` apart: buckets of that side, the left copied to its 3 x 3 neighbours."""
-    a = _xy(left, x, y, F.col(left_id).alias("_l")).withColumn("o", F.explode(_offsets(1)))
-    a = a.select("_l", F.col("x").alias("lx"), F.col("y").alias("ly"), (_bucket("x", radius) + F.col("o.i")).alias("bx"), (_bucket("y", radius) + F.col("o.j")).alias("by"))
-    b = _xy(right, x, y, F.col(right_id).alias("_r")).select("_r", "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by"))
+def radius_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, radius: float, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
+    """``(left_id, right_id, distance)`` of rows at most ``radius`` apart (optionally with equal ``by`` columns): buckets of that side, the left copied to its 3 x 3 neighbours.
+
+    For pairs that are wanted as rows; to count or test for neighbours use ``radius_counts`` or ``nearest``, which make no pairs.
+    """
+    by = by or []
+    a = _xy(left, x, y, F.col(left_id).alias("_l"), *by).withColumn("o", F.explode(_offsets(1)))
+    a = a.select("_l", *by, F.col("x").alias("lx"), F.col("y").alias("ly"), (_bucket("x", radius) + F.col("o.i")).alias("bx"), (_bucket("y", radius) + F.col("o.j")).alias("by_"))
+    b = _xy(right, x, y, F.col(right_id).alias("_r"), *by).select("_r", *by, "x", "y", _bucket("x", radius).alias("bx"), _bucket("y", radius).alias("by_"))
     d = F.hypot(F.col("lx") - F.col("x"), F.col("ly") - F.col("y"))
-    out = a.join(b, ["bx", "by"]).withColumn("distance", d).where(F.col("distance") <= radius)
+    out = a.join(b, [*by, "bx", "by_"]).withColumn("distance", d).where(F.col("distance") <= radius)
     return out.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id if right_id != left_id else right_id + "_right"), "distance")
 
 
@@ -66,34 +71,14 @@ def radius_counts(left: DataFrame, left_id: str, right: DataFrame, radius: float
     return every.select(F.col("_l").alias(left_id), *by, (F.coalesce("whole", F.lit(0)) + F.coalesce("part", F.lit(0))).alias(name))
 
 
-def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, start: float, x: str = "x", y: str = "y", growth: int = 4, max_rounds: int = 16) -> DataFrame:
-    """``(left_id, right_id, distance)``: the nearest right row of each left row, ties by smaller ``right_id``.
+def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str = "x", y: str = "y") -> DataFrame:
+    """``(left_id, right_id, distance)``: the nearest right row of each left row, ties by smaller ``right_id``; see ``nearest_items``.
 
-    Rounds of growing buckets: a left row looks into the 3 x 3 buckets around it; a neighbour found within one bucket side is the
-    nearest, everyone else goes on with buckets ``growth`` times as large. The first side, ``start``, should be a usual distance.
-    No right rows: no rows. ``left_id`` must be unique.
+    Right rows of one place are one. Rows without finite coordinates match nothing; no right rows: no rows. ``left_id`` must be unique.
     """
-    a = _xy(left, x, y, F.col(left_id).alias("_l"))
-    b = cut(_xy(right, x, y, F.col(right_id).alias("_r")).groupBy("x", "y").agg(F.min("_r").alias("_r")))
-    if b.isEmpty():
-        return a.select(F.col("_l").alias(left_id), F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit(0.0).alias("distance")).where("false")
-    done, side, open_ = [], start, cut(a)
-    for _ in range(max_rounds):
-        c = open_.withColumn("o", F.explode(_offsets(1))).select("_l", F.col("x").alias("lx"), F.col("y").alias("ly"), (_bucket("x", side) + F.col("o.i")).alias("bx"), (_bucket("y", side) + F.col("o.j")).alias("by"))
-        d = F.hypot(F.col("lx") - F.col("x"), F.col("ly") - F.col("y"))
-        hit = c.join(b.withColumn("bx", _bucket("x", side)).withColumn("by", _bucket("y", side)), ["bx", "by"]).groupBy("_l").agg(F.min(F.struct(d.alias("distance"), "_r")).alias("best"))
-        hit = cut(hit.where(F.col("best.distance") <= side))
-        done.append(hit)
-        open_ = cut(open_.join(hit.select("_l"), "_l", "left_anti"))
-        if open_.isEmpty():
-            break
-        side *= growth
-    else:
-        raise RuntimeError("nearest did not settle: start is too small for these distances")
-    out = done[0]
-    for h in done[1:]:
-        out = out.unionByName(h)
-    return out.select(F.col("_l").alias(left_id), F.col("best._r").alias(right_id), F.col("best.distance").alias("distance"))
+    b = _xy(right, x, y, F.col(right_id).alias("_r")).groupBy("x", "y").agg(F.min("_r").alias("_r"))
+    found = nearest_items(_xy(left, x, y, F.col(left_id).alias("_l")), b.select("_r", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2")))
+    return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id if right_id != left_id else right_id + "_right"), "distance")
 
 
 def kernel_sums(targets: DataFrame, target_id: str, sources: DataFrame, kernel, name: str, x: str = "x", y: str = "y", extra: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -178,36 +163,42 @@ def greedy_match(edges: DataFrame, a: str, b: str, order: list[Column], max_roun
     raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
-def spaced_sample(points: DataFrame, ident: str, spacing: float, order: Column, x: str = "x", y: str = "y", within: list[str] | None = None, most: int | None = None, max_rounds: int = 100) -> DataFrame:
+def spaced_sample(points: DataFrame, ident: str, spacing: float, order: Column, x: str = "x", y: str = "y", within: list[str] | None = None, most: int | None = None, max_rounds: int = 200) -> DataFrame:
     """The points a greedy pass in ``order`` keeps so that kept ones (of equal ``within``) are at least ``spacing`` apart; at most ``most`` per ``within``.
 
-    In rounds, points that come before all their open neighbours are kept and these neighbours dropped: the same points a
-    sequential pass keeps, since a pass looks only at earlier points nearby. ``ident`` must be unique; equal orders go by ident.
+    Points lie in squares whose points all exclude each other, so only the first open point of a square can be kept next. In rounds, a
+    square's first is kept if no open point nearby comes before it, and what it excludes is dropped: the same points a sequential pass
+    keeps. Points meet only the firsts of the 25 squares around, never each other, so dense places cost their number of points.
+    ``ident`` must be unique; equal orders go by ident. Points without finite coordinates are kept apart by nothing: they do not come out.
     """
     within = within or []
+    side = spacing / 1.4142135623730951 * (1 - 1e-9)
     base = cut(points.withColumn("_o", F.struct(order.alias("o"), F.col(ident).alias("i"))))
-    flat = base.select(F.struct(*within, "_o").alias("_k"), x, y) if within else base.select(F.struct("_o").alias("_k"), x, y)
-    pairs = radius_pairs(flat, "_k", flat.withColumnRenamed("_k", "_k2"), "_k2", spacing, x, y).where((F.col("distance") < spacing) & (F.col("_k") < F.col("_k2")))
-    for c in within:
-        pairs = pairs.where(F.col(f"_k.{c}").eqNullSafe(F.col(f"_k2.{c}")))
-    pairs = cut(pairs.select(F.col("_k._o").alias("u"), F.col("_k2._o").alias("v")))
-    dropped = None
+    rest = base.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], "_o", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("abs(_x) < 1e300 and abs(_y) < 1e300")
+    rest = cut(rest.withColumn("_cx", _bucket("_x", side)).withColumn("_cy", _bucket("_y", side)))
+    groups = [f"_w{i}" for i in range(len(within))]
+    apart = F.hypot(F.col("p._x") - F.col("h._x"), F.col("p._y") - F.col("h._y")) < spacing
+    kept = None
     for _ in range(max_rounds):
-        if pairs.isEmpty():
+        if rest.isEmpty():
             break
-        later = pairs.select(F.col("v").alias("u")).distinct()
-        keep = pairs.select("u").distinct().join(later, "u", "left_anti")
-        out = cut(pairs.join(keep, "u", "left_semi").select(F.col("v").alias("u")).distinct())
-        dropped = out if dropped is None else dropped.union(out)
-        gone = out.union(keep)
-        pairs = cut(pairs.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti"))
+        heads = cut(rest.groupBy(*groups, "_cx", "_cy").agg(F.min(F.struct("_o", "_x", "_y")).alias("_h")).select(*groups, "_cx", "_cy", "_h._o", "_h._x", "_h._y"))
+        around = heads.withColumn("_s", F.explode(_offsets(2))).withColumn("_nx", F.col("_cx") + F.col("_s.i")).withColumn("_ny", F.col("_cy") + F.col("_s.j")).drop("_s")
+        here = (F.col("p._cx") == F.col("h._nx")) & (F.col("p._cy") == F.col("h._ny"))
+        for g in groups:
+            here = here & F.col(f"p.{g}").eqNullSafe(F.col(f"h.{g}"))
+        late = around.alias("h").join(rest.alias("p"), here & apart & (F.col("p._o") < F.col("h._o")), "left_semi").select("_o").distinct()
+        taken = cut(heads.join(late, "_o", "left_anti"))
+        kept = taken.select("_o") if kept is None else kept.union(taken.select("_o"))
+        reach = around.join(taken.select("_o"), "_o", "left_semi")
+        rest = cut(rest.alias("p").join(reach.alias("h"), here & apart, "left_anti"))
     else:
         raise RuntimeError(f"spacing did not settle in {max_rounds} rounds")
-    kept = base if dropped is None else base.join(dropped, base["_o"] == dropped["u"], "left_anti")
+    out = base.where("false") if kept is None else base.join(kept, "_o", "left_semi")
     if most is not None:
         w = Window.partitionBy(*within).orderBy("_o")
-        kept = kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
-    return kept.drop("_o")
+        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    return out.select(*points.columns)
 
 
 def farthest_points(points: DataFrame, ident: str, k: int, x: str = "x", y: str = "y", seed_id=None, least: float = 0.0) -> DataFrame:
@@ -231,35 +222,12 @@ def farthest_points(points: DataFrame, ident: str, k: int, x: str = "x", y: str
     return points.sparkSession.createDataFrame(chosen, f"{ident} {kind}, x double, y double, step int, distance double")
 
 
-def nearest_segment(points: DataFrame, ident: str, lines: DataFrame, line_id: str, start: float, x: str = "x", y: str = "y", growth: int = 4, max_rounds: int = 12) -> DataFrame:
-    """``(ident, line_id, distance)``: the nearest of line segments ``(line_id, x1, y1, x2, y2)``, ties by smaller id.
+def nearest_segment(points: DataFrame, ident: str, lines: DataFrame, line_id: str, x: str = "x", y: str = "y") -> DataFrame:
+    """``(ident, line_id, distance)``: the nearest of line segments ``(line_id, x1, y1, x2, y2)``, ties by smaller id; see ``nearest_items``.
 
-    As ``nearest``; a segment is in every bucket its box touches, so distances within one bucket side are certain.
+    Segments with a missing end match nothing; repeated segments are one, with their smallest id. ``ident`` must be unique.
     """
-    def seg(px: Column, py: Column) -> Column:
-        vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        t = F.coalesce(F.try_divide((px - F.col("x1")) * vx + (py - F.col("y1")) * vy, vx * vx + vy * vy), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.hypot(px - F.col("x1") - t * vx, py - F.col("y1") - t * vy)
-
-    lines = cut(lines.select(F.col(line_id).alias("_r"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]))
-    open_ = cut(_xy(points, x, y, F.col(ident).alias("_l")))
-    done, side = [], start
-    if lines.isEmpty():
-        return points.select(F.col(ident)).limit(0).withColumn(line_id, F.lit(None)).withColumn("distance", F.lit(0.0))
-    for _ in range(max_rounds):
-        c = open_.withColumn("o", F.explode(_offsets(1))).select("_l", "x", "y", (_bucket("x", side) + F.col("o.i")).alias("bx"), (_bucket("y", side) + F.col("o.j")).alias("by"))
-        spread = lines.withColumn("bx", F.explode(F.sequence(_bucket(F.least("x1", "x2"), side), _bucket(F.greatest("x1", "x2"), side)))).withColumn("by", F.explode(F.sequence(_bucket(F.least("y1", "y2"), side), _bucket(F.greatest("y1", "y2"), side))))
-        hit = c.join(spread, ["bx", "by"]).groupBy("_l").agg(F.min(F.struct(seg(F.col("x"), F.col("y")).alias("distance"), "_r")).alias("best"))
-        hit = cut(hit.where(F.col("best.distance") <= side))
-        done.append(hit)
-        open_ = cut(open_.join(hit.select("_l"), "_l", "left_anti"))
-        if open_.isEmpty():
-            break
-        side *= growth
-    else:
-        raise RuntimeError("nearest did not settle: start is too small for these distances")
-    out = done[0]
-    for h in done[1:]:
-        out = out.unionByName(h)
-    return out.select(F.col("_l").alias(ident), F.col("best._r").alias(line_id), F.col("best.distance").alias("distance"))
+    ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    clean = lines.select(F.col(line_id).alias("_r"), *ends).where(" and ".join(f"abs({c}) < 1e300" for c in ("x1", "y1", "x2", "y2"))).groupBy("x1", "y1", "x2", "y2").agg(F.min("_r").alias("_r"))
+    found = nearest_items(_xy(points, x, y, F.col(ident).alias("_l")), clean.select("_r", "x1", "y1", "x2", "y2"))
+    return found.select(F.col("_l").alias(ident), F.col("_r").alias(line_id), "distance")

@@ -181,7 +181,7 @@ def baseline_ladder(spark: SparkSession, d: str) -> DataFrame:
     train, test = t.where("grp >= 'VX-18'"), t.where("grp < 'VX-18'")
     at = V.grid(spark, d).select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
     known = train.where("y = 1").join(at, "cell_id").withColumnRenamed("cell_id", "known")
-    near = spatial.nearest(test.join(at, "cell_id"), "cell_id", known, "known", 2000.0, x="px", y="py").select("cell_id", (-F.col("distance")).alias("score"))
+    near = spatial.nearest(test.join(at, "cell_id"), "cell_id", known, "known", x="px", y="py").select("cell_id", (-F.col("distance")).alias("score"))
     simple = {"constant": test.withColumn("score", F.lit(0.5)), "effort": test.withColumn("score", F.col("effort").cast("double")), "nearest_positive": test.join(near, "cell_id")}
     rows = [(name, *metrics.ranking_metrics(m, "score", F.col("y")).first()) for name, m in simple.items()]
     for name, f, how in (("climate", ["bio_01", "bio_12"], "logistic"), ("infrastructure", ["dist_river_m", "dist_road_m"], "logistic"), ("logistic", FEATURES, "logistic"), ("trees", FEATURES, "gbt")):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loam.functions.geo import laea_xy
 from loam.operators.dualtree import regions_of, within_distance
 from loam.operators.timestamps import normalise_timestamps
+from loam.plans import views as V
 from loam.plans.registry import query
+from loam.plans.sql import laea_sql
 from loam.plans.timestamps_sql import FOUND_SQL
 from loam.sources.tables import table
 
@@ -56,7 +58,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_near_cells(spark, d).select("ingest_id", "cell_id")
 
 
-@query()
+@query(f"with {V.EDGES_SQL}, a as (" + laea_sql("decimalLongitude", "decimalLatitude").format(f"({_LOCATED_SQL})") + """), b as (select *, m1 / (rq * cos(b0)) d, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) r from a),
+spot as (select ingest_id, 4321000 + r * d * cos(beta) * sin(dl) x, 3210000 + (r / d) * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(dl)) y from b)
+select ingest_id, oblast_code from spot, region_edges group by ingest_id, x, y, oblast_code having """ + V.INSIDE_SQL)
 def p7_regions(spark: SparkSession, d: str) -> DataFrame:
     """The region of admin_units each located target record lies in."""
     seen = located(spark, d)

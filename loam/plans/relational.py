@@ -55,11 +55,11 @@ def dedup_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select o_orderkey, o_totalprice, src from (select *, row_number() over (partition by o_orderkey order by src desc) r from
-(select o_orderkey, o_totalprice, 0 src from orders where o_orderkey % 3 <> 0 union all by name select o_orderkey, o_totalprice * 2 o_totalprice, 1 src from orders where o_orderkey % 2 = 0)) where r = 1""")
+(select o_orderkey, o_totalprice, 0 src from orders union all by name select o_orderkey, o_totalprice * 2 o_totalprice, 1 src from orders where o_orderstatus = 'F')) where r = 1""")
 def union_dedup_last(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    a = o.where("o_orderkey % 3 <> 0").withColumn("src", F.lit(0))
-    b = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(1).alias("src"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    a = o.select("o_orderkey", "o_totalprice", F.lit(0).alias("src"))
+    b = o.where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(1).alias("src"))
     return relational.union_keep_last([a, b], ["o_orderkey"], [F.asc("o_totalprice")])
 
 

@@ -3,34 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import expr as E
 from loam.functions.geo import laea_xy
-from loam.operators import dualtree, ml, spatial
-from loam.operators.ranked import running_sums
+from loam.functions.geometry import hulls
+from loam.operators import batch, dualtree, ml, spatial
+from loam.operators.allocate import allocate_capped
+from loam.operators.lineage import cut
+from loam.operators.ranked import grouped_runs, running_sums
 from loam.plans import views as V
 from loam.plans.registry import query
+from loam.plans.sql import laea_sql
 from loam.sources.tables import table
 
-_A = 6378137.0
-
-
-def _laea_sql(lon: str, lat: str) -> str:
-    """The published closed form in SQL (Snyder 1987)."""
-    e2 = "0.0066943800229007869"
-    e = f"sqrt({e2})"
-
-    def q(s: str) -> str:
-        return f"((1 - {e2}) * (({s}) / (1 - {e2} * ({s}) * ({s})) - ln((1 - {e} * ({s})) / (1 + {e} * ({s}))) / (2 * {e})))"
-
-    s0 = "sin(radians(52.0))"
-    return f"""select *, asin({q('sin(radians(' + lat + '))')} / qp) beta, radians({lon}) - radians(10.0) dl, {_A} * sqrt(qp / 2) rq, asin({q(s0)} / qp) b0, {_A} * cos(radians(52.0)) / sqrt(1 - {e2} * {s0} * {s0}) m1
-from (select *, {q('1.0')} qp from {{0}})"""
-
-
-@query("with a as (" + _laea_sql("lon", "lat").format("(select distinct cell_id, lon, lat from grid_1km_ua where cell_id is not null)") + """), b as (select *, m1 / (rq * cos(b0)) d, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) r from a)
+@query("with a as (" + laea_sql("lon", "lat").format("(select distinct cell_id, lon, lat from grid_1km_ua where cell_id is not null)") + """), b as (select *, m1 / (rq * cos(b0)) d, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) r from a)
 select cell_id, round(4321000 + r * d * cos(beta) * sin(dl), 3) x, round(3210000 + (r / d) * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(dl)), 3) y from b""")
 def laea_projection(spark: SparkSession, d: str) -> DataFrame:
     """Centres of cells projected from degrees to EPSG:3035 metres."""
@@ -56,28 +44,22 @@ def effort_by_year(spark: SparkSession, d: str) -> DataFrame:
 select cell_id, key, round(dd, 6) distance from m qualify row_number() over (partition by cell_id order by dd, key) = 1""")
 def nearest_point(spark: SparkSession, d: str) -> DataFrame:
     """The nearest target point of every grid cell."""
-    n = spatial.nearest(V.grid(spark, d).select("cell_id", "x", "y"), "cell_id", V.pts(spark, d).select("key", "x", "y"), "key", 2000.0)
+    n = spatial.nearest(V.grid(spark, d).select("cell_id", "x", "y"), "cell_id", V.pts(spark, d).select("key", "x", "y"), "key")
     return n.select("cell_id", "key", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""with {V.PTS_SQL}, {V.GRID_SQL}, b as (select cell_id from grid where exists (select 1 from pts where pts.key % 50 = 0 and sqrt((grid.x - pts.x) ** 2 + (grid.y - pts.y) ** 2) < 5000)) select cell_id from grid where cell_id not in (select cell_id from b)""")
-def buffered_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    """Cells with none of the points its SQL names, every fiftieth key, within 5 km; ``buffered_exclusion_blocks`` has the whole test set."""
-    return _outside(spark, d, V.pts(spark, d).where("key % 50 = 0"))
-
-
 @query(f"""with {V.PTS_SQL}, {V.GRID_SQL}, n as (select floor(x / 20000) bx, floor(y / 20000) by_, count(*) n from pts group by 1, 2), o as (select *, sum(n) over (order by md5(concat_ws('|', cast(cast(bx as bigint) as varchar), cast(cast(by_ as bigint) as varchar), '42')), bx, by_) - n before from n),
 test as (select x, y from pts join o on floor(x / 20000) = bx and floor(y / 20000) = by_ where before < 0.2 * (select count(*) from pts))
 select cell_id from grid where not exists (select 1 from test where sqrt((grid.x - test.x) ** 2 + (grid.y - test.y) ** 2) < 5000)""")
-def buffered_exclusion_blocks(spark: SparkSession, d: str) -> DataFrame:
+def buffered_exclusion(spark: SparkSession, d: str) -> DataFrame:
     """Cells that stay for training: none within 5 km of a test point of the 20 km block split, which holds a fifth of all points."""
     return _outside(spark, d, ml.block_split(V.pts(spark, d), "x", "y", 20000.0, 0.2, 42).where("is_test"))
 
 
 def _outside(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
-    """Grid cells at least 5 km away from all points; points of one place are one."""
-    g, p = V.grid(spark, d).select("cell_id", "x", "y"), points.groupBy("x", "y").agg(F.min("key").alias("key"))
-    near = spatial.radius_pairs(g, "cell_id", p, "key", 5000.0).where("distance < 5000").select("cell_id")
+    """Grid cells at least 5 km away from all points: from the nearest one. Without points, all cells."""
+    g = V.grid(spark, d).select("cell_id", "x", "y")
+    near = spatial.nearest(g, "cell_id", points, "key").where("distance < 5000").select("cell_id")
     return g.join(near, "cell_id", "left_anti").select("cell_id")
 
 
@@ -125,43 +107,109 @@ def patch_features(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.concat(F.lit("P"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("patch"), "n_points", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("radius", 4).alias("radius"), "n_cells", "n_years")
 
 
-def _patch_years(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = V.pts(spark, d).where("patch_id is not null and year is not null")
-    g = p.groupBy("patch_id", "year").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"), F.collect_set("cell_id").alias("cells"))
-    return g.where("year < 2015").groupBy("patch_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells")), g.where("year >= 2015").groupBy("patch_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
-
-
-def _edges(spark: SparkSession, d: str, reach: float = 2000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    old, new = _patch_years(spark, d)
-    near = spatial.radius_pairs(old, "patch_id", new.withColumnRenamed("patch_id", "to_id"), "to_id", reach).withColumnRenamed("patch_id", "from_id")
-    both = near.join(old.select(F.col("patch_id").alias("from_id"), F.col("cells").alias("c0")), "from_id").join(new.select(F.col("patch_id").alias("to_id"), F.col("cells").alias("c1")), "to_id")
-    iou = F.size(F.array_intersect("c0", "c1")) / F.size(F.array_union("c0", "c1"))
-    return old, new, both.select("from_id", "to_id", "distance", iou.alias("iou"))
-
+# patches of every year and how they change from year to year
 
-@query()
+_YEARS_SQL = f"""{V.PTS_SQL}, p as (select key, "year", x, y, cell_id from pts where "year" is not null),
+e as (select a.key u, b.key v from p a join p b on a."year" = b."year" and b.x between a.x - 500 and a.x + 500 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 500),
+reach as (select u, v from e union select reach.u, e.v from reach join e on e.u = reach.v),
+c as (select u key, min(v) cluster, count(*) > 1 many from reach group by 1),
+named as (select "year", cluster, "year" || case when many then '_P' else '_S' end || printf('%03d', row_number() over (partition by "year", many order by cluster) - 1) patch from (select distinct "year", cluster, many from c join p using (key))),
+member as (select patch, p.* from p join c using (key) join named using ("year", cluster)),
+cell as (select distinct patch, "year", cell_id from member where cell_id is not null),
+g as (select m.*, coalesce(k, 0) n_cells from (select patch, "year", sum(cast(round(x * 1000) as bigint)) / count(*) / 1000 x, sum(cast(round(y * 1000) as bigint)) / count(*) / 1000 y, count(*) n from member group by 1, 2) m left join (select patch, count(*) k from cell group by 1) using (patch))"""
+_MATCH_SQL = f"""{_YEARS_SQL},
+near as (select a.patch f, b.patch t from g a join g b on b."year" = a."year" + 1 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1000 union select a.patch, b.patch from cell a join cell b on b."year" = a."year" + 1 and a.cell_id = b.cell_id),
+common as (select a.patch f, b.patch t, count(*) k from cell a join cell b on b."year" = a."year" + 1 and a.cell_id = b.cell_id group by 1, 2),
+pair as (select f, t, coalesce(coalesce(k, 0) / nullif(a.n_cells + b.n_cells - coalesce(k, 0), 0), 0) iou, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) dd from near left join common using (f, t) join g a on a.patch = f join g b on b.patch = t),
+o as (select *, row_number() over (order by iou desc, round(dd, 6), f, t) r from pair),
+take as (select cast(0 as bigint) r, cast([] as varchar[]) used, cast(null as varchar) f, cast(null as varchar) t, false ok
+  union all select o.r, case when list_contains(used, '>' || o.f) or list_contains(used, '<' || o.t) then used else list_append(list_append(used, '>' || o.f), '<' || o.t) end, o.f, o.t, not (list_contains(used, '>' || o.f) or list_contains(used, '<' || o.t)) from take join o on o.r = take.r + 1),
+m as (select f, t, iou, dd from take join pair using (f, t) where ok)"""
+
+
+def _centre(c: str) -> Column:
+    """Mean of coordinates to the millimetre, summed as whole numbers: the same in whatever order rows come."""
+    return F.sum(F.round(F.col(c) * 1000).cast("bigint")) / F.count("*") / 1000
+
+
+def _year_patches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patches of each year (clusters linked by 500 m, and points alone), their cells, and the points with a year."""
+    p = cut(V.pts(spark, d).where("year is not null").select("key", "year", "x", "y", "cell_id"))
+    c = spatial.dbscan2(p, "key", 500.0, within=["year"]).select("key", F.coalesce("cluster", "key").alias("cluster"), F.col("cluster").isNotNull().alias("many"))
+    c = cut(p.join(c, "key"))
+    runs = grouped_runs(c.select("year", "many", "cluster").distinct(), ["year", "many"], [F.asc("cluster")], {"k": F.lit(1)})
+    name = F.concat(F.col("year").cast("string"), F.when(F.col("many"), "_P").otherwise("_S"), F.format_string("%03d", F.col("k") - 1))
+    member = cut(c.join(runs.select("year", "cluster", name.alias("patch")), ["year", "cluster"]))
+    cells = member.where("cell_id is not null").select("patch", "year", "cell_id").distinct()
+    g = member.groupBy("patch", "year").agg(_centre("x").alias("x"), _centre("y").alias("y"), F.count("*").alias("n"), F.count_distinct("cell_id").alias("n_cells"))
+    return cut(g), cut(cells), p
+
+
+def _year_matches(g: DataFrame, cells: DataFrame, reach: float = 1000.0) -> DataFrame:
+    """One-to-one matches of patches of a year and the next: those that share cells or whose centres are near, most shared first, then nearest."""
+    ahead = g.select(F.col("patch").alias("to_id"), (F.col("year") - 1).alias("year"), "x", "y")
+    near = spatial.radius_pairs(g.withColumnRenamed("patch", "from_id"), "from_id", ahead, "to_id", reach, by=["year"]).select("from_id", "to_id")
+    later = cells.select(F.col("patch").alias("to_id"), (F.col("year") - 1).alias("year"), "cell_id")
+    common = cut(cells.withColumnRenamed("patch", "from_id").join(later, ["year", "cell_id"]).groupBy("from_id", "to_id").agg(F.count("*").alias("k")))
+    a = g.select(F.col("patch").alias("from_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("n_cells").alias("c0"))
+    b = g.select(F.col("patch").alias("to_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n_cells").alias("c1"))
+    pairs = near.union(common.select("from_id", "to_id")).distinct().join(common, ["from_id", "to_id"], "left").fillna(0, ["k"]).join(a, "from_id").join(b, "to_id")
+    iou = F.coalesce(F.try_divide(F.col("k").cast("double"), F.col("c0") + F.col("c1") - F.col("k")), F.lit(0.0))
+    edges = pairs.select("from_id", "to_id", iou.alias("iou"), F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")).alias("distance"))
+    return spatial.greedy_match(edges, "from_id", "to_id", [F.desc("iou"), F.round("distance", 6).asc(), F.asc("from_id"), F.asc("to_id")])
+
+
+@query(f"with recursive {_MATCH_SQL} select f from_id, t to_id, round(iou, 6) iou, round(dd, 4) distance from m")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Patches before 2015 matched one to one with patches since, by shared cells, then distance."""
-    _, _, e = _edges(spark, d)
-    m = spatial.greedy_match(e, "from_id", "to_id", [F.desc("iou"), F.asc("distance"), F.asc("from_id"), F.asc("to_id")])
-    return m.select("from_id", "to_id", F.round("iou", 6).alias("iou"), F.round("distance", 4).alias("distance"))
-
-
-@query()
+    """Patches of each year matched one to one with those of the next, by shared cells, then distance."""
+    g, cells, _ = _year_patches(spark, d)
+    return _year_matches(g, cells).select("from_id", "to_id", F.round("iou", 6).alias("iou"), F.round("distance", 4).alias("distance"))
+
+
+@query(f"""with recursive {_MATCH_SQL},
+effort as (select patch, (select count(*) from p where p."year" = g."year" and sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) <= 5000) n from g),
+span as (select min("year") y0, max("year") y1 from g),
+survived as (select 'matched' status, a."year" year_from, f patch_from, t patch_to, iou, dd, a.n n0, b.n n1, a.n_cells c0, b.n_cells c1, a.x x0, a.y y0, b.x x1, b.y y1, (select count(*) from cell k join cell l using (cell_id) where k.patch = f and l.patch = t) shared, ea.n e0, eb.n e1
+  from m join g a on a.patch = f join g b on b.patch = t join effort ea on ea.patch = f join effort eb on eb.patch = t)
+select status, year_from, patch_from, patch_to, round(iou, 6) iou, round(dd, 4) distance, round((n1 - n0) / cast(n0 as double), 6) growth, round(ln(n1 / n0), 6) log_ratio, round((degrees(atan2(x1 - x0, y1 - y0)) + 360) % 360, 4) azimuth, c1 - shared new_cells, c0 - shared lost_cells, e0 effort_from, e1 effort_to, round(ln((e1 + 1) / (e0 + 1)), 6) d_log_effort from survived
+union all select 'disappeared', g."year", patch, null, null, null, null, null, null, null, n_cells, effort.n, null, null from g join effort using (patch), span where g."year" < y1 and patch not in (select f from m)
+union all select 'new', g."year" - 1, null, patch, null, null, null, null, null, n_cells, null, null, effort.n, null from g join effort using (patch), span where g."year" > y0 and patch not in (select t from m)""")
 def patch_dynamics(spark: SparkSession, d: str) -> DataFrame:
-    """Matched, disappeared and new patches with growth, shift and direction, and cells gained and lost."""
-    old, new, e = _edges(spark, d)
-    m = spatial.greedy_match(e, "from_id", "to_id", [F.desc("iou"), F.asc("distance"), F.asc("from_id"), F.asc("to_id")]).select("from_id", "to_id", "iou")
-    a = old.select(*[F.col(c).alias(c + "0") for c in old.columns])
-    b = new.select(*[F.col(c).alias(c + "1") for c in new.columns])
-    both = m.join(a, F.col("from_id") == F.col("patch_id0")).join(b, F.col("to_id") == F.col("patch_id1"))
+    """From each year to the next: matched, disappeared and new patches with growth, direction, cells gained and lost, and the change of effort nearby."""
+    g, cells, p = _year_patches(spark, d)
+    m = cut(_year_matches(g, cells))
+    effort = spatial.radius_counts(g, "patch", p, 5000.0, "effort", by=["year"]).select("patch", "effort")
+    g = cut(g.join(effort, "patch"))
+    a = g.select(F.col("patch").alias("patch_from"), F.col("year").alias("year_from"), *[F.col(c).alias(c + "0") for c in ("x", "y", "n", "n_cells", "effort")])
+    b = g.select(F.col("patch").alias("patch_to"), F.col("year").alias("year_to"), *[F.col(c).alias(c + "1") for c in ("x", "y", "n", "n_cells", "effort")])
+    shared = m.select("from_id", "to_id").join(cells.select(F.col("patch").alias("from_id"), "cell_id"), "from_id").join(cells.select(F.col("patch").alias("to_id"), F.col("cell_id").alias("c2")), "to_id").where("cell_id = c2").groupBy("from_id", "to_id").agg(F.count("*").alias("shared"))
+    both = m.join(shared, ["from_id", "to_id"], "left").fillna(0, ["shared"]).join(a, F.col("from_id") == F.col("patch_from")).join(b, F.col("to_id") == F.col("patch_to"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    both = both.select(F.lit("matched").alias("status"), "from_id", "to_id", "iou", E.growth(F.col("n1"), F.col("n0")).alias("growth"), E.log_ratio(F.col("n1"), F.col("n0")).alias("log_ratio"), F.hypot(dx, dy).alias("shift"), E.azimuth(dx, dy).alias("azimuth"), F.size(F.array_except("cells1", "cells0")).alias("new_cells"), F.size(F.array_except("cells0", "cells1")).alias("lost_cells"))
-    gone = a.join(m, F.col("patch_id0") == F.col("from_id"), "left_anti").select(F.lit("disappeared").alias("status"), F.col("patch_id0").alias("from_id"), F.size("cells0").alias("lost_cells"))
-    born = b.join(m, F.col("patch_id1") == F.col("to_id"), "left_anti").select(F.lit("new").alias("status"), F.col("patch_id1").alias("to_id"), F.size("cells1").alias("new_cells"))
+    both = both.select(
+        F.lit("matched").alias("status"), "year_from", "patch_from", "patch_to", F.round("iou", 6).alias("iou"), F.round("distance", 4).alias("distance"), F.round(E.growth(F.col("n1"), F.col("n0")), 6).alias("growth"), F.round(F.log(F.col("n1") / F.col("n0")), 6).alias("log_ratio"),
+        F.round(E.azimuth(dx, dy), 4).alias("azimuth"), (F.col("n_cells1") - F.col("shared")).alias("new_cells"), (F.col("n_cells0") - F.col("shared")).alias("lost_cells"), F.col("effort0").alias("effort_from"), F.col("effort1").alias("effort_to"), F.round(E.log_ratio(F.col("effort1"), F.col("effort0")), 6).alias("d_log_effort"),
+    )
+    span = g.agg(F.min("year").alias("y0"), F.max("year").alias("y1")).first()
+    gone = a.where(F.col("year_from") < F.lit(span["y1"])).join(m, F.col("patch_from") == F.col("from_id"), "left_anti").select(F.lit("disappeared").alias("status"), "year_from", "patch_from", F.col("n_cells0").alias("lost_cells"), F.col("effort0").alias("effort_from"))
+    born = b.where(F.col("year_to") > F.lit(span["y0"])).join(m, F.col("patch_to") == F.col("to_id"), "left_anti").select(F.lit("new").alias("status"), (F.col("year_to") - 1).alias("year_from"), "patch_to", F.col("n_cells1").alias("new_cells"), F.col("effort1").alias("effort_to"))
     return both.unionByName(gone, allowMissingColumns=True).unionByName(born, allowMissingColumns=True)
 
 
+@query(f"""with recursive {_YEARS_SQL} select patch, "year", case when patch like '%P%' then 'cluster' else 'single' end kind, n n_points, n_cells, round(x, 4) cx, round(y, 4) cy, round(r, 4) radius, round(mr, 4) mean_radius
+from g join (select patch, max(sqrt((m.x - g.x) ** 2 + (m.y - g.y) ** 2)) r, avg(sqrt((m.x - g.x) ** 2 + (m.y - g.y) ** 2)) mr from member m join g using (patch) group by 1) using (patch)""")
+def yearly_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Named patches of every year, clusters and points alone, with size, centroid and radii."""
+    p = cut(V.pts(spark, d).where("year is not null").select("key", "year", "x", "y", "cell_id"))
+    c = spatial.dbscan2(p, "key", 500.0, within=["year"]).select("key", F.coalesce("cluster", "key").alias("cluster"), F.col("cluster").isNotNull().alias("many"))
+    c = cut(p.join(c, "key"))
+    f = c.groupBy("year", "cluster", "many").agg(F.count("*").alias("n_points"), F.count_distinct("cell_id").alias("n_cells"), _centre("x").alias("cx"), _centre("y").alias("cy"))
+    off = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    r = c.join(f.select("year", "cluster", "cx", "cy"), ["year", "cluster"]).groupBy("year", "cluster").agg(F.max(off).alias("radius"), F.avg(off).alias("mean_radius"))
+    runs = grouped_runs(f.join(r, ["year", "cluster"]), ["year", "many"], [F.asc("cluster")], {"k": F.lit(1)})
+    name = F.concat(F.col("year").cast("string"), F.when(F.col("many"), "_P").otherwise("_S"), F.format_string("%03d", F.col("k") - 1))
+    return runs.select(name.alias("patch"), "year", F.when(F.col("many"), "cluster").otherwise("single").alias("kind"), "n_points", "n_cells", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius", "mean_radius")])
+
+
 @query("""with p as (select patch_id, count(*) filter (where "year" < 2015) n0, count(*) filter (where "year" >= 2015) n1, avg(x3035) filter (where "year" < 2015) x0, avg(y3035) filter (where "year" < 2015) y0, avg(x3035) filter (where "year" >= 2015) x1, avg(y3035) filter (where "year" >= 2015) y1
 from (select distinct key, patch_id, "year", x3035, y3035 from target_points_clustered where key is not null) where patch_id is not null group by 1)
 select patch_id, round((n1 - n0) / cast(n0 as double), 6) growth, round(ln((n1 + 1) / (n0 + 1)), 6) log_ratio, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 4) shift, round((degrees(atan2(x1 - x0, y1 - y0)) + 360) % 360, 4) azimuth from p where n0 > 0 and n1 > 0""")
@@ -182,62 +230,137 @@ def grid_generate(spark: SparkSession, d: str) -> DataFrame:
     return cells.select((F.col("row") * 100000 + F.col("col")).alias("cell_id"), "row", "col", (F.col("col") * 1000 + 500.0).alias("x"), (F.col("row") * 1000 + 500.0).alias("y"))
 
 
-@query()
+_SPACED_SQL = """spaced as (select grp, cast(0 as bigint) i, cast([] as struct(cell_id bigint, x double, y double)[]) kept from (select distinct grp from ordered)
+  union all select spaced.grp, o.rn, case when len(list_filter(kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 < 8000.0 ** 2)) = 0 then list_append(kept, struct_pack(cell_id := o.cell_id, x := o.x, y := o.y)) else kept end from spaced join ordered o on o.grp = spaced.grp and o.rn = spaced.i + 1),
+spaced_all as (select grp, unnest(kept) k, generate_subscripts(kept, 1) place from (select grp, kept from spaced qualify row_number() over (partition by grp order by i desc) = 1))"""
+_HASH = "((cast('0x' || substr(md5(concat_ws('|', cast(cell_id as varchar), '7')), 1, 12) as bigint) + 0.5) / 281474976710656.0)"
+
+
+@query(f"""with recursive {V.GRID_SQL}, ordered as (select cell_id, oblast_code grp, x, y, row_number() over (partition by oblast_code order by -ln{_HASH}, cell_id) rn from grid where oblast_code is not null), {_SPACED_SQL}
+select k.cell_id cell_id, grp oblast_code, k.x x, k.y y from spaced_all where place <= 12""")
 def spaced_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of each region in weighted random order, at least 8 km apart, 12 per region at most."""
+    """Cells of each region in random order, at least 8 km apart, 12 per region at most: a sampling operator."""
     g = V.grid(spark, d).where("oblast_code is not null").select("cell_id", "oblast_code", "x", "y")
     return spatial.spaced_sample(g, "cell_id", 8000.0, -F.log(E.hash_unit(7, F.col("cell_id"))), within=["oblast_code"], most=12)
 
 
-@query()
+_FAR_SQL = """far as (select 0 step, [struct_pack(key := key, x := x, y := y)] chosen, cast(null as double) dd from (select key, x, y from pool order by seed_order, key limit 1)
+  union all select step + 1, list_append(chosen, struct_pack(key := q.key, x := q.x, y := q.y)), q.dd from far, lateral (select pool.key, pool.x, pool.y, list_min(list_transform(far.chosen, lambda s: sqrt((pool.x - s.x) ** 2 + (pool.y - s.y) ** 2))) dd from pool order by dd desc, pool.key limit 1) q where step + 1 < {k} and q.dd >= {least})"""
+
+
+@query(f"""with recursive {V.PTS_SQL}, pool as (select distinct key, x, y, 0 seed_order from pts), {_FAR_SQL.format(k=20, least=1000)}
+select chosen[step + 1].key key, chosen[step + 1].x x, chosen[step + 1].y y, step, round(case when step = 0 then null else dd end, 4) distance from far""")
 def farthest_points(spark: SparkSession, d: str) -> DataFrame:
     """Twenty points spread as widely as greedy choice can."""
-    return spatial.farthest_points(V.pts(spark, d), "key", 20, least=1000.0)
+    return spatial.farthest_points(V.pts(spark, d), "key", 20, least=1000.0).withColumn("distance", F.round("distance", 4))
 
 
-@query()
+_ALLOC_SQL = """alloc as (select 0 step, list(struct_pack(c := c, w := 100.0 * (w / whole), g := 1) order by c) st from (select c, w, sum(w) over () whole from weights)
+  union all select step + 1, list_transform(st, lambda e: struct_pack(c := e.c, w := e.w, g := e.g + cast(e.c = pick as integer))) from (select step, st, list_sort(list_transform(list_filter(st, lambda e: e.g < 12), lambda e: struct_pack(d := e.g - e.w, c := e.c)))[1].c pick from alloc where step < 100 - len(st)) where pick is not null),
+places as (select e.c c, e.g n from (select unnest(st) e from (select st from alloc order by step desc limit 1)))"""
+
+
+@query(f"""with recursive {V.PTS_SQL}, {V.GRID_SQL}, weights as (select oblast_code c, cast(count(*) as double) w from pts join (select cell_id, oblast_code from grid) using (cell_id) where oblast_code is not null group by 1), {_ALLOC_SQL} select c oblast_code, n from places""")
 def capped_alloc(spark: SparkSession, d: str) -> DataFrame:
     """A hundred places shared among regions in proportion to their target points, 1 to 12 each."""
-    from loam.operators.allocate import allocate_capped
-
     g = V.grid(spark, d).select("cell_id", "oblast_code")
     w = V.pts(spark, d).join(g, "cell_id").where("oblast_code is not null").groupBy("oblast_code").count()
     got = allocate_capped({r["oblast_code"]: float(r["count"]) for r in w.collect()}, 100)
     return spark.createDataFrame(sorted(got.items()), "oblast_code string, n int")
 
 
-@query(f"""with {V.PTS_SQL},
-box as (select oblast_code, list_min(list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 1), lambda v: cast(v as double))) x0, list_max(list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 1), lambda v: cast(v as double))) x1,
-list_min(list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 2), lambda v: cast(v as double))) y0, list_max(list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 2), lambda v: cast(v as double))) y1 from admin_units where len(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)')) = 5)
-select key, oblast_code from pts join box on x >= x0 and x < x1 and y >= y0 and y < y1""")
+@query(f"""with recursive {V.PU_SQL}, {V.GRID_SQL}, work as (select cell_id, p.x, p.y, oblast_code, score, abs(score - score2) gap, pu.y label, coalesce(effort, 0) effort from (select cell_id, x, y, oblast_code from grid) p join pu using (cell_id)),
+lim as (select (select score from work order by score desc limit 1 offset 499) t, (select quantile_cont(gap, 0.9) from work) q),
+free as (select work.* from work, lim where label = 0 and not (score >= t and gap > q)),
+exploit as (select cell_id from free order by score desc, cell_id limit 250),
+pool as (select cell_id key, free.x, free.y, score, abs(score - t) seed_order from free, lim where cell_id not in (select cell_id from exploit) and abs(score - t) <= 0.1), {_FAR_SQL.format(k=150, least=15000)},
+unsure as (select unnest(list_transform((select chosen from far order by step desc limit 1), lambda s: s.key)) cell_id),
+low as (select work.* from work where label = 0 and score < (select min(score) from pool) and cell_id not in (select cell_id from exploit) and cell_id not in (select cell_id from unsure) and oblast_code is not null),
+weights as (select c, 1.0 / (m + 5.0) w from (select oblast_code c, quantile_cont(cast(effort as double), 0.5) m from work where oblast_code in (select oblast_code from low) group by 1)), {_ALLOC_SQL},
+ordered as (select cell_id, oblast_code grp, x, y, row_number() over (partition by oblast_code order by -ln{_HASH} * (effort + 1), cell_id) rn from low), {_SPACED_SQL}
+select cell_id, 'exploit' category from exploit union all select cell_id, 'uncertainty' from unsure union all select k.cell_id, 'exploration' from spaced_all join places on c = grp where place <= n""")
+def field_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of cells to visit: the best ones, a spread of those near the threshold, and a spaced sample of the rest, shared among regions by inverse effort."""
+    g = V.grid(spark, d).select("cell_id", "x", "y", "oblast_code")
+    w = V.pu(spark, d).select("cell_id", "score", F.abs(F.col("score") - F.col("score2")).alias("gap"), F.col("y").alias("label"), F.coalesce("effort", F.lit(0)).alias("effort"))
+    return batch.field_batch(cut(g.join(w, "cell_id")), "cell_id", "oblast_code")
+
+
+@query(f"""with {V.PTS_SQL}, {V.EDGES_SQL} select key, oblast_code from pts, region_edges group by pts.key, pts.cell_id, pts.patch_id, pts."year", pts.x, pts.y, oblast_code having {V.INSIDE_SQL}""")
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    """The region each target point lies in; SQL can say it for rectangles, which all regions of the test data are, tests cover other shapes."""
+    """The region each target point lies in, by the even-odd rule over all units."""
     return dualtree.regions_of(V.pts(spark, d), "key", "x", "y", table(spark, d, "admin_units"), "oblast_code", "geometry_wkt")
 
 
-@query()
+_REGION_OF_CELL = "inside as (select cell_id, min(oblast_code) oblast_code from (select cell_id, region_edges.oblast_code from centre, region_edges group by cell_id, x, y, region_edges.oblast_code having " + V.INSIDE_SQL + ") group by 1)"
+
+
+@query(f"""with {V.GRID_SQL}, {V.EDGES_SQL}, centre as (select cell_id, x, y from grid where x is not null and y is not null), {_REGION_OF_CELL},
+other as (select cell_id o, oblast_code, x ox, y oy from inside join centre using (cell_id)), rest as (select * from centre where cell_id not in (select cell_id from inside)),
+near as (select cell_id, oblast_code from rest, other qualify row_number() over (partition by cell_id order by (x - ox) ** 2 + (y - oy) ** 2, o) = 1)
+select cell_id, oblast_code, false by_nearest from inside union all select cell_id, oblast_code, true from near""")
 def region_or_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The region of each grid cell; cells in none take that of the nearest cell which has one."""
-    g = V.grid(spark, d).select("cell_id", "x", "y")
+    g = cut(V.grid(spark, d).select("cell_id", "x", "y"))
     got = dualtree.regions_of(g, "cell_id", "x", "y", table(spark, d, "admin_units"), "oblast_code", "geometry_wkt").groupBy("cell_id").agg(F.min("oblast_code").alias("oblast_code"))
-    got = spatial.cut(got)
+    got = cut(got)
     rest = g.join(got, "cell_id", "left_anti")
-    near = spatial.nearest(rest, "cell_id", g.join(got, "cell_id").withColumnRenamed("cell_id", "other"), "other", 2000.0)
+    near = spatial.nearest(rest, "cell_id", g.join(got, "cell_id").withColumnRenamed("cell_id", "other"), "other")
     filled = near.join(got.withColumnRenamed("cell_id", "other"), "other").select("cell_id", "oblast_code", F.lit(True).alias("by_nearest"))
     return got.withColumn("by_nearest", F.lit(False)).unionByName(filled)
 
 
-_LINES = [(i, 5440000.0 + 9000.0 * i, 2640000.0 + 7000.0 * i, 5446000.0 + 9500.0 * i, 2652000.0 + 6500.0 * i) for i in range(12)]
+@query(f"""with b as (select floor(min(x) / 1000) x0, ceil(max(x) / 1000) x1, floor(min(y) / 1000) y0, ceil(max(y) / 1000) y1 from grid_1km_ua), {V.EDGES_SQL},
+centre as (select r * 100000 + c cell_id, cast(c * 1000 + 500 as double) x, cast(r * 1000 + 500 as double) y from (select unnest(range(cast(y0 as bigint), cast(y1 as bigint))) r, x0, x1 from b) join (select unnest(range(cast(x0 as bigint), cast(x1 as bigint))) c from b) on true), {_REGION_OF_CELL}
+select cell_id, oblast_code, x, y from inside join centre using (cell_id)""")
+def grid_in_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The generated 1 km cells whose centre a region contains, with that region."""
+    g = cut(grid_generate(spark, d).select("cell_id", "x", "y"))
+    got = dualtree.regions_of(g, "cell_id", "x", "y", table(spark, d, "admin_units"), "oblast_code", "geometry_wkt").groupBy("cell_id").agg(F.min("oblast_code").alias("oblast_code"))
+    return g.join(got, "cell_id").select("cell_id", "oblast_code", "x", "y")
+
+
+@query(f"""with {V.PTS_SQL}, n as (select floor(x / 20000) bx, floor(y / 20000) by_, count(*) n from pts group by 1, 2), o as (select *, sum(n) over (order by md5(concat_ws('|', cast(cast(bx as bigint) as varchar), cast(cast(by_ as bigint) as varchar), '42')), bx, by_) - n before from n),
+t as (select pts.*, coalesce(before < 0.2 * (select count(*) from pts), false) is_test from pts left join o on floor(x / 20000) = bx and floor(y / 20000) = by_)
+select key, case when is_test then 'test' when exists (select 1 from t u where u.is_test and sqrt((t.x - u.x) ** 2 + (t.y - u.y) ** 2) < 5000) then 'buffer' else 'train' end part from t""")
+def block_split_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the 20 km block split: test, train, and the buffer of 5 km around the test points that is in neither."""
+    s = cut(ml.block_split(V.pts(spark, d), "x", "y", 20000.0, 0.2, 42))
+    rest, test = s.where("not is_test"), s.where("is_test")
+    near = spatial.nearest(rest, "key", test.withColumnRenamed("key", "other"), "other").where("distance < 5000").select("key", F.lit("buffer").alias("part"))
+    out = rest.select("key").join(near, "key", "left").select("key", F.coalesce("part", F.lit("train")).alias("part"))
+    return test.select("key", F.lit("test").alias("part")).unionByName(out)
+
+
+@query(f"""with {V.GRID_SQL}, lab as (select cell_id, count(*) n_target, min("year") first_year, max("year") last_year from (select distinct key, cell_id, "year" from target_points_clustered where key is not null and cell_id is not null) group by 1),
+pick as (select cell_id from grid order by md5(concat_ws('|', cast(cell_id as varchar), '42')), cell_id limit 200)
+select cell_id, coalesce(n_target, 0) n_target, first_year, last_year, case when n_target > 0 then 'positive' else 'unknown' end label_state, pick.cell_id is not null ctrl_random, oblast_code from lab full join pick using (cell_id) left join (select cell_id, oblast_code from grid) using (cell_id)""")
+def label_completion(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled cells, completed by the cells of a random control sample that have no record: counts 0, years NULL. A sampling operator, hence the limit."""
+    g = V.grid(spark, d).select("cell_id", "oblast_code")
+    p = table(spark, d, "target_points_clustered").where("key is not null and cell_id is not null").select("key", "cell_id", "year").distinct()
+    lab = p.groupBy("cell_id").agg(F.count("*").alias("n_target"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    pick = g.select("cell_id").orderBy(E.order_hash(42, F.col("cell_id")), "cell_id").limit(200).withColumn("ctrl_random", F.lit(True))
+    out = lab.join(pick, "cell_id", "full").join(g, "cell_id", "left")
+    return out.select("cell_id", F.coalesce("n_target", F.lit(0)).alias("n_target"), "first_year", "last_year", F.when(F.col("n_target") > 0, "positive").otherwise("unknown").alias("label_state"), F.coalesce("ctrl_random", F.lit(False)).alias("ctrl_random"), "oblast_code")
+
 
+_LINES_SQL = 'lines as (select nearest_reach line, arg_min(x, cell_id) x1, arg_min(y, cell_id) y1, arg_max(x, cell_id) x2, arg_max(y, cell_id) y2 from grid_1km_ua where nearest_reach is not null and cell_id is not null and x is not null and y is not null group by 1)'
 
-@query(f"""with {V.PTS_SQL}, l as (select * from (values {', '.join(str(x) for x in _LINES)}) t(line, x1, y1, x2, y2)),
-m as (select key, line, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) t, x, y, x1, y1, x2, y2 from pts, l),
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """A segment for each river reach, from its first to its last cell: line, x1, y1, x2, y2."""
+    g = table(spark, d, "grid_1km_ua").where("nearest_reach is not null and cell_id is not null and x is not null and y is not null")
+    return g.groupBy(F.col("nearest_reach").alias("line")).agg(*[f(c, "cell_id").alias(c + k) for k, f in (("1", F.min_by), ("2", F.max_by)) for c in "xy"])
+
+
+@query(f"""with {V.PTS_SQL}, {_LINES_SQL},
+m as (select key, line, greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0), 0))) t, x, y, x1, y1, x2, y2 from pts, lines),
 q as (select key, line, sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) dd from m)
 select key, line, round(dd, 5) distance from q qualify row_number() over (partition by key order by dd, line) = 1""")
 def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest of some line segments (roads) for each target point."""
-    lines = spark.createDataFrame(_LINES, "line int, x1 double, y1 double, x2 double, y2 double")
-    n = spatial.nearest_segment(V.pts(spark, d), "key", lines, "line", 4000.0)
+    """The nearest line, here one per river reach, of each target point."""
+    n = spatial.nearest_segment(V.pts(spark, d), "key", _lines(spark, d), "line")
     return n.select("key", "line", F.round("distance", 5).alias("distance"))
 
 
@@ -254,14 +377,20 @@ def raster_long_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample_raster(V.pts(spark, d), raster, "x", "y", 5300000.0, 2900000.0, 1000.0, 1000.0, ["bio_01"]).select("key", "bio_01")
 
 
-@query()
+@query(f"""with {V.PTS_SQL}, q as (select distinct patch_id, x, y from pts where patch_id is not null and x is not null and y is not null), n as (select patch_id, count(*) n_points from pts where patch_id is not null group by 1),
+side as (select a.patch_id, a.x ax, a.y ay, b.x bx, b.y by_ from q a join q b on a.patch_id = b.patch_id and (a.x <> b.x or a.y <> b.y) where not exists (select 1 from q c where c.patch_id = a.patch_id and
+  ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 or (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 and ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 or (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))),
+o as (select patch_id, min(x) ox, min(y) oy from q group by 1),
+h as (select patch_id, sum((ax - ox) * (by_ - oy) - (bx - ox) * (ay - oy)) / 2 area, sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) perimeter, count(*) corners from side join o using (patch_id) group by 1)
+select patch_id, n_points, round(coalesce(area, 0), 2) hull_area, round(coalesce(perimeter, 0), 4) hull_perimeter, cast(coalesce(corners, 1) as integer) corners, round(case when perimeter > 0 then 4 * pi() * area / (perimeter * perimeter) end, 6) compactness, round(n_points / nullif(area / 1e6, 0), 4) density_km2 from n join o using (patch_id) left join h using (patch_id)""")
 def patch_hulls(spark: SparkSession, d: str) -> DataFrame:
-    """Area, perimeter, centroid, compactness and density of the convex hull of each patch."""
-    from loam.functions.geometry import hulls
-
+    """Area, perimeter, corners, compactness and density of the convex hull of each patch."""
     p = V.pts(spark, d).where("patch_id is not null")
     h = hulls(p, "patch_id", "x", "y").join(p.groupBy("patch_id").agg(F.count("*").alias("n_points")), "patch_id")
-    return h.withColumn("compactness", E.compactness(F.col("hull_area"), F.col("hull_perimeter"))).withColumn("density_km2", F.try_divide(F.col("n_points"), F.nullif(F.col("hull_area") / 1e6, F.lit(0.0))))
+    return h.select(
+        "patch_id", "n_points", F.round("hull_area", 2).alias("hull_area"), F.round("hull_perimeter", 4).alias("hull_perimeter"), "corners",
+        F.round(E.compactness(F.col("hull_area"), F.nullif(F.col("hull_perimeter"), F.lit(0.0))), 6).alias("compactness"), F.round(F.try_divide(F.col("n_points"), F.nullif(F.col("hull_area") / 1e6, F.lit(0.0))), 4).alias("density_km2"),
+    )
 
 
 @query(f"""with {V.PTS_SQL}, a as (select radians("year" * 37.0) t from pts where "year" is not null) select count(*) n, round(sqrt(sum(cos(t)) ** 2 + sum(sin(t)) ** 2) / count(*), 8) r, round((sum(cos(t)) ** 2 + sum(sin(t)) ** 2) / count(*), 5) z from a""")

@@ -31,12 +31,12 @@ def ser(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("point", "d", "v")
 
 
-YEARLY_SQL = SER_SQL + ", yearly as (select point, cast(year(d) as integer) \"year\", cast(sum(cast(round(v * 100) as bigint)) as double) / count(*) / 100 v, count(*) n from ser where point % 7 <> 3 or year(d) <> 1998 group by 1, 2)"
+YEARLY_SQL = SER_SQL + ", yearly as (select point, cast(year(d) as integer) \"year\", cast(sum(cast(round(v * 100) as bigint)) as double) / count(*) / 100 v, count(*) n from ser group by 1, 2)"
 
 
 def yearly(spark: SparkSession, d: str) -> DataFrame:
-    """Annual means of the series; some points lack a year, which tells lags by row from lags by year."""
-    s = ser(spark, d).withColumn("year", F.year("d")).where("point % 7 <> 3 or year <> 1998")
+    """Annual means of the series."""
+    s = ser(spark, d).withColumn("year", F.year("d"))
     return s.groupBy("point", "year").agg((F.sum(F.round(F.col("v") * 100).cast("bigint")).cast("double") / F.count("*") / 100).alias("v"), F.count("*").alias("n"))
 
 
@@ -82,3 +82,10 @@ GRID_SQL = "grid as (select cell_id, min(\"row\") \"row\", min(col) col, min(x)
 def grid(spark: SparkSession, d: str) -> DataFrame:
     """Grid cells, one row each."""
     return table(spark, d, "grid_1km_ua").where("cell_id is not null").groupBy("cell_id").agg(*[F.min(c).alias(c) for c in ("row", "col", "x", "y", "lon", "lat", "oblast_code")])
+
+
+#: Edges of the regions' rings, and the even-odd rule over them with half-open edges: ``having`` of a grouping by point and region.
+EDGES_SQL = r"""rings as (select oblast_code, list_transform(string_split(ring, ','), lambda v: list_transform(string_split(trim(v), ' '), lambda t: cast(t as double))) p
+  from (select oblast_code, unnest(regexp_extract_all(geometry_wkt, '\(([^()]+)\)', 1)) ring from admin_units where geometry_wkt is not null)),
+region_edges as (select oblast_code, e[1][1] x1, e[1][2] y1, e[2][1] x2, e[2][2] y2 from (select oblast_code, unnest(list_transform(range(1, len(p) + 1), lambda i: [p[i], p[i % len(p) + 1]])) e from rings))"""
+INSIDE_SQL = "sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1"

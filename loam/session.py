@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "loam", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, skew-join splitting, UTC and Arrow; ``conf`` wins over the defaults.
+    """A session with adaptive execution, skew-join splitting, UTC, Arrow and checkpoints that are cleaned up; ``conf`` wins over the defaults.
 
     Nothing cluster-specific is fixed here: partition counts and memory come from the caller or the cluster.
     """
@@ -19,6 +19,8 @@ def get_session(app: str = "loam", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints of a query go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)

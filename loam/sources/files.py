@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,14 +29,28 @@ def write_parquet(df: DataFrame, path: str, codec: str = "zstd", cluster_by: lis
     df.write.mode("overwrite").option("compression", codec).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of text through the Hadoop file system of its path, so that any store the cluster knows will do; replaced if there is one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def write_manifest(path: str, content: dict | DataFrame) -> None:
-    """A JSON object: of a dict, or of a DataFrame of exactly one row."""
+    """A JSON object in one file: of a dict, or of a DataFrame of exactly one row. The path may be of any file system Spark can write."""
     if isinstance(content, DataFrame):
         rows = content.limit(2).collect()
         if len(rows) != 1:
             raise ValueError("a manifest comes from exactly one row")
         content = rows[0].asDict(recursive=True)
-    Path(path).write_text(json.dumps(content, indent=2, ensure_ascii=False, default=str))
+    write_text(SparkSession.active(), path, json.dumps(content, indent=2, ensure_ascii=False, default=str))
 
 
 def read_json_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +90,9 @@ def save_model(model: tuple[PipelineModel, dict[str, float]], path: str, about:
     """A fitted pipeline, the values it was imputed with and what is known about it."""
     pipeline, fill = model
     pipeline.write().overwrite().save(f"{path}/pipeline")
-    Path(path, "about.json").write_text(json.dumps(about | {"fill": fill}, indent=2, default=str))
+    write_text(SparkSession.active(), f"{path}/about.json", json.dumps(about | {"fill": fill}, indent=2, default=str))
 
 
 def load_model(path: str) -> tuple[tuple[PipelineModel, dict[str, float]], dict]:
-    about = json.loads(Path(path, "about.json").read_text())
+    about = json.loads(read_text(SparkSession.active(), f"{path}/about.json"))
     return (PipelineModel.load(f"{path}/pipeline"), about.pop("fill")), about

@@ -66,8 +66,39 @@ def test_metrics_without_classes(spark):
     assert metrics.spearman(df.where("false"), "s", "y").first()["rho"] is None
 
 
-def test_kruskal_tail():
-    assert math.exp(-31.34015 / 2) == pytest.approx(1.5652e-7, rel=1e-4)
+def test_tails():
+    """Against closed forms: chi-square with 2 and 4 degrees, Student's t with 1 and 2."""
+    from loam.functions.tails import beta_share, chi2_tail, correlation_tail
+
+    assert chi2_tail(31.34015, 2) == pytest.approx(1.5652e-7, rel=1e-4)
+    for x in (0.01, 0.7, 3.0, 12.0, 60.0):
+        assert chi2_tail(x, 2) == pytest.approx(math.exp(-x / 2)) and chi2_tail(x, 4) == pytest.approx(math.exp(-x / 2) * (1 + x / 2))
+        assert chi2_tail(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)))
+        assert beta_share(0.5, 0.5, 1 / (1 + x * x)) == pytest.approx(1 - 2 / math.pi * math.atan(x))
+    assert correlation_tail(0.0, 9) == 1.0 and correlation_tail(1.0, 9) == 0.0 and correlation_tail(None, 9) is None and correlation_tail(0.5, 2) is None
+    r = 0.5  # n = 4: t with 2 degrees, p = 1 - |r|
+    assert correlation_tail(r, 4) == pytest.approx(1 - r)
+
+
+def test_kruskal_of_four_groups(spark):
+    rows = [(float((i * 7) % 13), f"g{i % 4}") for i in range(48)]
+    k = metrics.kruskal(spark.createDataFrame(rows, "v double, g string"), "v", "g").first()
+    assert k["k"] == 4 and 0 < k["p"] <= 1
+
+
+def test_medians_of_all_columns(spark):
+    df = spark.createDataFrame([(1.0, None, 5), (2.0, None, 6), (9.0, None, 7), (None, None, 8)], "a double, b double, c int")
+    assert ml.medians(df, ["a", "b", "c"]) == {"a": 2.0, "b": 0.0, "c": 6.5}
+
+
+def test_cluster_without_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loam.operators import lineage
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(SimpleNamespace(sparkContext=sc, conf={}))
 
 
 @pytest.mark.parametrize("local", [0, 10_000])
@@ -153,9 +184,58 @@ def test_nearest_is_brute_force(spark, points):
     right = df.where("i % 17 = 0").withColumnRenamed("i", "j")
     js = np.arange(0, len(xy), 17)
     d = np.hypot(*(xy[:, None] - xy[js][None]).transpose(2, 0, 1))
-    got = {r["i"]: (r["j"], round(r["distance"], 6)) for r in spatial.nearest(df, "i", right, "j", 50.0).collect()}
+    got = {r["i"]: (r["j"], round(r["distance"], 6)) for r in spatial.nearest(df, "i", right, "j").collect()}
     assert got == {i: (int(js[d[i].argmin()]), round(float(d[i].min()), 6)) for i in range(len(xy))}
-    assert spatial.nearest(df, "i", right.where("false"), "j", 50.0).count() == 0
+    assert spatial.nearest(df, "i", right.where("false"), "j").count() == 0 == spatial.nearest(df.where("false"), "i", right, "j").count()
+    odd = df.select("i", F.when(F.col("i") > 2, F.col("x")).otherwise(float("nan")).alias("x"), "y")
+    assert spatial.nearest(odd, "i", right, "j").count() == len(xy) - 3
+
+
+@pytest.mark.parametrize("block", [2, 16, 1024])
+def test_nearest_items_of_any_block_size(spark, block):
+    """Points and segments, with ties, outliers and many items on one place, in blocks of a few items each."""
+    from loam.operators import nearest as N
+
+    r = np.random.default_rng(12)
+    ends = np.round(np.vstack([np.c_[a := r.uniform(0, 900, (60, 2)), a + r.normal(0, 40, (60, 2))], np.repeat([[500.0, 500.0, 500.0, 500.0]], 30, 0), [[1e6, 1e6, 1e6, 1e6]]]), 1)
+    left = np.round(np.vstack([r.uniform(-100, 1100, (80, 2)), [[500.0, 500.0], [9e5, 1.2e6], [-1e6, 0.0]]]), 1)
+    d = N.segment_distance(left[:, 0], left[:, 1], *ends.T)
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(left)], "_l long, x double, y double").repartition(3)
+    b = spark.createDataFrame([(f"{i:03d}", *map(float, e)) for i, e in enumerate(ends)], "_r string, x1 double, y1 double, x2 double, y2 double")
+    got = {x["_l"]: (x["_r"], round(x["distance"], 6)) for x in N.nearest_items(a, b, block, 7).collect()}
+    assert got == {i: (f"{d[i].argmin():03d}", round(float(d[i].min()), 6)) for i in range(len(left))}
+
+
+def test_candidates_of_a_far_outlier_stay_few(spark):
+    """Everything crowded at one place, one row far away on either side: a row keeps a few blocks, not all."""
+    from loam.operators import nearest as N
+
+    r = np.random.default_rng(5)
+    xy = np.vstack([r.normal(0, 50, (4000, 2)), [[5e6, 5e6]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "i long, x double, y double")
+    seen = []
+    search = N._search
+
+    def counted(px, py, items, ids):
+        seen.append(len(px))
+        return search(px, py, items, ids)
+
+    far = df.where("i = 4000")
+    got = spatial.nearest(far, "i", df.where("i < 4000").withColumnRenamed("i", "j"), "j").first()
+    want = np.hypot(*(xy[:4000] - xy[4000]).T)
+    assert got["j"] == want.argmin() and got["distance"] == pytest.approx(want.min())
+    d, at = counted(xy[:, 0], xy[:, 1], np.c_[xy[:4000], xy[:4000]], np.arange(4000))
+    assert seen == [4001] and (at[:4000] == np.arange(4000)).all() and d[:4000].max() == 0
+
+
+def test_field_batch_of_few_rows(spark):
+    from loam.operators.batch import field_batch
+
+    rows = [(i, float(i % 40) * 9000, float(i // 40) * 9000, f"r{i % 3}" if i % 7 else None, ((i * 37) % 100) / 100, ((i * 11) % 10) / 100, int(i % 9 == 0), i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "c long, x double, y double, region string, score double, gap double, label int, effort int")
+    got = field_batch(df, "c", "region").collect()
+    assert len({r["c"] for r in got}) == len(got) and {r["category"] for r in got} >= {"exploit"} and not {r["c"] for r in got} & {r[0] for r in rows if r[6]}
+    assert field_batch(df.where("false"), "c", "region").count() == 0
 
 
 def test_dbscan_is_closure(spark, points):

@@ -26,12 +26,12 @@ def test_upstream_of_every_node(spark):
         while net[at][0]:
             km, at = km + net[at][1], net[at][0]
             want.add((at, node, km))
-    assert {tuple(r) for r in QUERIES["graph_upstream_all"](spark, DATA).collect()} == want
+    assert {tuple(r) for r in QUERIES["graph_upstream"](spark, DATA).collect()} == want
 
 
 def test_pair_distances_of_every_node(spark):
     net = _net(spark)
-    got = {(r["a"], r["b"]) for r in QUERIES["graph_pair_distance_all"](spark, DATA).collect()}
+    got = {(r["a"], r["b"]) for r in QUERIES["graph_pair_distance"](spark, DATA).collect()}
     assert got == {(n, n + 1) for n in net} | {(n, n // 4) for n in net if n >= 8}
 
 
@@ -43,7 +43,7 @@ def test_buffer_of_the_whole_block_split(spark):
     grid = views.grid(spark, DATA).select("cell_id", "x", "y").collect()
     want = {c for c, x, y in grid if all((x - a) ** 2 + (y - b) ** 2 >= 5000**2 for a, b in at)}
     assert len(at) > 20 and 0 < len(want) < len(grid)
-    assert {r["cell_id"] for r in QUERIES["buffered_exclusion_blocks"](spark, DATA).collect()} == want
+    assert {r["cell_id"] for r in QUERIES["buffered_exclusion"](spark, DATA).collect()} == want
 
 
 def test_baselines_and_permutations(spark):
