@@ -18,7 +18,6 @@ class Part(NamedTuple):
 
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*)[ \t]*:[ \t]*(.*)")
 _PARAM = re.compile(r';\s*([\w*-]+)\s*=\s*(?:"([^"]*)"|([^\s;]+))')
-_MAX_DEPTH = 12
 
 
 def _split_head(text: str) -> tuple[dict[str, str], str, bool]:
@@ -107,40 +106,57 @@ def _leaf(kind: str, params: dict[str, str], headers: dict[str, str], body: str)
     elif coding == "quoted-printable":
         body = _quoted_printable(body, charset)
     body = body.replace("\r\n", "\n").replace("\r", "\n")
-    is_html = kind == "text/html" or (not kind and bool(re.match(r"\s*<(!doctype|html)\b", body[:300], re.I)))
+    is_html = kind == "text/html" or (not kind and bool(re.match(r"\s*<(!doctype|html)\b", body, re.I)))
     return Part(html_text(body) if is_html else body, is_html, attached)
 
 
-def _walk(headers: dict[str, str], body: str, depth: int) -> list[Part]:
-    kind, params = _content_type(headers.get("content-type", ""))
-    if kind.startswith("multipart/") and depth < _MAX_DEPTH:
-        mark = params.get("boundary")
-        pieces = re.split(rf"(?m)^--{re.escape(mark)}(--)?[ \t]*$\n?", body) if mark else [body]
-        if len(pieces) > 1:
-            out = []
-            for closing, piece in zip(pieces[1::2], pieces[2::2]):
-                if closing:
-                    break
-                h, b, _ = _split_head(piece) if not piece.startswith("\n") else ({}, piece[1:], False)
-                out += _walk(h, b, depth + 1)
-            return out
-        kind, params = "", {}
-    if kind == "message/rfc822" and depth < _MAX_DEPTH:
-        return text_parts(body, depth + 1)
-    leaf = _leaf(kind, params, headers, body)
-    return [leaf] if leaf else []
-
-
-def text_parts(text: str | None, depth: int = 0) -> list[Part]:
+def _inner(body: str, mark: str) -> list[tuple[dict[str, str], str]] | None:
+    """Headers and bodies of the parts of a multipart body; None if its boundary never comes."""
+    pieces = re.split(rf"(?m)^--{re.escape(mark)}(--)?[ \t]*$\n?", body)
+    if len(pieces) < 2:
+        return None
+    out = []
+    for closing, piece in zip(pieces[1::2], pieces[2::2]):
+        if closing:
+            break
+        h, b, _ = _split_head(piece) if not piece.startswith("\n") else ({}, piece[1:], False)
+        out.append((h, b))
+    return out
+
+
+def _head_and_body(text: str) -> tuple[dict[str, str], str]:
+    text = text.lstrip("\n﻿")
+    headers, body, any_ = _split_head(text)
+    return headers, body if any_ else text
+
+
+def text_parts(text: str | None) -> list[Part]:
     """The text parts of a raw mail, transfer encodings undone, charsets applied, markup dropped; attached text files are parts.
 
     Headers are left out. A text without a header block is one plain part. Broken multiparts (no boundary line) are one plain part.
+    Parts within parts and mails within mails are opened however deep they lie.
     """
     if not text:
         return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\n﻿")
-    headers, body, any_ = _split_head(text)
-    return _walk(headers, body if any_ else text, depth)
+    out: list[Part] = []
+    stack = [_head_and_body(text.replace("\r\n", "\n").replace("\r", "\n"))]
+    while stack:
+        headers, body = stack.pop()
+        kind, params = _content_type(headers.get("content-type", ""))
+        if kind.startswith("multipart/"):
+            inner = _inner(body, params["boundary"]) if params.get("boundary") else None
+            if inner is not None:
+                stack.extend(reversed(inner))
+                continue
+            kind, params = "", {}
+        if kind == "message/rfc822":
+            if body:
+                stack.append(_head_and_body(body))
+            continue
+        leaf = _leaf(kind, params, headers, body)
+        if leaf:
+            out.append(leaf)
+    return out
 
 
 _MARKS = re.compile(r"(?m)^[ \t]*(?:>[ \t]*)+")
@@ -161,7 +177,7 @@ ATTRIBUTION = re.compile(r"(?i)^(?:on\b.{4,200}\bwrote:|am\b.{4,200}\bschrieb\b.
 ORIGINAL = re.compile(r"(?i)^-{2,}\s*(?:original|forwarded|ursprüngliche|weitergeleitete|wiadomość|oryginalna|przekazana|переслане|пересланное|початкове|оригінальне|начало|begin)\b.*-{2,}$|^begin forwarded message:?$")
 #: Words a greeting or a closing begins with.
 GREETING = re.compile(r"(?i)^(?:hi|hello|dear|hey|good (?:morning|afternoon|evening|day)|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|cześć|witam|witaj|dzień dobry|szanown\w+|drog\w+|вітаю|привіт|добр(?:ий|ого|ої) (?:день|дня|ранку|вечір|вечора)|доброго|шановн\w+|дорог\w+)\b.{0,60}$")
-CLOSING = re.compile(r"(?i)^(?:(?:best|kind|warm)(?: regards| wishes)?|regards|thanks(?: (?:a lot|again|in advance))?|thank you|many thanks|cheers|see you(?: \w+)?|take care|bye|sincerely|yours(?: \w+)?|all the best|(?:viele|beste|liebe|schöne|herzliche|freundliche) grüße|mit (?:freundlichen|besten|herzlichen) grüßen|gruß|bis (?:bald|dann|später)|tschüss|lg|vg|danke|pozdrawiam|do zobaczenia|na razie|pozdrowienia|z poważaniem|dziękuję|serdecznie|з повагою|до зустрічі|бувайте|дякую|щиро|на все добре|всього найкращого|з найкращими побажаннями)\b[^.?!]{0,30}[,!]?$")
+CLOSING = re.compile(r"(?i)^(?:(?:best|kind|warm) (?:regards|wishes)|best(?=[,!]?$)|regards|thanks(?: (?:a lot|again|in advance))?|thank you|many thanks|cheers|see you(?: \w+)?|take care|bye|sincerely|yours(?: \w+)?|all the best|(?:viele|beste|liebe|schöne|herzliche|freundliche) grüße|mit (?:freundlichen|besten|herzlichen) grüßen|gruß|bis (?:bald|dann|später)|tschüss|lg|vg|danke|pozdrawiam|do zobaczenia|na razie|pozdrowienia|z poważaniem|dziękuję|serdecznie|з повагою|до зустрічі|бувайте|дякую|щиро|на все добре|всього найкращого|з найкращими побажаннями)\b[^.?!]{0,30}[,!]?$")
 #: How a disclaimer begins.
 DISCLAIMER = re.compile(r"(?i)^(?:confidential(?:ity)?\b|please consider\b|this (?:e-?mail|message|communication)\b.{0,80}|the information (?:contained )?in this|disclaimer|diese (?:e-?mail|nachricht)\b|vertraulich|ta wiadomość\b|niniejsza wiadomość|wiadomość (?:ta )?jest poufna|poufne|це повідомлення\b|цей лист\b|конфіденційно)")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import bisect
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from loam.operators.lineage import cut
 
-#: Open windows of a task; leftover windows that one merging task holds.
-WINDOWS, MERGE_WINDOWS = 48, 20_000
+#: Open windows of a task; leftover windows that one merging task holds; merged windows that may be broadcast (24 bytes each).
+WINDOWS, MERGE_WINDOWS, SMALL_ROWS = 48, 20_000, 500_000
 _ENCODERS: dict[tuple[str, str], object] = {}
 
 
@@ -73,6 +74,23 @@ class OpenWindows:
         return window, self.capacity - room
 
 
+def place_online(items: Iterable[tuple[object, int]], capacity: int, windows: int, base: int) -> Iterator[tuple[object, int, int, int, int, int, bool]]:
+    """Rows (id, piece, start, n_tokens, window, offset, open) of items, each as soon as it is placed; at last a row with ``open`` for every window
+    that still has room: id None, n_tokens its fill. Held are the rooms of the open windows, nothing else, whatever the items are."""
+    heap = OpenWindows(capacity, windows)
+    for i, n in items:
+        whole = n // capacity if n > capacity else 0
+        for k in range(whole):
+            yield i, k, k * capacity, capacity, base + heap.opened, 0, False
+            heap.opened += 1
+        rest = n - whole * capacity
+        if rest or not whole:
+            w, at = heap.place(rest)
+            yield i, whole, whole * capacity, rest, base + w, at, False
+    for room, w in heap.free:
+        yield None, 0, 0, capacity - room, base + w, 0, True
+
+
 def pack(items: DataFrame, ident: str, size: str, capacity: int, windows: int = WINDOWS, merge_windows: int = MERGE_WINDOWS) -> DataFrame:
     """``(ident, piece, start, n_tokens, container, offset)``: one row per piece of an item and the place it was given.
 
@@ -80,6 +98,8 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, windows: int =
     fills best, and closes the fullest when none fits and all are in use. The windows that are open when tasks end are merged at the
     last: groups of at most about ``merge_windows`` of them, largest first, best fit, in parallel. No container holds more than
     ``capacity``; an item is split only if it is larger: into full containers of its own and a rest that is packed like an item.
+    A task holds the rooms of its open windows only, never their items. The few merged windows are joined to the places of the
+    items: broadcast if they are at most ``SMALL_ROWS``, else by a shuffle.
     Items of size 0 or NULL take a place of size 0; a negative size is an error. Equal items are items of their own; the order of rows
     decides places, not what is packed. Place sums to every item exactly once. An empty table gives no rows.
     """
@@ -89,46 +109,17 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, windows: int =
     slim = cut(items.select(F.col(ident).alias("id"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size")))
     if slim.where("size < 0").limit(1).count():
         raise ValueError("sizes must not be negative")
-    fill = f"id {kind}, piece bigint, start bigint, n_tokens bigint, window bigint, offset bigint, open boolean"
+    columns = ["id", "piece", "start", "n_tokens", "window", "offset", "open"]
 
     def online(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        heap = OpenWindows(capacity, windows)
-        held: dict[int, list[tuple]] = {}
+        rows = place_online((x for b in batches for x in zip(b["id"].tolist(), b["size"].tolist())), capacity, windows, TaskContext.get().partitionId() << 33)
+        while some := list(itertools.islice(rows, 20_000)):
+            yield pd.DataFrame(some, columns=columns).astype({"id": object})
 
-        def frame(rows: list[tuple], is_open: bool) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "n_tokens", "window", "offset"])
-            return out.assign(open=is_open)
-
-        done: list[tuple] = []
-        for b in batches:
-            for i, n in zip(b["id"].tolist(), b["size"].tolist()):
-                whole = n // capacity if n > capacity else 0
-                for k in range(whole):
-                    done.append((i, k, k * capacity, capacity, base + heap.opened, 0))
-                    heap.opened += 1
-                rest = n - whole * capacity
-                if rest or not whole:
-                    before = heap.free[0] if len(heap.free) >= heap.limit else None
-                    w, at = heap.place(rest)
-                    held.setdefault(w, []).append((i, whole, whole * capacity, rest, base + w, at))
-                    if at + rest == capacity:
-                        done += held.pop(w)
-                    if before and before not in heap.free and before[1] != w:
-                        done += held.pop(before[1])
-                if len(done) >= 20_000:
-                    yield frame(done, False)
-                    done = []
-        if done:
-            yield frame(done, False)
-        left = [r for rows in held.values() for r in rows]
-        if left:
-            yield frame(left, True)
-
-    placed = cut(slim.mapInPandas(online, fill))
-    leftovers = cut(placed.where("open").groupBy("window").agg(F.sum("n_tokens").alias("fill")))
+    placed = cut(slim.mapInPandas(online, f"id {kind}, piece bigint, start bigint, n_tokens bigint, window bigint, offset bigint, open boolean"))
+    leftovers = placed.where("open").select("window", F.col("n_tokens").alias("fill"))
     groups = max(1, math.ceil(leftovers.count() / merge_windows))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,6 +131,7 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, windows: int =
         return pd.DataFrame(rows, columns=["window", "container", "shift"])
 
     moved = leftovers.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: merge(pdf), "window bigint, container bigint, shift bigint")
-    done = placed.where("not open").select("id", "piece", "start", "n_tokens", F.col("window").alias("container"), "offset")
-    late = placed.where("open").join(moved, "window").select("id", "piece", "start", "n_tokens", "container", (F.col("offset") + F.col("shift")).alias("offset"))
-    return done.unionByName(late).withColumnRenamed("id", ident)
+    moved = cut(moved.where("window <> container"))
+    out = placed.where("not open").join(moved.hint("broadcast" if moved.count() <= SMALL_ROWS else "merge"), "window", "left")
+    out = out.select("id", "piece", "start", "n_tokens", F.coalesce("container", "window").alias("container"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return out.withColumnRenamed("id", ident)

@@ -331,6 +331,25 @@ def test_pack_round_trip(spark, windows, merge):
         packing.pack(df.withColumn("n", F.lit(-1)), "id", "n", 100)
 
 
+def test_packing_holds_no_items():
+    """A million empty items, as many full ones and a mix: what a task holds does not grow with them."""
+    import tracemalloc
+
+    for sizes in (lambda i: 0, lambda i: 100, lambda i: i % 7):
+        tracemalloc.start()
+        n = sum(1 for _ in packing.place_online(((i, sizes(i)) for i in range(300_000 if sizes(6) == 6 else 1_000_000)), 100, 48, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n >= 300_000 and peak < 200_000
+
+
+def test_packing_merges_by_shuffle_alike(spark, monkeypatch):
+    df = spark.range(0, 400, 1, 8).select("id", (F.col("id") % 37).alias("n"))
+    one = packing.pack(df, "id", "n", 100, 3).collect()
+    monkeypatch.setattr(packing, "SMALL_ROWS", -1)
+    assert sorted(one) == sorted(packing.pack(df, "id", "n", 100, 3).collect())
+
+
 def test_token_counts(spark):
     path, pattern = packing.tokenizer_files()
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, LONG)], "id long, text string")
@@ -381,6 +400,14 @@ def test_text_parts():
         mail.text_parts(MULTI[:cut_at])
 
 
+def test_parts_however_deep():
+    inner = "Content-Type: text/plain\n\nthe innermost words"
+    for k in range(60):
+        inner = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\n{inner}\n--b{k}x--\n" if k % 3 else "Content-Type: message/rfc822\n\nSubject: y\n" + inner
+    assert [p.text.strip() for p in mail.text_parts("Subject: x\n" + inner)] == ["the innermost words"]
+    assert mail.text_parts("Subject: x\n\n" + " " * 5000 + "<html><p>one</p></html>")[0].is_html
+
+
 def test_lines_after_a_long_blank_stretch():
     """A line like a disclaimer with much text below it is no disclaimer, however many blank lines are between."""
     own = [f"Line {i} of the author" for i in range(30)]
@@ -441,13 +468,56 @@ def test_leak_must_lie_within_one_part(spark):
 
 def test_line_kinds():
     kinds = {
-        "- apples": "list", "12) pears": "list", "[x] done": "list", "old fence": "list", "a\tb\tc": "table", "| a | b | c |": "table", "name            12.5            30": "table", "a;1;2;3": "table",
+        "- apples": "list", "12) pears": "list", "[x] done": "list", "old fence": "short", "a\tb\tc": "table", "| a | b | c |": "table", "name            12.5            30": "table", "a;1;2;3": "cells",
         "http://x.y/abc?d=1": "junk", "[14:21:53.823] <ERR> 0x362d4eab q=976": "junk", "JkJrbZUGq2OH2RjpO6uruH+QJQ6NK5F5sdNE7yLXupaJp5TO": "junk", "#!@^=|~~=!*>&?=%*?+@|$": "junk",
-        "BUY BUY BUY BUY !!! NOW NOW": "junk", "Eine StraÃŸe fÃ¼llt den Ort.": "junk", "The old fence leaves every meeting without much trouble.": "prose", "Дякую, мені підходить.": "prose",
+        "BUY BUY BUY BUY !!! NOW NOW": "junk", "Eine StraÃŸe fÃ¼llt den Ort.": "junk", "The old fence leaves every meeting without much trouble.": "text", "Дякую, мені підходить.": "text",
+        "We paid 1,000,000 euro for it": "short", "xa" * 30 + ";" + "ya" * 30 + ";" + "za" * 30: "cells", "k mx zmjfqg": "junk", "+-----+-----+": "table", "----------": "rule",
     }
     assert {k: quality.line_kind(k) for k in kinds} == kinds
 
 
+def _kind(body):
+    return quality.text_statistics("Subject: x\n\n" + body)["kind"]
+
+
+def _wrapped(text, n=5):
+    w = text.split()
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+STORY = "The committee met on Tuesday to discuss the new garden fence, which had fallen during the storm. After a long debate they agreed to repair it before winter. Nobody asked who would pay for the wood and the nails."
+
+
+def test_short_lines_need_marks_or_siblings():
+    """A poem and wrapped prose are prose; like lines without marks are a list; two of them are not; beside a mark one is."""
+    assert _kind("The rose is red\nThe sky is blue\nThe grass is green\nAnd so are you") == "prose"
+    assert _kind(_wrapped(STORY)) == "prose"
+    assert _kind(_wrapped("Le comité sest réuni mardi afin de discuter du nouveau portail tombé pendant la tempête. Après un long débat, il fut décidé de réparer le bois avant hiver.")) == "prose"
+    assert _kind("old fence\ngreen gate\nlocal barn") == "list" and _kind("old fence\ngreen gate") == "prose"
+    assert _kind("- old fence\ngreen gate") == "list" and _kind("old fence\n\nThe gate is as old as our fence is.") == "prose"
+
+
+def test_every_statistic_decides(monkeypatch):
+    """Each rule on a text that only it decides: without the rule the kind is another."""
+    lines = "\n".join(f"buy cheap watches online {i * 37} for {w}" for i, w in enumerate("home garden office school club museum village station park reserve team friend".split()))
+    verses = "\n\n".join(["Stones rolled down a hill near Kyiv, loudly.", "Water ran over fields after heavy rain, slowly."] * 4)
+    again = "\n".join(["Stones rolled down a hill near Kyiv."] * 6 + ["Water ran over fields after heavy rain."])
+    said = "\n".join(["Short notes below", "Old gates", "Green doors", "Warm rooms"] + ["It was as we said and they had it with them."] * 1 + ["Then all of us were on our way and it was not so far."])
+    noise = "\n".join(["ab12!? #cd34%% ef56&& <<gh78>> ij90!! kl11?? mn22##, (op33) qr44;"] * 1 + ["st55!! uv66## wx77%% yz88&& ==ab99 cd10?? ef21!!, (gh32) ij43;"] + ["kl54## mn65%% op76&& qr87!! ==st98 uv19?? wx20##, (yz31) ab42;"])
+    csv = "name,age,town\nann,12,rome\nbob,13,oslo"
+    for body, kind, rule, off in (
+        (lines, "junk", "COVERED", 2.0), (verses, "junk", "REPEATED", 2.0), (again, "junk", "REPEATED", 2.0), ("old fence\ngreen gate\nlocal barn", "list", "SIBLINGS", 99), (noise, "junk", "NOISE_SYMBOLS", 2.0),
+        ("The rose is red\nThe sky is blue\nThe grass is green\nAnd so are you", "prose", "COMMON_TEXT", 2.0),
+    ):
+        assert _kind(body) == kind, body
+        with monkeypatch.context() as m:
+            m.setattr(quality, rule, off)
+            for also in ("COVERED", "PROSE_COMMON") if rule in ("REPEATED", "COMMON_TEXT") else ():
+                m.setattr(quality, also, 2.0)
+            assert _kind(body) != kind, (rule, body)
+    assert _kind(csv) == "table" and _kind("name,age,town,and,so,on") == "prose" and _kind(said) == "prose"
+
+
 def test_statistics(spark):
     rows = [(1, "Subject: a\n\nThe fence is old and our gate looks new.\n\nThe fence is old and our gate looks new."), (2, None), (3, ""), (4, "Subject: b\n\n- a b\n- c d\n- e f\n"), (5, "Subject: c\n\n" + LONG), (5, "Subject: c\n\n" + LONG)]
     df = spark.createDataFrame([(*x, "k") for x in rows], "d long, t string, kind string")
