@@ -182,13 +182,16 @@ def test_heaps_merge():
 
 
 def test_parse_names():
-    for spelled in ("Larysa Mupirerska", "MUPIRERSKA, Larysa", "mupirerska larysa", "Dr. Lara Mupirerska (leg.)", "Лариса Мупірерська"):
-        assert names.parse_name(spelled)[0] == ("mupirerska", "l", "larysa")
-    assert names.parse_name("L. Mupirerska") == names.parse_name("Mupirerska L") == [("mupirerska", "l", "~l")]
-    assert {c for _, c, _ in names.parse_name("Дузевович Я.")} == {"y"} and names.given_fits(names.parse_name("Дузевович Я.")[0][2], "jadwiga")
+    for spelled in ("Larysa Mupirerska", "Dr. Larysa Mupirerska (leg.)", "Лариса Мупірерська"):
+        assert names.parse_name(spelled) == [("full", "larysa", "mupirerska", False)]
+    assert names.parse_name("MUPIRERSKA, Larysa") == [("full", "larysa", "mupirerska", True)] and names.parse_name("mupirerska larysa") == [("full", "mupirerska", "larysa", False)]
+    assert names.parse_name("L. Mupirerska") == names.parse_name("Mupirerska L") == [("short", "mupirerska", "~l", True)]
+    assert names.parse_name("Дузевович Я.") == [("short", "duzevovych", "~y", True)] and names.given_fits("~y", "yadviga") and names.given_fits("~kat", "kateryna") and not names.given_fits("~kat", "ka")
+    assert names.parse_name("Robert Li")[0] == ("full", "robert", "li", False) and ("short", "robert", "~li", True) in names.parse_name("Robert Li") and names.parse_name("R. Li") == [("short", "li", "~r", True)]
+    assert names.parse_name("J. R. Smith") == [("short", "smith", "~y", True)] and names.parse_name("Ludvig van Beet")[0] == ("full", "ludvig", "beet", False)
     for org in ("Lalerava Naturalists' Society", "Society of Naturalists, Lalerava", "LALERAVA NATURALISTS SOCIETY", "Soc. Naturalists Lalerava"):
-        assert names.parse_name(org) == [("lalerava", "@ns", "")]
-    assert names.parse_name("Deluzegrad BG")[0] == names.parse_name("Bot. Gdn Deluzegrad")[0] == ("deluzegrad", "@bg", "")
+        assert names.parse_name(org) == [("org", "lalerava", "@ns", True)]
+    assert names.parse_name("Deluzegrad BG")[0] == names.parse_name("Bot. Gdn Deluzegrad")[0] == ("org", "deluzegrad", "@bg", True)
     for nobody in ("unknown", "N/A", "-", "невідомо", "Anon.", "  ", "?"):
         assert names.parse_name(nobody) == []
     assert names.parse_name(LONG[:5000])
@@ -204,8 +207,8 @@ def _edits(a, b):
     return d[len(a), len(b)]
 
 
-@pytest.mark.parametrize("hot", [2, 200])
-def test_segment_join_is_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,long", [(2, 200), (200, 200), (1, 6)])
+def test_segment_join_is_brute_force(spark, hot, long):
     r = random.Random(6)
     base = ["".join(r.choice("bdklmnprst") + r.choice("aeiou") for _ in range(3)) + e for _ in range(25) for e in ("chuk", "enko")]
     words = set(base)
@@ -225,23 +228,79 @@ def test_segment_join_is_brute_force(spark, hot):
                         x[p] = r.choice("aeklnt")
             words.add("".join(x))
     words = sorted(words)
-    got = {(x["a"], x["b"]) for x in names.near_cores(spark.createDataFrame([(w, "c") for w in words], "core string, class string"), hot=hot).collect()}
+    got = {(x["a"], x["b"]) for x in names.near_cores(spark.createDataFrame([(w, "c") for w in words], "core string, class string"), hot=hot, long=long).collect()}
     want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and _edits(a, b) <= names.allowed(a, b)}
     assert got == want and len(want) > 60
 
 
 def test_link_names(spark):
-    rows = [("Larysa Mupirerska", "L. Mupirerska"), ("Mupirerska, Lara | Petro Hopepinko", None), ("Лариса Мупірерська", "Mupirrerska Larysa"), ("Taras Mupirerska", "unknown"), (None, ""), ("Hopnepiko Petro", " ; "), ("Petro Hopepinko", "P. Hopepinko & T. Mupirerska")]
+    rows = [("Larysa Mupirerska", "L. Mupirerska"), ("MUPIRERSKA, Larysa | Petro Hopepinko", None), ("Лариса Мупірерська", "Mupirrerska Larysa"), ("Taras Mupirerska", "unknown"), (None, ""), ("Hopnepiko Petro", " ; "), ("Petro Hopepinko", "P. Hopepinko & T. Mupirerska"), ("Lraysa Mupirerska", None)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "a string, b string, name int")
     got = {r["name"]: r["entity"] for r in names.link_names(df, ["a", "b"]).collect()}
     by = defaultdict(set)
     for n, e in got.items():
         by[e].add(n)
-    assert {"Larysa Mupirerska", "L. Mupirerska", "Mupirerska, Lara", "Лариса Мупірерська", "Mupirrerska Larysa"} in by.values()
+    assert {"Larysa Mupirerska", "L. Mupirerska", "MUPIRERSKA, Larysa", "Лариса Мупірерська", "Mupirrerska Larysa", "Lraysa Mupirerska"} in by.values()
     assert {"Petro Hopepinko", "Hopnepiko Petro", "P. Hopepinko"} in by.values() and {"Taras Mupirerska", "T. Mupirerska"} in by.values() and by[None] == {"unknown"}
     assert names.link_names(df.where("false"), ["a", "b"]).count() == 0
 
 
+def test_two_established_names_stay_apart(spark):
+    """One edit apart, but both come with many surnames: two given names, not a typo. A rare one is a typo."""
+    r = random.Random(2)
+    surnames = ["".join(r.choice("bdklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(14)]
+    rows = [f"{g} {s}" for i, s in enumerate(surnames) for g in (["Marina"] if i < 5 else ["Marika"] if i < 10 else ["Marina", "Marika"])] + [f"Mairna {surnames[0]}"]
+    got = {x["name"]: x["entity"] for x in names.link_names(spark.createDataFrame([(x,) for x in rows], "a string"), ["a"]).collect()}
+    assert got[f"Mairna {surnames[0]}"] == got[f"Marina {surnames[0]}"] and len(set(got.values())) == len(rows) - 1
+
+
+def planted(seed, people=300):
+    """(spelling, entity) of names from no list: forms unlike the name, typos in either word, both orders, surnames of two letters, names above 100 letters."""
+    r = random.Random(seed)
+    syl = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(n))
+
+    def typo(w):
+        p = r.randrange(1, len(w) - 1)
+        return [w[:p] + w[p + 1] + w[p] + w[p + 2 :], w[:p] + w[p + 1 :], w[:p] + r.choice("aeiou") + w[p:], w[:p] + r.choice("bdklmnprst") + w[p + 1 :]][r.randint(0, 3)]
+
+    givens = [(syl(3).capitalize(), [syl(2).capitalize() + r.choice("lnrs") for _ in range(2)]) for _ in range(30)]
+    out, seen = [], set()
+    for e in range(people):
+        g, nick = r.choice(givens)
+        s = syl(r.randint(3, 4)).capitalize() + r.choice(["nik", "sky", "ovic", "lund", ""]) if e % 10 else r.choice(["Li", "Wu", "Xu", "Ng", "Ma", "He"])
+        if (g, s) in seen:
+            continue
+        seen.add((g, s))
+        forms = [f"{g} {s}", f"{s}, {g}", f"{s} {g}", f"{g.upper()} {s.upper()}", *(f"{n} {s}" for n in nick), f"{s}, {nick[0]}", f"{typo(g)} {s}", f"{s} {typo(g)}"]
+        forms += [f"{g} {typo(s)}", f"{typo(s)}, {g}"] if len(s) > 4 else []
+        out += [(f, f"p{e}") for f in forms if r.random() < 0.8]
+    for e in range(20):
+        place = " ".join(syl(4) for _ in range(14)).title()
+        name = f"{place} Society of Botany and Museum of Natural History"
+        out += [(name, f"o{e}"), (name[:60] + name[61:], f"o{e}"), (name.upper(), f"o{e}")]
+    owner = defaultdict(set)
+    for n, e in out:
+        owner[n].add(e)
+    return {n: min(e) for n, e in owner.items() if len(e) == 1}
+
+
+def test_planted_names_of_no_list(spark):
+    truth = planted(4)
+    got = {x["name"]: x["entity"] for x in names.link_names(spark.createDataFrame([(n,) for n in truth], "a string"), ["a"]).collect()}
+
+    def linked(m, keep=lambda a: True):
+        by = defaultdict(list)
+        for n, e in m.items():
+            by[e].append(n)
+        return {(a, b) for v in by.values() for a in v for b in v if a < b and keep(a)}
+
+    want, have = linked(truth), linked(got)
+    assert len(want & have) >= 0.95 * len(want) and len(want & have) >= 0.98 * len(have)
+    for keep in (lambda a: len(a) > 100, lambda a: min(map(len, a.replace(",", "").split())) == 2):
+        part = linked(truth, keep)
+        assert len(part) > 30 and len(part & have) >= 0.9 * len(part)
+
+
 # clusters
 
 
