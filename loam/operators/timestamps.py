@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loam.operators.lineage import cut
 
@@ -21,10 +24,12 @@ MONTHS = {
 }
 #: Hours east of UTC of zone abbreviations.
 ZONES = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 1, "bst": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3, "msk": 3, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
-#: Rows of one source in one Viterbi task at most: records are cut into spans of this many order numbers.
-SPAN = 50_000
-#: Penalties of the path: another format than the record before; a step back in time, and more for each power of ten of its days.
-SWITCH, BACK, BACK_DECADE = 1.0, 1.0, 0.5
+#: Rows of a span at most; partitions whose spans one task combines.
+SPAN, FAN = 10_000, 64
+#: Penalties of the path, whole numbers so that they add up alike in any order: another format than the record before; a step back in
+#: time, and more for each power of ten of its days; and for a later reading of a value, so small that it only decides between paths
+#: that are equal otherwise.
+SWITCH, BACK, BACK_DECADE, LATER = 10**9, 10**9, 5 * 10**8, 1000
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d{1,9})?)?\s*([AaPp]\.?[Mm]\.?)?"
 _ZONE = r"\s*([A-Za-z]{1,5}|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?)?(?:\[[A-Za-z_/+-]+\])?"
@@ -122,54 +127,66 @@ def interpretations(df: DataFrame, value: str, zone: str, dotted: tuple[str, ...
     return out.select(*[df[c] for c in df.columns], F.col("_all.f").alias("formats"), F.col("_all.u").alias("instants"), whole_day.alias("day"))
 
 
-def step_cost(f0: int, u0: int, f1: int, u1: int) -> float:
+def step_cost(f0: int, u0: int, f1: int, u1: int) -> int:
     """Penalty of reading one record as (f1, u1) after the record before it was read as (f0, u0)."""
-    cost = 0.0 if f0 == f1 else SWITCH
+    cost = 0 if f0 == f1 else SWITCH
     if u1 < u0:
-        cost += BACK + BACK_DECADE * math.log10(1 + (u0 - u1) / 86400)
+        cost += BACK + round(BACK_DECADE * math.log10(1 + (u0 - u1) / 86400))
     return cost
 
 
-def _forward(rows: list[tuple[list[int], list[int]]], start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def own_cost(ident: int, place: int) -> int:
+    """Penalty of taking the reading at a place of a record: more for a later one, and a little by the record, so that hardly two paths are equal."""
+    return LATER * place + ((ident % 997) * 331 + (ident // 997 % 991) * 101 + place * 577) % 997 if place else 0
+
+
+Row = tuple  # ident, formats, instants, and what else is carried along
+_FAR = 2**62
+
+
+def _steps(a: Row, b: Row) -> np.ndarray:
+    """Penalties from each reading of a record to each of the next, with that of taking the latter."""
+    return np.array([[step_cost(a[1][i], a[2][i], b[1][j], b[2][j]) + (own_cost(b[0], j) if len(b[1]) > 1 else 0) for j in range(len(b[1]))] for i in range(len(a[1]))], dtype=np.int64)
+
+
+def _forward(rows: list[Row], start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Least costs of the last row's readings from start costs of the first row's, and the best predecessors of each row."""
     cost, back = start, []
-    for (fa, ua), (fb, ub) in zip(rows, rows[1:]):
-        table = np.array([[cost[i] + step_cost(fa[i], ua[i], fb[j], ub[j]) for i in range(len(fa))] for j in range(len(fb))])
-        best = table.argmin(1)
+    for a, b in zip(rows, rows[1:]):
+        table = np.minimum(cost[:, None], _FAR - 2**40) + _steps(a, b)
+        best = table.argmin(0)
         back.append(best)
-        cost = table[np.arange(len(fb)), best]
+        cost = table[best, np.arange(len(b[1]))]
     return cost, back
 
 
-def _runs(n: np.ndarray) -> Iterator[tuple[int, int]]:
-    """First and last positions of stretches of rows with several readings."""
-    many = np.flatnonzero(n > 1)
-    if len(many):
-        cuts = np.flatnonzero(np.diff(many) > 1)
-        yield from zip(many[np.r_[0, cuts + 1]], many[np.r_[cuts, len(many) - 1]])
+def _only(n: int, i: int) -> np.ndarray:
+    return np.where(np.arange(n) == i, 0, _FAR)
 
 
-def span_matrix(rows: list[tuple[list[int], list[int]]]) -> np.ndarray:
+def span_matrix(rows: list[Row]) -> np.ndarray:
     """Least cost from each reading of the first row to each of the last, up to a constant: what a span is to its neighbours."""
-    n = np.array([len(f) for f, _ in rows])
+    n = np.array([len(r[1]) for r in rows])
     fixed = np.flatnonzero(n == 1)
     if not len(fixed):
-        return np.array([_forward(rows, np.where(np.arange(n[0]) == i, 0.0, np.inf))[0] for i in range(n[0])])
-    head = rows[: fixed[0] + 1]
-    enter = np.array([_forward(head, np.where(np.arange(n[0]) == i, 0.0, np.inf))[0][0] for i in range(n[0])])
-    leave = _forward(rows[fixed[-1] :], np.zeros(1))[0]
-    return enter[:, None] + leave[None, :]
+        m = np.array([_forward(rows, _only(n[0], i))[0] for i in range(n[0])])
+    else:
+        head = rows[: fixed[0] + 1]
+        enter = np.array([_forward(head, _only(n[0], i))[0][0] for i in range(n[0])])
+        m = enter[:, None] + _forward(rows[fixed[-1] :], np.zeros(1, dtype=np.int64))[0][None, :]
+    return m - m.min()
 
 
-def span_path(rows: list[tuple[list[int], list[int]]], enter: int, leave: int) -> np.ndarray:
+def span_path(rows: list[Row], enter: int, leave: int) -> np.ndarray:
     """The reading of every row on the least path of a span between given readings of its first and last row."""
-    n = np.array([len(f) for f, _ in rows])
+    n = np.array([len(r[1]) for r in rows])
     path = np.zeros(len(rows), dtype=np.int64)
-    for a, b in _runs(n):
+    many = np.flatnonzero(n > 1)
+    cuts = np.flatnonzero(np.diff(many) > 1)
+    for a, b in zip(many[np.r_[0, cuts + 1]], many[np.r_[cuts, len(many) - 1]]) if len(many) else ():
         lo, hi = max(a - 1, 0), min(b + 1, len(rows) - 1)
-        start = np.zeros(n[lo]) if lo or n[0] == 1 else np.where(np.arange(n[0]) == enter, 0.0, np.inf)
-        cost, back = _forward(rows[lo : hi + 1], start)
-        at = leave if hi == len(rows) - 1 and n[hi] > 1 else int(cost.argmin())
+        cost, back = _forward(rows[lo : hi + 1], _only(n[0], enter) if lo == 0 else np.zeros(n[lo], dtype=np.int64))
+        at = leave if hi == len(rows) - 1 else int(cost.argmin())
         for k in range(hi, lo, -1):
             path[k] = at
             at = int(back[k - lo - 1][at])
@@ -177,83 +194,164 @@ def span_path(rows: list[tuple[list[int], list[int]]], enter: int, leave: int) -
     return path
 
 
-def chain_path(spans: list[tuple[np.ndarray, list[int], list[int], list[int], list[int]]]) -> list[tuple[int, int]]:
-    """Entry and exit readings of each span of a source, from (matrix, formats and instants of the first row, of the last row)."""
-    cost, back = None, []
-    for k, (m, ff, fu, _, _) in enumerate(spans):
-        if cost is None:
-            enter, before = np.zeros(len(ff)), np.zeros(len(ff), dtype=int)
-        else:
-            lf, lu = spans[k - 1][3], spans[k - 1][4]
-            table = np.array([[cost[i] + step_cost(lf[i], lu[i], ff[j], fu[j]) for i in range(len(lf))] for j in range(len(ff))])
-            before = table.argmin(1)
-            enter = table[np.arange(len(ff)), before]
-        through = enter[:, None] + m
+#: A span to its neighbours: matrix, first row, last row.
+Span = tuple[np.ndarray, Row, Row]
+
+
+def join_spans(a: Span, b: Span) -> Span:
+    """Two spans one after the other as one."""
+    middle = (a[0][:, :, None] + _steps(a[2], b[1])[None]).min(1)
+    m = (middle[:, :, None] + b[0][None]).min(1)
+    return m - m.min(), a[1], b[2]
+
+
+def chain_path(spans: list[Span], enter: int | None = None, leave: int | None = None) -> list[tuple[int, int]]:
+    """Entry and exit readings of each span of a chain on its least path; the first and the last may be given."""
+    first = spans[0][1]
+    cost = np.array([own_cost(first[0], j) if len(first[1]) > 1 else 0 for j in range(len(first[1]))], dtype=np.int64) if enter is None else _only(len(first[1]), enter)
+    back = []
+    for k, (m, _, _) in enumerate(spans):
+        before = np.zeros(len(cost), dtype=np.int64)
+        if k:
+            table = np.minimum(cost[:, None], _FAR - 2**40) + _steps(spans[k - 1][2], spans[k][1])
+            before, cost = table.argmin(0), table.min(0)
+        through = np.minimum(cost[:, None], _FAR - 2**50) + m
         back.append((before, through.argmin(0)))
         cost = through.min(0)
         cost = cost - cost.min()
-    out, leave = [], int(cost.argmin())
+    out, at = [], int(cost.argmin()) if leave is None else leave
     for before, entered in reversed(back):
-        enter = int(entered[leave])
-        out.append((enter, leave))
-        leave = int(before[enter])
+        start = int(entered[at])
+        out.append((start, at))
+        at = int(before[start])
     return out[::-1]
 
 
-def _rows(pdf: pd.DataFrame, ident: str) -> tuple[pd.DataFrame, list[tuple[list[int], list[int]]]]:
-    pdf = pdf.sort_values(ident, kind="stable")
-    return pdf, [(list(f), list(u)) for f, u in zip(pdf["formats"], pdf["instants"])]
+_NODE = "source {k}, id bigint, at bigint, m array<bigint>, fi bigint, ff array<int>, fu array<bigint>, li bigint, lf array<int>, lu array<bigint>"
+
+
+def _span_of(r: tuple) -> Span:
+    first, last = (r.fi, list(r.ff), list(r.fu)), (r.li, list(r.lf), list(r.lu))
+    return np.array(r.m, dtype=np.int64).reshape(len(first[1]), len(last[1])), first, last
+
 
+def _node(source: object, ident: int, at: int, span: Span) -> tuple:
+    m, first, last = span
+    return source, ident, at, m.ravel().tolist(), *first[:3], *last[:3]
 
-def normalise_timestamps(df: DataFrame, ident: str, source: str, value: str, zone: str, span: int = SPAN, **reading) -> DataFrame:
+
+def cut_spans(batches: Iterator[pa.RecordBatch], part: int, size: int) -> Iterator[tuple[object, int, list[Row]]]:
+    """(source, number, rows) of spans of a partition of (source, ident, value, formats, instants) sorted by source and ident.
+
+    Rows of one reading between two such rows decide nothing: most of them are left out, without being looked at.
+    """
+    number, source, seen, held = part << 32, None, 0, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, n = b.column(0), pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)
+        code = pc.dictionary_encode(names, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        at = 0
+        for end in [*(np.flatnonzero(np.diff(code)) + 1).tolist(), b.num_rows]:
+            name = names[at].as_py()
+            while at < end:
+                if seen and (name != source or seen >= size):
+                    yield source, number, held
+                    number, seen, held = number + 1, 0, []
+                source, stop = name, min(end, at + size - seen)
+                many = n[at:stop] > 1
+                near = many | np.r_[many[1:], True] | np.r_[True, many[:-1]]
+                t = b.take(pa.array(np.flatnonzero(near) + at))
+                held += zip(t.column(1).to_pylist(), t.column(3).to_pylist(), t.column(4).to_pylist(), t.column(2).to_pylist())
+                seen += stop - at
+                at = stop
+    if seen:
+        yield source, number, held
+
+
+def normalise_timestamps(df: DataFrame, ident: str, source: str, value: str, zone: str, span: int = SPAN, fan: int = FAN, **reading) -> DataFrame:
     """``(ident, source, value, status, utc_second, format, n_instants, day)``: one row per row of ``df``.
 
     Method: all valid interpretations of each value as arrays (``interpretations``); per ``source``, in the order of the long
-    ``ident``, the least path through them (Viterbi), where switching formats and stepping back in time cost. The order is cut
-    into spans of ``span`` idents, so that one source of any size is many tasks: each span gives the costs between the readings of
-    its first and last row, a short pass per source joins these small matrices, and the spans then choose in parallel. The result
-    is the exact least path. Of equal paths the earliest reading wins.
+    ``ident``, the least path through them (Viterbi), where switching formats and stepping back in time cost, and of paths that
+    are equal in this the one with earlier readings is taken. Rows are range-partitioned by source and ident and cut into spans of
+    at most ``span`` rows, so that a source of any size is many tasks however its idents are spread. Each span gives the costs between the
+    readings of its first and last row; these small matrices are multiplied in a tree of ``fan`` partitions a node, so no task
+    sees all spans of a source; entries and exits come down the tree, and the spans then choose in parallel. Costs are whole
+    numbers: the result is the exact least path however it is cut. Values of one reading never leave the JVM, but for neighbours.
 
     status: ``instant`` (one possible instant), ``chosen`` (several, settled by the path; ``n_instants`` tells how many), ``day``
     (one date without a time), ``none`` (NULL, blank, ranges, impossible or other text); ``utc_second`` and ``format`` are NULL for
     the last two. A NULL source is a source of its own. ``ident`` must be unique and not NULL; rows with NULL ident come out with
     status by their own value and, if ambiguous, their earliest reading. Other columns of ``df`` are ignored. Empty table: no rows.
     """
-    slim = df.select(F.col(ident).alias("ident"), F.col(source).alias("source"), F.col(value).alias("value"))
-    read = cut(interpretations(slim, "value", zone, **reading).withColumn("span", F.expr(f"ident div {int(span)}")))
+    slim = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(source).alias("source"), F.col(value).alias("value"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = interpretations(slim, "value", zone, **reading)
     order = F.array_sort(F.arrays_zip("instants", "formats"))
     read = read.withColumn("_z", order).withColumn("instants", F.col("_z.instants")).withColumn("formats", F.col("_z.formats")).drop("_z")
-    chain = read.where("size(instants) > 0 and ident is not null").select("ident", "source", "span", "value", "formats", "instants")
-
-    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows = _rows(pdf, "ident")
-        m = span_matrix(rows)
-        return pd.DataFrame({"source": pdf["source"].iloc[:1].to_numpy(), "span": pdf["span"].iloc[:1].to_numpy(), "m": [m.ravel().tolist()], "ff": [rows[0][0]], "fu": [rows[0][1]], "lf": [rows[-1][0]], "lu": [rows[-1][1]]})
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span")
-        spans = [(np.array(m).reshape(len(ff), len(lf)), list(ff), list(fu), list(lf), list(lu)) for m, ff, fu, lf, lu in zip(pdf["m"], pdf["ff"], pdf["fu"], pdf["lf"], pdf["lu"])]
-        path = chain_path(spans)
-        return pd.DataFrame({"source": pdf["source"].to_numpy(), "span": pdf["span"].to_numpy(), "enter": [a for a, _ in path], "leave": [b for _, b in path]})
-
-    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows = _rows(left, "ident")
-        path = span_path(rows, int(right["enter"].iloc[0]), int(right["leave"].iloc[0]))
-        n = [len(set(u)) for _, u in rows]
-        return pd.DataFrame({
-            "ident": pdf["ident"].to_numpy(), "source": pdf["source"].to_numpy(), "value": pdf["value"].to_numpy(), "status": ["instant" if k == 1 else "chosen" for k in n],
-            "utc_second": [u[p] for (_, u), p in zip(rows, path)], "format": [f[p] for (f, _), p in zip(rows, path)], "n_instants": n,
-        })
-
+    read = cut(read.repartitionByRange(parts, "source", "ident").sortWithinPartitions("source", "ident", "value"))
+    chain = read.where("size(instants) > 0 and ident is not null").select("source", "ident", "value", "formats", "instants")
     kind = slim.schema["source"].dataType.simpleString()
-    spans = chain.select("ident", "source", "span", "formats", "instants").groupBy("source", "span").applyInPandas(matrices, f"source {kind}, span bigint, m array<double>, ff array<int>, fu array<bigint>, lf array<int>, lu array<bigint>")
-    state = spans.groupBy("source").applyInPandas(ends, f"source {kind}, span bigint, enter int, leave int")
-    settled = chain.groupBy("source", "span").cogroup(state.groupBy("source", "span")).applyInPandas(choose, f"ident bigint, source {kind}, value string, status string, utc_second bigint, format int, n_instants int")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for name, number, rows in cut_spans(batches, part, span):
+            many = [len(r[1]) > 1 for r in rows]
+            open_rows = rows if any(many) else []
+            one = (*_node(name, number, part, (span_matrix(rows), rows[0], rows[-1])), *([r[i] for r in open_rows] for i in range(4)))
+            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(one, schema)], schema=schema)
+
+    node = _NODE.format(k=kind)
+    full = node + ", ids array<bigint>, fs array<array<int>>, us array<array<bigint>>, vs array<string>"
+    schema = to_arrow_schema(df.sparkSession.createDataFrame([], full).schema)
+    made = cut(chain.mapInArrow(spans, full))
+    columns = [c.split()[0] for c in node.split(", ")]
+    levels = [made.select(*columns)]
+    width = parts
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("id").itertuples())
+        whole = _span_of(rows[0])
+        for r in rows[1:]:
+            whole = join_spans(whole, _span_of(r))
+        return pd.DataFrame([_node(rows[0].source, rows[0].id, rows[0].at // fan, whole)], columns=columns)
+
+    while width > fan:
+        below = levels[-1]
+        levels.append(cut(below.groupBy("source", F.expr(f"at div {fan}")).applyInPandas(product, node)))
+        width = -(-width // fan)
+    ends = f"source {kind}, id bigint, at bigint, enter int, leave int"
+
+    def along(pdf: pd.DataFrame, enter: int | None = None, leave: int | None = None) -> pd.DataFrame:
+        rows = list(pdf.sort_values("id").itertuples())
+        path = chain_path([_span_of(r) for r in rows], enter, leave)
+        return pd.DataFrame({"source": [r.source for r in rows], "id": [r.id for r in rows], "at": [r.at for r in rows], "enter": [a for a, _ in path], "leave": [b for _, b in path]})
+
+    def inside(pdf: pd.DataFrame, over: pd.DataFrame) -> pd.DataFrame:
+        return along(pdf, int(over["enter"].iloc[0]), int(over["leave"].iloc[0]))
+
+    state = levels[-1].groupBy("source").applyInPandas(lambda pdf: along(pdf), ends)
+    for below in reversed(levels[:-1]):
+        state = below.groupBy("source", F.expr(f"at div {fan}")).cogroup(state.groupBy("source", "at")).applyInPandas(inside, ends)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        for r in pdf.itertuples():  # one row: a span
+            rows = [(i, list(f), list(u), v) for i, f, u, v in zip(r.ids, r.fs, r.us, r.vs)]
+            path = span_path(rows, int(r.enter), int(r.leave))
+            got += [(i, r.source, v, u[p], f[p], len(set(u))) for (i, f, u, v), p in zip(rows, path) if len(f) > 1]
+        return pd.DataFrame(got, columns=["ident", "source", "value", "utc_second", "format", "n_instants"])
+
+    open_ = made.where("size(ids) > 0").select("id", "ids", "fs", "us", "vs").join(state.select("id", "source", "enter", "leave"), "id")
+    chosen = open_.groupBy("id").applyInPandas(choose, f"ident bigint, source {kind}, value string, utc_second bigint, format int, n_instants int")
     readings = F.array(*map(F.lit, READINGS))
-    settled = settled.select("ident", "source", "value", "status", "utc_second", F.get(readings, F.col("format")).alias("format"), "n_instants", F.lit(None).cast("date").alias("day"))
-    rest = read.where("size(instants) = 0 or ident is null").select(
+    chosen = chosen.select("ident", "source", "value", F.when(F.col("n_instants") == 1, "instant").otherwise("chosen").alias("status"), "utc_second", F.get(readings, F.col("format")).alias("format"), "n_instants", F.lit(None).cast("date").alias("day"))
+    rest = read.where("size(instants) <= 1 or ident is null").select(
         "ident", "source", "value",
         F.expr("case when size(instants) > 0 then if(size(array_distinct(instants)) = 1, 'instant', 'chosen') when day is not null then 'day' else 'none' end").alias("status"),
         F.when(F.size("instants") > 0, F.get("instants", F.lit(0))).alias("utc_second"), F.when(F.size("formats") > 0, F.get(readings, F.get("formats", F.lit(0)))).alias("format"), F.size(F.array_distinct("instants")).alias("n_instants"), "day",
     )
-    return settled.unionByName(rest)
+    return chosen.unionByName(rest)

@@ -11,11 +11,11 @@ from loam.operators.timestamps import normalise_timestamps
 from loam.plans import views as V
 from loam.plans.registry import query
 from loam.plans.sql import laea_sql
-from loam.plans.timestamps_sql import FOUND_SQL
+from loam.plans.timestamps_sql import CHOSEN_SQL, FOUND_SQL
 from loam.sources.tables import table
 
 
-@query()
+@query(CHOSEN_SQL)
 def p3_timestamps(spark: SparkSession, d: str) -> DataFrame:
     """Every event date with its status, instant and the format it was read in."""
     seen = table(spark, d, "heracleum_ua_clean").select("ingest_id", "datasetKey", "eventDate")

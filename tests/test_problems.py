@@ -44,22 +44,85 @@ def test_path_settles_order_of_day_and_month(spark):
     assert got["s", 2][0] == got["s", 3][0] == "slash_mdy" and got["t", 5] == ("slash_dmy", "chosen") and got[None, 6][1] == "chosen"
 
 
-def test_spans_give_the_exact_path():
-    r = random.Random(5)
+def _random_rows(seed, n, single=True):
+    r = random.Random(seed)
     rows = []
-    for _ in range(9):
-        k = r.choice([1, 2, 2, 3])
-        rows.append(([r.randint(0, 2) for _ in range(k)], sorted(r.randint(0, 9) * 86400 for _ in range(k))))
+    for i in range(n):
+        k = r.choice([1, 2, 2, 3] if single else [2, 3])
+        rows.append((100 + 7 * i, [r.randint(0, 2) for _ in range(k)], sorted(r.randint(0, 9) * 86400 for _ in range(k))))
+    return rows
 
-    def cost(path):
-        return sum(T.step_cost(a[0][i], a[1][i], b[0][j], b[1][j]) for (a, i), (b, j) in zip(zip(rows, path), list(zip(rows, path))[1:]))
 
-    best = min(cost(p) for p in itertools.product(*[range(len(f)) for f, _ in rows]))
+def _path_cost(rows, path):
+    own = sum(T.own_cost(r[0], i) if len(r[1]) > 1 else 0 for r, i in zip(rows, path))
+    return own + sum(T.step_cost(a[1][i], a[2][i], b[1][j], b[2][j]) for (a, i), (b, j) in zip(zip(rows, path), list(zip(rows, path))[1:]))
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_spans_give_the_exact_path(single):
+    """Against all paths; whatever the spans, and whether they are chained at once or as a tree."""
+    rows = _random_rows(5, 9, single)
+    best = min(itertools.product(*[range(len(r[1])) for r in rows]), key=lambda p: _path_cost(rows, p))
     for size in (1, 2, 4, 9):
-        spans = [rows[i : i + size] for i in range(0, len(rows), size)]
-        ends = T.chain_path([(T.span_matrix(s), s[0][0], s[0][1], s[-1][0], s[-1][1]) for s in spans])
-        path = [int(x) for s, (a, b) in zip(spans, ends) for x in T.span_path(s, a, b)]
-        assert cost(path) == pytest.approx(best)
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        spans = [(T.span_matrix(p), p[0], p[-1]) for p in parts]
+        ends = T.chain_path(spans)
+        assert [int(x) for p, (a, b) in zip(parts, ends) for x in T.span_path(p, a, b)] == list(best)
+        pairs = [spans[i : i + 2] for i in range(0, len(spans), 2)]
+        tops = [p[0] if len(p) == 1 else T.join_spans(*p) for p in pairs]
+        down = [e for p, (a, b) in zip(pairs, T.chain_path(tops)) for e in T.chain_path(p, a, b)]
+        assert down == ends
+
+
+def _shortest(rows):
+    """The least path over a graph of all readings, by relaxing until nothing changes: nothing of the operator is used but its costs."""
+    nodes = [(i, j) for i, r in enumerate(rows) for j in range(len(r[1]))]
+    own = lambda i, j: T.own_cost(rows[i][0], j) if len(rows[i][1]) > 1 else 0
+    dist = {(i, j): (own(i, j), ((i, j),)) if i == 0 else (10**30, ()) for i, j in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in nodes:
+            for k in range(len(rows[i + 1][1])) if i + 1 < len(rows) else ():
+                c = dist[i, j][0] + T.step_cost(rows[i][1][j], rows[i][2][j], rows[i + 1][1][k], rows[i + 1][2][k]) + own(i + 1, k)
+                if c < dist[i + 1, k][0]:
+                    dist[i + 1, k], changed = (c, (*dist[i, j][1], (i + 1, k))), True
+    return [j for _, j in min(dist[n] for n in nodes if n[0] == len(rows) - 1)[1]]
+
+
+@pytest.mark.parametrize("span,fan", [(10_000, 64), (3, 64), (1, 2), (5, 2)])
+def test_chosen_instants_are_the_shortest_path(spark, span, fan):
+    """Slashed dates of two sources, one with far-spread idents and one of ambiguous dates only; many spans, partitions and levels of the tree."""
+    r = random.Random(11)
+    data = []
+    for s, idents in (("a", sorted(r.sample(range(10**12), 60))), ("b", range(40)), (None, range(7))):
+        for i in idents:
+            d, m = r.randint(1, 28), r.randint(1, 12)
+            if s == "b":
+                d = r.randint(1, 12)
+            data.append((i, s, f"{d:02d}/{m:02d}/20{r.randint(10, 12)} 10:00 Z" if s == "b" or r.random() < 0.7 else f"20{r.randint(10, 12)}-{m:02d}-{d:02d}T10:00:00Z"))
+    df = spark.createDataFrame(data, "i long, s string, v string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {(x["source"], x["ident"]): (x["utc_second"], x["format"]) for x in T.normalise_timestamps(df, "i", "s", "v", "UTC", span=span, fan=fan).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    read = {(x["s"], x["i"]): sorted(zip(x["instants"], x["formats"])) for x in T.interpretations(df, "v", "UTC").collect()}
+    for s in ("a", "b", None):
+        rows = [(i, [f for _, f in z], [u for u, _ in z]) for i, z in sorted((k[1], z) for k, z in read.items() if k[0] == s and z)]
+        assert [got[s, x[0]] for x in rows] == [(x[2][p], T.READINGS[x[1][p]]) for x, p in zip(rows, _shortest(rows))]
+    assert len(got) == len(data)
+
+
+def test_spans_of_sparse_idents_are_bounded(spark):
+    import pyarrow as pa
+
+    rows = [("s", i * 10**9, "v", [1, 2] if i % 3 else [1], [5, 6] if i % 3 else [5]) for i in range(1000)] + [("t", 1, "v", [1], [5])]
+    t = pa.table(dict(zip(("source", "ident", "value", "formats", "instants"), map(list, zip(*rows)))))
+    got = list(T.cut_spans(t.to_batches(max_chunksize=170), 3, 64))
+    assert [s for s, _, _ in got] == ["s"] * 16 + ["t"] and max(len(r) for _, _, r in got) <= 64 and len({n for _, n, _ in got}) == 17
+    assert [r[0] for s, _, part in got for r in part if len(r[1]) > 1] == [i * 10**9 for i in range(1000) if i % 3]
 
 
 def test_empty_and_null_ids(spark):
