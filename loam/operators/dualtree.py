@@ -117,67 +117,106 @@ def inside(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _box_verdict(edges: np.ndarray, w: np.ndarray, s: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For boxes: whether they are certainly inside, and whether they are uncertain (an edge's box touches theirs)."""
-    touched = np.zeros(len(w), dtype=bool)
-    for x1, y1, x2, y2 in edges:
-        touched |= (w <= max(x1, x2)) & (e >= min(x1, x2)) & (s <= max(y1, y2)) & (n >= min(y1, y2))
-    return ~touched & inside(edges, (w + e) / 2, (s + n) / 2), touched
-
+def region_cells(edges: np.ndarray, leaf: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last columns of stretches of square cells of side ``leaf`` that a region touches (an edge runs through) or holds whole, and whether they are whole.
 
-def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame, region_id: str, wkt: str, leaf: float = 1000.0, block_bytes: int = 4_000_000) -> DataFrame:
+    An edge meets the rows its box spans, and in each of them only the columns it runs through; what lies between the touched cells of a row
+    is inside or outside as a whole, by the even-odd rule at one place. So the work is that of the outline, not of the area.
+    """
+    if not len(edges):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3)) + (np.zeros(0, dtype=bool),)
+    x1, y1, x2, y2 = edges.T
+    first = np.floor(np.minimum(y1, y2) / leaf).astype(np.int64)
+    count = np.floor(np.maximum(y1, y2) / leaf).astype(np.int64) - first + 1
+    e = np.repeat(np.arange(len(edges)), count)
+    row = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    ax, ay, bx, by = x1[e], y1[e], x2[e], y2[e]
+    slope = np.where(ay != by, (bx - ax) / np.where(ay != by, by - ay, 1.0), 0.0)
+    low, high = np.minimum(ax, bx), np.maximum(ax, bx)
+    at = [np.clip(ax + (np.clip(y, np.minimum(ay, by), np.maximum(ay, by)) - ay) * slope, low, high) for y in (row * leaf, (row + 1) * leaf)]
+    flat = ay == by
+    lo, hi = np.where(flat, low, np.minimum(*at)), np.where(flat, high, np.maximum(*at))
+    slack = 1e-9 * (np.abs(lo) + np.abs(hi) + leaf)
+    c0, c1 = np.floor((lo - slack) / leaf).astype(np.int64), np.floor((hi + slack) / leaf).astype(np.int64)
+    order = np.lexsort((c0, row))
+    row, c0, c1, e = row[order], c0[order], c1[order], e[order]
+    out: list[tuple[int, int, int, bool]] = []
+    cuts = np.r_[0, np.flatnonzero(np.diff(row)) + 1, len(row)]
+    for s, t in zip(cuts[:-1], cuts[1:]):
+        r, y = int(row[s]), (row[s] + 0.5) * leaf
+        part = edges[e[s:t]]
+        cross = (part[:, 1] > y) != (part[:, 3] > y)
+        p = part[cross]
+        xs = np.sort((p[:, 2] - p[:, 0]) * (y - p[:, 1]) / (p[:, 3] - p[:, 1]) + p[:, 0])
+        reach = np.maximum.accumulate(c1[s:t])
+        fresh = np.r_[True, c0[s + 1 : t] > reach[:-1]]
+        begin, end = c0[s:t][fresh], np.r_[reach[np.flatnonzero(fresh)[1:] - 1], reach[-1]]
+        out += [(r, int(a), int(b), False) for a, b in zip(begin, end)]
+        gap0, gap1 = end[:-1] + 1, begin[1:] - 1
+        right = len(xs) - np.searchsorted(xs, (gap0 + 0.5) * leaf, side="right")
+        out += [(r, int(a), int(b), True) for a, b, k in zip(gap0, gap1, right) if a <= b and k % 2]
+    rows, a, b, sure = zip(*out)
+    return np.array(rows), np.array(a), np.array(b), np.array(sure)
+
+
+#: Columns of a stretch of cells that are joined as one; rows whose edges meet their points in one task, and points in one task.
+WIDE_COLUMNS, BAND_ROWS, POINT_BITS = 64, 16, 14
+
+
+def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame, region_id: str, wkt: str, leaf: float = 1000.0) -> DataFrame:
     """``(ident, region_id)``: the regions, polygons as text in the plane of ``x`` and ``y``, that hold each point.
 
-    Method: points become nodes of side ``leaf`` with tight boxes. A node no edge of a region touches is inside or outside as
-    a whole; only points of touched nodes are tested one by one. Regions are the query set: they go to the tasks in blocks of
-    at most ``block_bytes`` of text (or one region), one pass over the nodes per block, however many there are. Points without
-    coordinates and regions without a polygon match nothing; points outside all regions do not come out; a point in two
-    overlapping regions comes out twice, repeated rows repeatedly.
+    Method: points become nodes, squares of side ``leaf``. Regions become stretches of the same squares, touched by their outline or
+    inside as a whole (``region_cells``). Nodes and stretches meet in one equi-join on row and a few columns, so a node meets only
+    regions about it, however many regions there are; points of nodes inside are taken whole, and only points of touched nodes are
+    tested, against the edges of their rows, in chunks of a bounded number of points. One pass over the points, whatever the number
+    of regions; nothing but the plan is on the driver. Points without coordinates and regions without a polygon match nothing;
+    points outside all regions do not come out; a point in two overlapping regions comes out twice, repeated rows repeatedly. A NULL
+    region id is a region; rows of one id are regions of their own.
     """
-    p = points.select(F.col(ident).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    p = p.withColumn("row", F.floor(F.col("y") / leaf)).withColumn("col", F.floor(F.col("x") / leaf))
-    nodes = cut(p.groupBy("row", "col").agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n")))
     kind = regions.schema[region_id].dataType.simpleString()
-    out = None
-    sized = regions.select(F.col(region_id).alias("id"), F.col(wkt).alias("wkt")).where("wkt is not null").orderBy("id")
-    block: list[tuple[object, np.ndarray]] = []
-    size = 0
-
-    def matches(block: list[tuple[object, np.ndarray]]) -> DataFrame:
-        def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for name, edges in block:
-                    sure, open_ = _box_verdict(edges, *(b[c].to_numpy() for c in ("w", "s", "e", "n")))
-                    keep = sure | open_
-                    if keep.any():
-                        yield pd.DataFrame({"row": b["row"][keep], "col": b["col"][keep], "region": [name] * int(keep.sum()), "sure": sure[keep]})
-
-        polygons = dict(block)
-
-        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                keep = b["sure"].to_numpy(dtype=bool).copy()
-                for name, part in b[~keep].groupby("region"):
-                    keep[b.index.get_indexer(part.index)] = inside(polygons[name], part["x"].to_numpy(), part["y"].to_numpy())
-                if keep.any():
-                    yield pd.DataFrame({c: b[c].to_numpy()[keep].tolist() for c in ("_id", "region")})
-
-        found = nodes.mapInPandas(classify, f"row bigint, col bigint, region {kind}, sure boolean")
-        return p.join(found, ["row", "col"]).select("_id", "x", "y", "region", "sure").mapInPandas(test, f"_id {p.schema['_id'].dataType.simpleString()}, region {kind}")
-
-    def flush() -> None:
-        nonlocal out, block, size
-        if block:
-            found = matches(block)
-            out = found if out is None else out.unionByName(found)
-        block, size = [], 0
-
-    for r in sized.toLocalIterator():
-        if size and size + len(r["wkt"]) > block_bytes:
-            flush()
-        block.append((r["id"], parse_polygons(r["wkt"])))
-        size += len(r["wkt"])
-    flush()
-    if out is None:
-        out = p.select("_id", F.lit(None).cast(kind).alias("region")).where("false")
-    return out.withColumnsRenamed({"_id": ident, "region": region_id})
+    p = points.select(F.col(ident).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("abs(x) < 1e300 and abs(y) < 1e300")
+    p = p.withColumn("row", F.floor(F.col("y") / leaf)).withColumn("col", F.floor(F.col("x") / leaf))
+    shapes = cut(regions.select(F.col(region_id).alias("region"), F.col(wkt).cast("string").alias("wkt")).where("wkt is not null").withColumn("n", F.monotonically_increasing_id()))
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, text in zip(b["n"], b["wkt"]):
+                row, c0, c1, sure = region_cells(parse_polygons(text), leaf)
+                if len(row):
+                    yield pd.DataFrame({"n": n, "row": row, "c0": c0, "c1": c1, "sure": sure})
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, text in zip(b["n"], b["wkt"]):
+                e = parse_polygons(text)
+                e = e[e[:, 1] != e[:, 3]]
+                lo, hi = (np.floor(f(e[:, 1], e[:, 3]) / (leaf * BAND_ROWS)).astype(np.int64) for f in (np.minimum, np.maximum))
+                k = np.repeat(np.arange(len(e)), hi - lo + 1)
+                band = np.repeat(lo - np.r_[0, np.cumsum(hi - lo + 1)[:-1]][: len(lo)], hi - lo + 1) + np.arange(len(k))
+                if len(k):
+                    yield pd.DataFrame({"n": n, "band": band, "x1": e[k, 0], "y1": e[k, 1], "x2": e[k, 2], "y2": e[k, 3]})
+
+    cells = shapes.select("n", "wkt").mapInPandas(stretches, "n bigint, row bigint, c0 bigint, c1 bigint, sure boolean")
+    cells = cells.withColumn("wide", F.explode(F.sequence(F.floor(F.col("c0") / WIDE_COLUMNS), F.floor(F.col("c1") / WIDE_COLUMNS))))
+    nodes = p.select("row", "col").distinct().withColumn("wide", F.floor(F.col("col") / WIDE_COLUMNS))
+    found = nodes.join(cells, ["row", "wide"]).where("col between c0 and c1").select("row", "col", "n", "sure")
+    met = cut(p.join(found, ["row", "col"]).select("_id", "x", "y", "row", "n", "sure"))
+    open_ = met.where("not sure").select("_id", "x", "y", "n", F.floor(F.col("row") / BAND_ROWS).alias("band"), F.shiftright(F.monotonically_increasing_id(), POINT_BITS).alias("turn"))
+    open_ = cut(open_)
+    edges = shapes.select("n", "wkt").mapInPandas(bands, "n bigint, band bigint, x1 double, y1 double, x2 double, y2 double")
+    asked = open_.select(F.col("n").alias("_n"), F.col("band").alias("_band"), F.col("turn").alias("_turn")).distinct()
+    needed = edges.join(asked, (edges["n"] == F.col("_n")) & (edges["band"] == F.col("_band"))).select("n", "_band", "_turn", "x1", "y1", "x2", "y2")
+    id_kind = p.schema["_id"].dataType.simpleString()
+
+    def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        outline = dict(list(right.groupby("n")))
+        for n, part in left.groupby("n"):
+            keep = inside(outline[n][["x1", "y1", "x2", "y2"]].to_numpy(), part["x"].to_numpy(), part["y"].to_numpy()) if n in outline else np.zeros(len(part), dtype=bool)
+            out.append(part.loc[keep, ["_id", "n"]])
+        return pd.concat(out) if out else pd.DataFrame({"_id": [], "n": []})
+
+    tested = open_.groupBy("band", "turn").cogroup(needed.groupBy("_band", "_turn")).applyInPandas(test, f"_id {id_kind}, n bigint")
+    out = met.where("sure").select("_id", "n").unionByName(tested)
+    return out.join(shapes.select("n", F.col("region").cast(kind).alias("region")), "n").select(F.col("_id").alias(ident), F.col("region").alias(region_id))

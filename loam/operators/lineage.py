@@ -27,3 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loam-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+#: Rows of a side of a join that may be broadcast (keys and a few short columns: about 60 MB).
+SMALL_ROWS = 1_000_000
+
+
+def join_hint(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table (see ``cut``) marked for a broadcast join if it is counted to be small, else for a join by shuffle and sort."""
+    return df.hint("broadcast" if df.count() <= rows else "merge")

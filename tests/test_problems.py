@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.geo import EARTH_RADIUS, laea_xy
 from loam.operators import timestamps as T
-from loam.operators.dualtree import inside, parse_polygons, regions_of, within_distance
+from loam.operators.dualtree import inside, parse_polygons, region_cells, regions_of, within_distance
 
 CASES = [
     ("2020-07-01T12:00:00", "instant", 1593594000), ("2020-07-01T12:00:00Z", "instant", 1593604800), ("2020-07-01T12:00:00.999Z", "instant", 1593604800), ("20200701T120000Z", "instant", 1593604800),
@@ -164,14 +164,35 @@ def test_regions(spark):
     xy = np.vstack([r.uniform(-500, 8500, (400, 2)), [[4000, 2000], [0, 0], [8000, 10]]])
     pts = spark.createDataFrame([(i, float(x), float(y), "q") for i, (x, y) in enumerate(xy)] + [(9999, None, 1.0, "q"), (9998, float("nan"), 1.0, "q")], "i long, x double, y double, region string")
     want = sorted((i, k) for k, w in wkt.items() for i in np.flatnonzero(inside(parse_polygons(w), xy[:, 0], xy[:, 1])))
-    for block in (4_000_000, 10):
-        assert sorted((x["i"], x["code"]) for x in regions_of(pts, "i", "x", "y", units, "code", "geom", block_bytes=block).collect()) == want
+    for leaf in (1000.0, 37.0, 50_000.0):
+        assert sorted((x["i"], x["code"]) for x in regions_of(pts, "i", "x", "y", units, "code", "geom", leaf=leaf).collect()) == want
     border = [k for i, k in want if i == 400]
     assert border == ["b"]
     assert regions_of(pts, "i", "x", "y", units.where("false"), "code", "geom").count() == 0
     assert regions_of(pts.where("false"), "i", "x", "y", units, "code", "geom").count() == 0
 
 
+def test_region_cells_hold_what_they_say():
+    """Cells of a ragged polygon with a hole: those called whole are inside at every corner, those not named are outside, work follows the outline."""
+    r = np.random.default_rng(4)
+    a = np.sort(r.uniform(0, 2 * np.pi, 60))
+    ring = np.c_[np.cos(a), np.sin(a)] * r.uniform(300, 900, 60)[:, None]
+    hole = np.c_[np.cos(a), np.sin(a)][::-1] * 120
+    text = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in np.vstack([ring, ring[:1]])) + "), (" + ", ".join(f"{x} {y}" for x, y in np.vstack([hole, hole[:1]])) + "))"
+    edges = parse_polygons(text)
+    named = {}
+    for row, c0, c1, sure in zip(*region_cells(edges, 20.0)):
+        for c in range(c0, c1 + 1):
+            assert (row, c) not in named
+            named[int(row), c] = bool(sure)
+    xy = r.uniform(-1000, 1000, (5000, 2))
+    ok = inside(edges, xy[:, 0], xy[:, 1])
+    for (x, y), k in zip(xy, ok):
+        kind = named.get((int(y // 20), int(x // 20)))
+        assert k if kind is True else True if kind is False else not k
+    assert sum(named.values()) > 300 and len(region_cells(np.zeros((0, 4)), 20.0)[0]) == 0
+
+
 def test_projection_origin(spark):
     x, y = laea_xy(F.lit(10.0), F.lit(52.0))
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
