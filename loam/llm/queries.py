@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.regions import cell_regions
 from loam.llm import clusters, leakage, names, packing, quality, splits, survivor, topn
-from loam.operators.lineage import cut
+from loam.operators.lineage import cut, join_hint
 from loam.operators.timestamps import interpretations
 from loam.plans.problems import located
 from loam.plans.timestamps_sql import INSTANTS_SQL
@@ -58,7 +58,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_top_cells(spark: SparkSession, d: str) -> DataFrame:
     """The 10 best cells of every run and region with score and rank."""
     scores = table(spark, d, "suitability_predictions").select("run_id", "cell_id", "suitability_targetbg_raw").where("suitability_targetbg_raw between 0 and 1 and run_id is not null")
-    return topn.top_n(scores.join(_regions(spark, d), "cell_id"), ["run_id", "oblast_code"], "suitability_targetbg_raw", "cell_id", 10)
+    # the map of cells is broadcast if it is small, so that heaps come before the first shuffle of the scores
+    return topn.top_n(scores.join(join_hint(cut(_regions(spark, d))), "cell_id"), ["run_id", "oblast_code"], "suitability_targetbg_raw", "cell_id", 10)
 
 
 @query

@@ -173,6 +173,16 @@ def test_top_n_is_brute_force(spark, monkeypatch, buffer):
         topn.top_n(df, ["g"], "s", "i", 0)
 
 
+def test_sorted_heaps_merge_within_a_buffer(monkeypatch):
+    """Groups over many batches and buffers, one of them larger than the buffer."""
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 7)
+    r = random.Random(3)
+    rows = sorted([(g, r.randint(0, 9) / 2, r.randint(0, 30)) for g in "abcd" for _ in range(60 if g == "b" else 5)])
+    t = pa.table(dict(zip(("g", "s", "i"), map(list, zip(*rows)))))
+    got = pa.Table.from_batches(topn.merge_sorted(iter(t.to_batches(max_chunksize=3)), ["g"], "s", "i", 4, "rank")).to_pylist()
+    assert {(x["g"], x["i"], x["rank"]) for x in got} == _top(rows, 4)
+
+
 def test_heaps_merge():
     t = pa.table({"g": ["a", "a", "a", None], "s": [1.0, 2.0, 2.0, 3.0], "i": [1, 5, 2, 9]})
     assert topn.merge_heaps(t, ["g"], "s", "i", 2).sort_by("i").to_pydict()["i"] == [2, 5, 9]
@@ -490,8 +500,8 @@ def _leak_words(r, n):
     return [f"w{r.randint(0, 30)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("block", [400_000, 20])
-def test_leaks_are_brute_force(spark, block):
+@pytest.mark.parametrize("block,bits", [(400_000, 1), (20, 2**21), (20, 2)])
+def test_leaks_are_brute_force(spark, block, bits):
     r = random.Random(9)
     items = [(i, " ".join(_leak_words(r, 25))) for i in range(12)] + [(90, "too short"), (91, None), (92, ""), (3, None)]
     docs = []
@@ -505,7 +515,7 @@ def test_leaks_are_brute_force(spark, block):
     docs += [(100, None), (101, ""), (102, LONG + items[0][1]), (102, LONG + items[0][1])]
     df = spark.createDataFrame([(*x, 1) for x in docs], "d long, t string, id int")
     its = spark.createDataFrame(items, "item long, words string")
-    got = {(x["d"], x["item"]) for x in leakage.find_leaks(df, "d", "t", its, "item", "words", split=leakage.plain_words, block_shingles=block).collect()}
+    got = {(x["d"], x["item"]) for x in leakage.find_leaks(df, "d", "t", its, "item", "words", split=leakage.plain_words, block_shingles=block, filter_words=bits).collect()}
     want = set()
     for d, t in docs:
         s = " " + " ".join(mail.words(t or "")) + " "
@@ -517,6 +527,29 @@ def test_leaks_are_brute_force(spark, block):
     assert leakage.find_leaks(df, "d", "t", its.where("false"), "item", "words").count() == 0 == leakage.find_leaks(df.where("false"), "d", "t", its, "item", "words").count()
 
 
+def test_corpus_is_read_once(spark):
+    """The number of times a text is split does not grow with the items, of which there are many blocks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return leakage.plain_words(text)
+
+    docs = spark.range(30).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id") % 7) for i in range(20)]).alias("t"))
+    for n in (2, 40):
+        its = spark.range(n).select(F.col("id").alias("item"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id")) for i in range(15)]).alias("words"))
+        before = seen.value
+        assert leakage.find_leaks(docs, "id", "t", its, "item", "words", split=counted, block_shingles=3).count() > 0
+        assert seen.value - before == 30
+
+
+def test_filter_holds_every_hash(spark):
+    h = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
+    df = spark.createDataFrame([(int(x),) for x in h], "h long")
+    bloom = leakage.bloom_set(df, 1200)
+    assert bloom(h.view(np.uint64)).all() and bloom(np.arange(10_000, dtype=np.uint64)).mean() < 0.05
+
+
 def test_leak_must_lie_within_one_part(spark):
     words = [f"w{i}" for i in range(20)]
     body = MULTI.replace("0J/RgNC40LLRltGC", "").replace("Content-Transfer-Encoding: base64\n\n\n", "\n" + " ".join(words[:8]) + "\n").replace("attached words", " ".join(words[8:20]))
