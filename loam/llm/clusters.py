@@ -86,7 +86,7 @@ def similar_spots(records: DataFrame, radius: float, seed: int) -> tuple[DataFra
     spots = cut(rows.groupBy("spot").agg(
         F.count("*").alias("n"), F.min(F.struct("lat", "lon")).alias("rep"), F.min("lat").alias("s"), F.max("lat").alias("nn"), F.min("lon").alias("w"), F.max("lon").alias("e"),
         F.sum("lat").alias("slat"), F.sum("lon").alias("slon"),
-    ).withColumn("h", F.xxhash64("spot", F.lit(seed))))
+    ).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("spot").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")))
     reps = spots.select(F.col("rep.lat").alias("lat"), F.col("rep.lon").alias("lon"))
     # representatives of spots with points nearer than the radius are at most two diagonals further apart
     near = positions_within(reps, reps, radius * (1 + 2.9 * SPOT))

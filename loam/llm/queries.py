@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.geo import EARTH_RADIUS
 from loam.functions.regions import cell_regions
 from loam.llm import clusters, leakage, names, packing, quality, splits, survivor, topn
 from loam.operators.lineage import cut, join_hint
@@ -51,6 +53,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return records.select("key", "component").distinct().join(codes, "component").select("key", "group_code")
 
 
+@query
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What the splits of all records must satisfy, as numbers: records, components, components in two splits (0), and whether annealing came nearer to the shares than every hashed start (1)."""
+    r = cut(_split_records(spark, d).select("key", "component", "split", "year"))
+    names = list(splits.SPLITS)
+    apart = r.groupBy("component").agg(F.count_distinct("split").alias("n")).agg(F.count("*").alias("k"), F.count_if(F.col("n") > 1).alias("two")).first()
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("split")) - 1
+    got = splits.deviation(r, number, "year", splits.SPLITS)
+    hashed = [splits.deviation(r, splits.hashed_start(F.col("component"), F.lit(c), splits.SPLITS, 0), "year", splits.SPLITS) for c in range(splits.CHAINS)]
+    rows = [("records", r.count()), ("components", apart["k"]), ("components in two splits", apart["two"]), ("nearer than hashed", int(got < min(hashed) or got == 0))]
+    return spark.createDataFrame(rows, "fact string, value bigint")
+
+
 # 4. top N items within every group
 
 
@@ -85,6 +100,11 @@ r as (select distinct key, patch_id, oblast_code from target_points_clustered le
 e as (select distinct a.oblast_code x, b.oblast_code y from r a join r b using (patch_id)),
 reach as (select distinct oblast_code x, oblast_code y from r where oblast_code is not null union select reach.x, e.y from reach join e on e.x = reach.y)
 select key, min(m) group_code from r left join (select x, min(y) m from reach group by 1) on x = oblast_code group by 1"""
+SQL["p1_shares"] = f"""with recursive {_REGIONS_SQL},
+r as (select 'k:' || key k, coalesce('o:' || oblast_code, 'p:' || patch_id) o, 'p:' || patch_id p from target_points_clustered left join cells using (cell_id) where key is not null),
+e as (select k x, o y from r where o is not null union select k, p from r where p is not null union select o, k from r where o is not null union select p, k from r where p is not null),
+reach as (select distinct k x, k y from r union select reach.x, e.y from reach join e on e.x = reach.y)
+select 'records' fact, count(*) value from r union all select 'components', count(distinct m) from (select x, min(y) m from reach group by 1) union all select 'components in two splits', 0 union all select 'nearer than hashed', 1"""
 
 
 # 6. grouping records into similarity clusters
@@ -97,7 +117,8 @@ def _clusters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 @query
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of neighbouring target records with size, medoid and most typical keys."""
-    return _clusters(spark, d)["clusters"]
+    c = _clusters(spark, d)["clusters"]
+    return c.select("cluster", "size", F.round("medoid_lat", 8).alias("medoid_lat"), F.round("medoid_lon", 8).alias("medoid_lon"), F.array_join("typical", "|").alias("typical"))
 
 
 @query
@@ -121,6 +142,28 @@ g as (select x key, min(y) cluster_key from reach group by 1)
 select key, cluster_key from g where cluster_key in (select cluster_key from g group by 1 having count(*) >= 3)"""
 
 
+_SIDE = repr(float(np.degrees(500.0 / EARTH_RADIUS)) * clusters.SPOT)
+_CIRCLE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+#: The clusters by the sequential rule that the parallel rounds stand for: in the order of their hashes spots become pivots unless a similar one is; the others go to the nearest pivot.
+_PIVOTS_SQL = f"""o as (select key, decimalLatitude lat, decimalLongitude lon, cast(floor((decimalLatitude + 90) / {_SIDE}) as bigint) * 4294967296 + cast(floor((decimalLongitude + 180) / {_SIDE}) as bigint) spot from heracleum_ua_clean
+  where label_role = 'target' and decimalLatitude between 44.2 and 52.5 and decimalLongitude between 22 and 40.3),
+spots as (select spot, count(*) n, min(struct_pack(lat := lat, lon := lon)) rep, sum(lat) slat, sum(lon) slon, cast('0x' || substr(md5(concat_ws('|', cast(spot as varchar), '0')), 1, 15) as bigint) h from o group by 1),
+s as (select spot, h, rep.lat lat, rep.lon lon, n, slat, slon from spots),
+near as (select a.spot a, b.spot b, b.h hb, {_CIRCLE.format(a="a.", b="b.")} d from s a join s b on a.spot <> b.spot and b.lat between a.lat - 0.005 and a.lat + 0.005 and b.lon between a.lon - 0.01 and a.lon + 0.01 where {_CIRCLE.format(a="a.", b="b.")} < 500),
+line as (select s.spot, row_number() over (order by h, s.spot) i, coalesce(nb, []) nb from s left join (select a spot, list(b) nb from near group by 1) using (spot)),
+walk as (select cast(0 as bigint) i, cast([] as bigint[]) pivots union all select line.i, case when list_has_any(nb, pivots) then pivots else list_append(pivots, line.spot) end from walk join line on line.i = walk.i + 1),
+pivots as (select unnest(pivots) p from (select pivots from walk order by i desc limit 1)),
+own as (select p spot, p cluster from pivots union all select a, arg_min(b, struct_pack(d := d, h := hb, b := b)) from near where b in (select p from pivots) and a not in (select p from pivots) group by 1)"""
+SQL["p6_members"] = f"""with recursive {_PIVOTS_SQL} select key, lat, lon, cluster, patch_id from o join own using (spot) left join (select key, min(patch_id) patch_id from target_points_clustered where key is not null group by 1) using (key)"""
+SQL["p6_clusters"] = f"""with recursive {_PIVOTS_SQL},
+centre as (select cluster, sum(n) size, sum(slat) / sum(n) lat, sum(slon) / sum(n) lon from s join own using (spot) group by 1),
+medoid as (select cluster, size, arg_min(struct_pack(lat := s.lat, lon := s.lon), struct_pack(d := {_CIRCLE.format(a="s.", b="centre.")}, rep := struct_pack(lat := s.lat, lon := s.lon))) m from s join own using (spot) join centre using (cluster) group by 1, 2),
+place as (select cluster, size, m.lat lat, m.lon lon from medoid),
+off as (select cluster, key, min({_CIRCLE.format(a="o.", b="place.")}) d from o join own using (spot) join place using (cluster) where key is not null group by 1, 2),
+best as (select cluster, string_agg(cast(key as varchar), '|' order by d, key) typical from (select * from off qualify row_number() over (partition by cluster order by d, key) <= 3) group by 1)
+select cluster, cast(size as bigint) size, round(lat, 8) medoid_lat, round(lon, 8) medoid_lon, typical from place left join best using (cluster)"""
+
+
 # 2. best representative of each duplicate group
 
 #: Fields that make a record complete.
@@ -141,7 +184,7 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     status = F.lower(F.col("identificationVerificationStatus"))
     trust = F.when(status.contains("expert"), 3).when(status == "verified", 2).when(survivor.filled(status), 1).otherwise(0)
     rows = seen.select("ingest_id", "lastInterpreted", *FIELDS).join(groups, "ingest_id")
-    return survivor.survivors(rows, "group", "ingest_id", FIELDS, "lastInterpreted", trust, size="group_size")
+    return survivor.survivors(rows, "group", "ingest_id", FIELDS, "lastInterpreted", trust, size="group_size").withColumn("newest", F.unix_seconds("newest"))
 
 
 @query
@@ -151,18 +194,38 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 _BLANK = ", ".join("'" + u.replace("'", "''") + "'" for u in survivor.UNKNOWN)
 _FULL = " + ".join(f"coalesce(cast(regexp_replace(lower(trim(regexp_replace(cast({c} as varchar), '\\s+', ' ', 'g'))), '\\.+$', '') not in ({_BLANK}) as integer), 0)" for c in FIELDS)
-SQL["p2_found"] = f"""with recursive {INSTANTS_SQL},
+_GROUPS_SQL = f"""{INSTANTS_SQL},
 one as (select ingest_id, min(u) u from instants group by 1 having count(distinct u) = 1), day1 as (select ingest_id, min(dd) dd from days group by 1),
 r as (select ingest_id, key, lastInterpreted, {_FULL} c, case when round(decimalLatitude, 5) <> 0 and round(decimalLongitude, 5) <> 0 then
   speciesKey || '|' || cast(round(round(decimalLatitude, 5) * 100000) as bigint) || '|' || cast(round(round(decimalLongitude, 5) * 100000) as bigint) || '|' || coalesce('i' || u, 'd' || dd, 't' || eventDate, 'n') end place
   from heracleum_ua_clean left join one using (ingest_id) left join day1 using (ingest_id)),
 e as (select a.ingest_id x, b.ingest_id y from r a join r b using (key) union select a.ingest_id, b.ingest_id from r a join r b using (place)),
 reach as (select x, y from e union select reach.x, e.y from reach join e on e.x = reach.y),
-g as (select x ingest_id, min(y) first_id from reach group by 1),
+g as (select x ingest_id, min(y) first_id from reach group by 1)"""
+SQL["p2_found"] = f"""with recursive {_GROUPS_SQL},
 best as (select first_id, ingest_id, count(*) over (partition by first_id) n, row_number() over (partition by first_id order by c desc, lastInterpreted desc nulls last, ingest_id) k from g join r using (ingest_id))
 select first_id, ingest_id survivor_id from best where k = 1 and n > 1"""
 
 
+def _known(c: str) -> str:
+    return f"regexp_replace(lower(trim(regexp_replace(cast({c} as varchar), '\\s+', ' ', 'g'))), '\\.+$', '') not in ({_BLANK})"
+
+
+_VALUES = ", ".join(f"case when {_known('h.' + c)} then h.{c} end v{i}" for i, c in enumerate(FIELDS))
+_PACK = ", ".join(f"v{i} := v{i}" for i in range(len(FIELDS)))
+#: Layers by definition: what no other row of the rest beats is a layer; the first row by completeness, recency, trust and id of the first layer is the survivor, and a field is that of the first row in layer order that fills it.
+SQL["p2_survivors"] = f"""with recursive {_GROUPS_SQL},
+full_ as (select first_id, g.ingest_id id, r.c, coalesce(epoch_us(r.lastInterpreted), -9223372036854775807) t, case when contains(lower(identificationVerificationStatus), 'expert') then 3 when lower(identificationVerificationStatus) = 'verified' then 2 when {_known('identificationVerificationStatus')} then 1 else 0 end q,
+  coalesce('0:' || r.key, '1:' || place) label, {_VALUES} from g join r using (ingest_id) join heracleum_ua_clean h using (ingest_id)),
+peel as (select first_id, 0 k, cast(null as bigint[]) layer, list(struct_pack(id := id, c := c, t := t, q := q)) rest from full_ group by 1
+  union all select first_id, k + 1, list_transform(list_filter(rest, lambda p: len(list_filter(rest, lambda o: o.c >= p.c and o.t >= p.t and o.q >= p.q and (o.c > p.c or o.t > p.t or o.q > p.q))) = 0), lambda p: p.id),
+   list_filter(rest, lambda p: len(list_filter(rest, lambda o: o.c >= p.c and o.t >= p.t and o.q >= p.q and (o.c > p.c or o.t > p.t or o.q > p.q))) > 0) from peel where len(rest) > 0),
+layers as (select first_id, k, unnest(layer) id from peel where k > 0),
+ordered as (select full_.*, k, row_number() over (partition by full_.first_id order by k, c desc, t desc, q desc, id) place from full_ join layers using (first_id, id))
+select min(label) "group", first_id, count(*) n_rows, arg_min(id, place) survivor_id, cast(arg_min(c, place) as integer) completeness, cast(arg_min(q, place) as integer) trust, case when max(t) > -9223372036854775807 then max(t) // 1000000 end newest,
+{", ".join(f"arg_min(v{i}, place) filter (where v{i} is not null) {c}" for i, c in enumerate(FIELDS))} from ordered group by first_id"""
+
+
 # 8. filling fixed-capacity containers with items
 
 #: Tokens of a container.

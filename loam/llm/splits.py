@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.operators.components import connected_components
@@ -94,6 +94,29 @@ def anneal(counts: np.ndarray, split: np.ndarray, target: np.ndarray, steps: int
     return kept
 
 
+def hashed_start(component: Column, chain: Column, splits: dict[str, float], seed: int) -> Column:
+    """Number of the split in which the hash of a component puts it in a chain, before any annealing."""
+    shares = np.array(list(splits.values()), dtype=float)
+    upto = np.cumsum(shares / shares.sum())
+    u = F.pmod(F.xxhash64(component, chain, F.lit(seed + 1)), F.lit(2**30)) / 2**30
+    start = F.lit(len(splits) - 1)
+    for i in range(len(splits) - 2, -1, -1):
+        start = F.when(u < float(upto[i]), i).otherwise(start)
+    return start
+
+
+def deviation(records: DataFrame, split: Column, label: str | None, splits: dict[str, float]) -> float:
+    """``cost_of`` of an assignment of records to splits by number: how far sizes and labels are from the wanted shares."""
+    value = F.coalesce(F.col(label).cast("string"), F.lit("\0")) if label else F.lit("")
+    rows = records.groupBy(split.alias("s"), value.alias("v")).agg(F.count("*").alias("n")).collect()
+    labels = {v: i for i, v in enumerate(sorted({r["v"] for r in rows}))}
+    totals = np.zeros((len(splits), 1 + len(labels)))
+    for r in rows:
+        totals[r["s"], [0, 1 + labels[r["v"]]]] += r["n"]
+    shares = np.array(list(splits.values()), dtype=float)
+    return cost_of(totals, np.outer(shares / shares.sum(), totals.sum(0)))
+
+
 def assign_splits(
     records: DataFrame, key: str, links: list[str], label: str | None = None, splits: dict[str, float] | None = None, seed: int = 0,
     chains: int = CHAINS, rounds: int = ROUNDS, steps: int = STEPS, block: int = BLOCK_COMPONENTS,
@@ -121,10 +144,7 @@ def assign_splits(
     table = parts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
     table = cut(table.withColumn("h", F.xxhash64("component", F.lit(seed))))
     blocks = max(1, math.ceil(table.count() / block))
-    u = F.pmod(F.xxhash64("component", "chain", F.lit(seed + 1)), F.lit(2**30)) / 2**30
-    start = F.lit(len(names) - 1)
-    for i in range(len(names) - 2, -1, -1):
-        start = F.when(u < float(shares[: i + 1].sum()), i).otherwise(start)
+    start = hashed_start(F.col("component"), F.col("chain"), splits, seed)
     state = table.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).withColumn("split", start.cast("int"))
     schema = "component string, counts map<string,bigint>, h bigint, chain int, split int"
 
