@@ -111,3 +111,142 @@ def hulls(points: DataFrame, group: str, x: str, y: str, buffer: int = 50_000) -
     reduced = slim.mapInPandas(corners, f"g {kind}, x double, y double")
     out = reduced.groupBy("g").applyInPandas(finish, f"g {kind}, a double, p double, cx double, cy double, n int")
     return out.select(F.col("g").alias(group), F.col("a").alias("hull_area"), F.col("p").alias("hull_perimeter"), F.col("cx").alias("hull_x"), F.col("cy").alias("hull_y"), F.col("n").alias("corners"))
+
+
+# ---- areas of polygons that overlap, given as edges (x1, y1, x2, y2) of all their rings
+
+
+def even_odd(edges: np.ndarray, x: np.ndarray, y: np.ndarray, step: int = 2_000_000) -> np.ndarray:
+    """Whether positions are inside by the even-odd rule."""
+    out = np.zeros(len(x), dtype=bool)
+    e = edges[edges[:, 1] != edges[:, 3]]
+    rows = max(1, step // max(1, len(e)))
+    for i in range(0, len(x), rows):
+        px, py = x[i : i + rows, None], y[i : i + rows, None]
+        hit = ((e[:, 1] > py) != (e[:, 3] > py)) & (px < (e[:, 2] - e[:, 0]) * (py - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+        out[i : i + rows] = hit.sum(1) % 2 == 1
+    return out
+
+
+def _meetings(edges: np.ndarray) -> np.ndarray:
+    """Pairs i < j of edges whose boxes touch, found by squares of a mean box's side."""
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    side = max(float((high - low).mean()) * 2, 1e-6)
+    a, b = np.floor(low / side).astype(np.int64), np.floor(high / side).astype(np.int64)
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i in range(len(edges)):
+        for u in range(a[i, 0], b[i, 0] + 1):
+            for v in range(a[i, 1], b[i, 1] + 1):
+                cells.setdefault((u, v), []).append(i)
+    pairs = {(i, j) for ids in cells.values() for k, i in enumerate(ids) for j in ids[k + 1 :]}
+    p = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    touch = ((low[p[:, 0]] <= high[p[:, 1]]) & (low[p[:, 1]] <= high[p[:, 0]])).all(1)
+    return p[touch]
+
+
+def _noded(edges: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Edges cut where they meet, each piece once, from its smaller end to its larger."""
+    cuts: dict[int, list[float]] = {i: [0.0, 1.0] for i in range(len(edges))}
+    for i, j in _meetings(edges):
+        p, r = edges[i, :2], edges[i, 2:] - edges[i, :2]
+        q, s = edges[j, :2], edges[j, 2:] - edges[j, :2]
+        cross, w = r[0] * s[1] - r[1] * s[0], q - p
+        if abs(cross) > 1e-12 * (np.hypot(*r) * np.hypot(*s) + 1e-300):
+            t, u = (w[0] * s[1] - w[1] * s[0]) / cross, (w[0] * r[1] - w[1] * r[0]) / cross
+            if -1e-12 <= t <= 1 + 1e-12 and -1e-12 <= u <= 1 + 1e-12:
+                cuts[i].append(t), cuts[j].append(u)
+        elif abs(w[0] * r[1] - w[1] * r[0]) <= 1e-9 * max(1.0, np.hypot(*r)):  # on one line: the ends of each cut the other
+            cuts[i] += [float(((z - p) @ r) / (r @ r)) for z in (q, q + s)]
+            cuts[j] += [float(((z - q) @ s) / (s @ s)) for z in (p, p + r)]
+    pieces = set()
+    for i, ts in cuts.items():
+        t = np.unique(np.clip(ts, 0, 1))
+        at = np.round(edges[i, :2] + t[:, None] * (edges[i, 2:] - edges[i, :2]), digits) + 0.0
+        for a, b in zip(map(tuple, at), map(tuple, at[1:])):
+            if a != b:
+                pieces.add((min(a, b), max(a, b)))
+    return np.array([[*a, *b] for a, b in sorted(pieces)]).reshape(-1, 4)
+
+
+def overlay(shapes: list[np.ndarray], rule) -> np.ndarray:
+    """Outline of where ``rule`` holds, as edges with the inside on their left. ``rule`` gets, per shape, whether positions are inside it.
+
+    Edges are cut where they meet; a piece belongs to the outline if the rule holds on one of its sides only. Shapes may overlap, share
+    borders and have holes. For outlines that fit into a task: the work grows with their edges and what meets in a neighbourhood.
+    """
+    shapes = [s for s in shapes if len(s)]
+    if not shapes:
+        return np.zeros((0, 4))
+    every = np.vstack(shapes)
+    e = _noded(every[(every[:, :2] != every[:, 2:]).any(1)])
+    d = e[:, 2:] - e[:, :2]
+    long = np.hypot(*d.T)
+    off = np.c_[-d[:, 1], d[:, 0]] / long[:, None] * np.minimum(1e-4, long / 1e3)[:, None]
+    mid = (e[:, :2] + e[:, 2:]) / 2
+    left, right = (rule([even_odd(s, *(mid + sign * off).T) for s in shapes]) for sign in (1, -1))
+    out = e[left != right]
+    flip = ~left[left != right]
+    out[flip] = out[flip][:, [2, 3, 0, 1]]
+    return out
+
+
+def union(shapes: list[np.ndarray]) -> np.ndarray:
+    return overlay(shapes, lambda inside: np.any(inside, axis=0))
+
+
+def intersection(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return overlay([a, b], lambda inside: np.all(inside, axis=0)) if len(a) and len(b) else np.zeros((0, 4))
+
+
+def outline_measures(edges: np.ndarray) -> tuple[float, float]:
+    """Area and length of an outline with the inside on its left."""
+    if not len(edges):
+        return 0.0, 0.0
+    e = edges - np.tile(edges[0, :2], 2)
+    return float((e[:, 0] * e[:, 3] - e[:, 2] * e[:, 1]).sum() / 2), float(np.hypot(edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]).sum())
+
+
+def shared_share(a: np.ndarray, b: np.ndarray) -> float:
+    """Area of the intersection by that of the union (IoU); 0 if neither has any."""
+    both, either = outline_measures(intersection(a, b))[0], outline_measures(union([a, b]))[0]
+    return both / either if either > 0 else 0.0
+
+
+def ring_edges(ring: np.ndarray) -> np.ndarray:
+    return np.hstack([ring, np.roll(ring, -1, axis=0)]) if len(ring) > 2 else np.zeros((0, 4))
+
+
+def disc(x: float, y: float, r: float, corners: int = 64) -> np.ndarray:
+    """Edges of a regular polygon around a point."""
+    a = 2 * np.pi * np.arange(corners) / corners
+    return ring_edges(np.c_[x + r * np.cos(a), y + r * np.sin(a)])
+
+
+def buffered_points(xy: np.ndarray, r: float, corners: int = 64) -> np.ndarray:
+    """Outline of all places at most ``r`` from the points (circles as polygons)."""
+    return union([disc(x, y, r, corners) for x, y in np.unique(np.asarray(xy, dtype=float).reshape(-1, 2), axis=0)])
+
+
+def buffered_hull(xy: np.ndarray, r: float, corners: int = 64) -> np.ndarray:
+    """Outline of the convex hull of points, widened by ``r`` (circles as polygons)."""
+    a = 2 * np.pi * np.arange(corners) / corners
+    p = np.unique(np.asarray(xy, dtype=float).reshape(-1, 2), axis=0)
+    return ring_edges(convex_hull((p[:, None] + r * np.c_[np.cos(a), np.sin(a)]).reshape(-1, 2)))
+
+
+def patch_outline(xy: np.ndarray, r: float = 50.0, few: float = 100.0) -> np.ndarray:
+    """Outline of a patch: the hull of four points or more widened by ``r``; fewer points: what is within ``few`` of them, one: within ``r``."""
+    xy = np.asarray(xy, dtype=float).reshape(-1, 2)
+    return buffered_hull(xy, r) if len(xy) >= 4 else buffered_points(xy, max(r, few) if len(xy) > 1 else r)
+
+
+def region_union(regions: DataFrame, wkt: str, parse) -> DataFrame:
+    """One row ``(n_regions, area, perimeter, edges)`` of the union of all regions, a bounded dimension table such as a country's units; ``parse`` makes edges of a text."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = [e for b in batches for e in map(parse, b["w"]) if len(e)]
+        out = union(shapes)
+        area, length = outline_measures(out)
+        yield pd.DataFrame({"n_regions": [len(shapes)], "area": [area], "perimeter": [length], "edges": [len(out)]})
+
+    return regions.select(F.col(wkt).cast("string").alias("w")).where("w is not null").repartition(1).mapInPandas(join, "n_regions bigint, area double, perimeter double, edges bigint")

@@ -220,3 +220,38 @@ def regions_of(points: DataFrame, ident: str, x: str, y: str, regions: DataFrame
     tested = open_.groupBy("band", "turn").cogroup(needed.groupBy("_band", "_turn")).applyInPandas(test, f"_id {id_kind}, n bigint")
     out = met.where("sure").select("_id", "n").unionByName(tested)
     return out.join(shapes.select("n", F.col("region").cast(kind).alias("region")), "n").select(F.col("_id").alias(ident), F.col("region").alias(region_id))
+
+
+def lines_meeting_regions(lines: DataFrame, line_id: str, regions: DataFrame, region_id: str, wkt: str, leaf: float = 1000.0) -> DataFrame:
+    """``(line_id, region_id)``: distinct pairs of a segment ``(x1, y1, x2, y2)`` and a region, polygons as text, that share a place, borders included.
+
+    A segment meets a region if it begins inside it (``regions_of``) or crosses its outline: segments and edges of outlines meet on
+    the squares of side ``leaf`` they run through and are then tested exactly, all without a pair of far ones. Segments with a missing
+    end and regions without a polygon meet nothing; repeated rows come out once.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    segs = lines.select(F.col(line_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in ends]).where(" and ".join(f"abs({c}) < 1e300" for c in ends)).distinct()
+    starts = regions_of(segs, "_id", "x1", "y1", regions, region_id, wkt, leaf).select("_id", F.col(region_id).alias("_region"))
+    run = "row bigint, c0 bigint, c1 bigint, x1 double, y1 double, x2 double, y2 double"
+
+    def touched(name: str, edges) -> object:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for ident, every in zip(b[name], edges(b)):
+                    for e in every:
+                        row, c0, c1, _ = region_cells(e[None, :], leaf)
+                        yield pd.DataFrame({name: [ident] * len(row), "row": row, "c0": c0, "c1": c1, **dict(zip(ends, e))})
+
+        return work
+
+    kind, other = segs.schema["_id"].dataType.simpleString(), regions.schema[region_id].dataType.simpleString()
+    a = segs.mapInPandas(touched("_id", lambda b: b[ends].to_numpy()[:, None, :]), f"_id {kind}, {run}")
+    shapes = regions.select(F.col(region_id).alias("_region"), F.col(wkt).cast("string").alias("w")).where("w is not null")
+    b = shapes.mapInPandas(touched("_region", lambda b: map(parse_polygons, b["w"])), f"_region {other}, {run}")
+    a, b = (d.withColumn("wide", F.explode(F.sequence(F.floor(F.col("c0") / WIDE_COLUMNS), F.floor(F.col("c1") / WIDE_COLUMNS)))) for d in (a, b))
+    pairs = a.join(b.withColumnsRenamed({c: "e" + c for c in ("c0", "c1", *ends)}), ["row", "wide"]).where("c0 <= ec1 and ec0 <= c1")
+    side = lambda p, q, r: (F.col(q[0]) - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0]))
+    p, q, r, t = ("x1", "y1"), ("x2", "y2"), ("ex1", "ey1"), ("ex2", "ey2")
+    apart = (F.signum(side(p, q, r)) * F.signum(side(p, q, t)) <= 0) & (F.signum(side(r, t, p)) * F.signum(side(r, t, q)) <= 0)
+    boxes = (F.least("x1", "x2") <= F.greatest("ex1", "ex2")) & (F.least("ex1", "ex2") <= F.greatest("x1", "x2")) & (F.least("y1", "y2") <= F.greatest("ey1", "ey2")) & (F.least("ey1", "ey2") <= F.greatest("y1", "y2"))
+    return starts.union(pairs.where(apart & boxes).select("_id", "_region")).distinct().select(F.col("_id").alias(line_id), F.col("_region").alias(region_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.plans import evaluation, graphs, problems, registry, relational, series, spatial  # noqa: F401
+from loam.plans import evaluation, graphs, problems, registry, relational, series, spatial, storage  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

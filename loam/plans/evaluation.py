@@ -111,10 +111,14 @@ def reliability_table(spark: SparkSession, d: str) -> DataFrame:
     return r.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("predicted", "observed", "gap")])
 
 
-@query(f"with {V.PU_SQL}, s as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 rb from (select round(score, 2) a, elevation_m b from pu where elevation_m is not null)) select count(*) n, round(corr(ra, rb), 6) rho from s")
+# two-sided p by Simpson's rule over Student's density, at 4,000 places
+_T_TAIL = "greatest(0, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * (select sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * (1 + (t * i / 4000) ** 2 / (n - 2)) ** (-(n - 1) / 2.0)) * t / 12000 from range(4001) r(i)))"
+
+
+@query(f"with {V.PU_SQL}, s as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 rb from (select round(score, 2) a, elevation_m b from pu where elevation_m is not null)), c as (select count(*) n, corr(ra, rb) rho from s), q as (select n, rho, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) t from c) select n, round(rho, 6) rho, round({_T_TAIL}, 6) p from q")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     p = V.pu(spark, d).select(F.round("score", 2).alias("a"), F.col("elevation_m").alias("b"))
-    return metrics.spearman(p, "a", "b").select("n", F.round("rho", 6).alias("rho"))
+    return metrics.spearman(p, "a", "b").select("n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
 
 
 @query("""with f as (select key, min("month") m from heracleum_ua_clean where label_role = 'target' and "month" is not null and "year" is not null group by 1),
@@ -165,6 +169,58 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
     return cut(ml.stratified_folds(p.join(more, "cell_id"), "y", "cell_id", FOLDS, 42))
 
 
+_HELD = "grp < 'VX-18'"
+_MORE = ", ".join(f"max(cast({c} as double)) {c}" for c in FEATURES[3:])
+_TRAIN_SQL = f"""{V.PU_SQL}, more as (select cell_id, {_MORE} from grid_features_static group by 1),
+train as (select *, cast(floor((cast('0x' || substr(md5(concat_ws('|', cast(y as varchar), cast(cell_id as varchar), '42')), 1, 12) as bigint) + 0.5) / 281474976710656.0 * {FOLDS}) as integer) fold from pu join more using (cell_id))"""
+
+
+@query(f"with {_TRAIN_SQL}, f as (select unnest(range({FOLDS})) k) select cast(k as integer) fold, count(*) n, cast(sum(y) as bigint) n_pos, round(cast(sum(1 - y) as double) / sum(y), 8) weight, " + ", ".join(f"round(coalesce(quantile_cont(cast({c} as double), 0.5), 0), 6) m_{c}" for c in FEATURES) + " from f join train on fold <> k group by 1")
+def training_folds(spark: SparkSession, d: str) -> DataFrame:
+    """What each out-of-fold model is fitted with: rows, positives, their weight, and the medians that fill each feature, all features of a fold in one pass."""
+    t, rows = _train(spark, d), []
+    for k in range(FOLDS):
+        part = t.where(F.col("fold") != k)
+        n = part.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+        m = ml.medians(part, FEATURES)
+        rows.append((k, n["n"], n["p"], round(ml.class_weight(part, "y"), 8), *[round(m[c], 6) for c in FEATURES]))
+    return spark.createDataFrame(rows, "fold int, n bigint, n_pos bigint, weight double, " + ", ".join(f"m_{c} double" for c in FEATURES))
+
+
+def _rungs(spark: SparkSession, d: str, train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
+    """Scores of a held-out part that need no model: a constant, effort, and the nearness of a known positive."""
+    at = V.grid(spark, d).select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    known = train.where("y = 1").join(at, "cell_id").withColumnRenamed("cell_id", "known")
+    near = spatial.nearest(test.join(at, "cell_id"), "cell_id", known, "known", x="px", y="py").select("cell_id", (-F.round("distance", 6)).alias("score"))
+    return {"constant": test.withColumn("score", F.lit(0.5)), "effort": test.withColumn("score", F.col("effort").cast("double")), "nearest_positive": test.join(near, "cell_id")}
+
+
+@query(f"""with {_TRAIN_SQL}, {V.GRID_SQL}, known as (select g.x, g.y from train t join grid g using (cell_id) where not {_HELD} and t.y = 1),
+near as (select cell_id, -round(min(sqrt((g.x - known.x) ** 2 + (g.y - known.y) ** 2)), 6) score from (select cell_id from train where {_HELD}) join grid g using (cell_id), known group by 1),
+m as (select 'constant' model, 0.5 score, y from train where {_HELD} union all select 'effort', cast(effort as double), y from train where {_HELD} union all select 'nearest_positive', score, y from near join (select cell_id, y from train) using (cell_id)),
+{_curve('(select * from m where score is not null)', 'model')} select model, cast(sum(n) as bigint) n, cast(sum(pos) as bigint) n_pos, round(sum((n - pos) * (tp - pos / 2)) / (sum(pos) * (sum(n) - sum(pos))), 6) auc, round(sum(pos * tp / upto) / sum(pos), 6) ap from w group by 1""")
+def baseline_simple(spark: SparkSession, d: str) -> DataFrame:
+    """The rungs of the ladder that need no model, on held-out regions: a constant, effort, the nearest known positive."""
+    t = _train(spark, d)
+    rungs = _rungs(spark, d, t.where(f"not {_HELD}"), t.where(_HELD))
+    rows = [(name, *metrics.ranking_metrics(m, "score", F.col("y")).first()) for name, m in rungs.items()]
+    return spark.createDataFrame([(n, k, p, round(a, 6), round(b, 6)) for n, k, p, a, b in rows], "model string, n bigint, n_pos bigint, auc double, ap double")
+
+
+@query("select unnest([" + ", ".join(f"'{c}'" for c in ("(constant)", *FEATURES)) + "]) feature, cast(0 as double) slope")
+def logistic_optimum(spark: SparkSession, d: str) -> DataFrame:
+    """Slope of the weighted logistic loss at the fitted model, per standardised feature: 0 to three digits, as the loss is convex and this is its least place."""
+    t = _train(spark, d)
+    model = ml.fit(t, FEATURES, "y", "logistic")
+    w = ml.class_weight(t, "y")
+    s = cut(ml.impute(ml.score(model, t), model[1]))
+    stats = s.agg(*[x for i, c in enumerate(FEATURES) for x in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
+    off = F.when(F.col("y") == 1, w).otherwise(1.0) * (F.col("score") - F.col("y"))
+    terms = [F.avg(off)] + [F.avg(off * (F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)) for i, c in enumerate(FEATURES)]
+    got = s.agg(*[x.alias(f"g{i}") for i, x in enumerate(terms)]).first()
+    return spark.createDataFrame([(c, abs(round(got[i], 3))) for i, c in enumerate(("(constant)", *FEATURES))], "feature string, slope double")
+
+
 @query()
 def pu_train_score(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on labelled cells against background: out-of-fold scores, the share of positives labelled, rescaled scores of all cells."""
@@ -178,12 +234,8 @@ def pu_train_score(spark: SparkSession, d: str) -> DataFrame:
 def baseline_ladder(spark: SparkSession, d: str) -> DataFrame:
     """A constant, effort, the nearest positive, and logistic models of climate, infrastructure and all features against boosted trees, on held-out regions."""
     t = _train(spark, d)
-    train, test = t.where("grp >= 'VX-18'"), t.where("grp < 'VX-18'")
-    at = V.grid(spark, d).select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    known = train.where("y = 1").join(at, "cell_id").withColumnRenamed("cell_id", "known")
-    near = spatial.nearest(test.join(at, "cell_id"), "cell_id", known, "known", x="px", y="py").select("cell_id", (-F.col("distance")).alias("score"))
-    simple = {"constant": test.withColumn("score", F.lit(0.5)), "effort": test.withColumn("score", F.col("effort").cast("double")), "nearest_positive": test.join(near, "cell_id")}
-    rows = [(name, *metrics.ranking_metrics(m, "score", F.col("y")).first()) for name, m in simple.items()]
+    train, test = t.where(f"not {_HELD}"), t.where(_HELD)
+    rows = [(name, *metrics.ranking_metrics(m, "score", F.col("y")).first()) for name, m in _rungs(spark, d, train, test).items()]
     for name, f, how in (("climate", ["bio_01", "bio_12"], "logistic"), ("infrastructure", ["dist_river_m", "dist_road_m"], "logistic"), ("logistic", FEATURES, "logistic"), ("trees", FEATURES, "gbt")):
         m = ml.score(ml.fit(train, f, "y", how), test)
         rows.append((name, *metrics.ranking_metrics(m, "score", F.col("y")).first()))

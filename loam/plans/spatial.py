@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import expr as E
 from loam.functions.geo import laea_xy
-from loam.functions.geometry import hulls
+from loam.functions.geometry import hulls, region_union
 from loam.operators import batch, dualtree, ml, spatial
 from loam.operators.allocate import allocate_capped
 from loam.operators.lineage import cut
@@ -413,3 +413,23 @@ def moran(spark: SparkSession, d: str) -> DataFrame:
     a = n.withColumn("o", F.explode(steps)).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("v").alias("av"))
     w = a.join(n, ["row", "col"])
     return w.agg(F.count("*").alias("pairs"), F.sum((F.col("av") - b["m"]) * (F.col("v") - b["m"])).alias("x")).select("pairs", F.round(F.col("x") / s * b["k"] / F.col("pairs"), 8).alias("moran"))
+
+
+@query(r"""with box as (select oblast_code, list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 1), lambda v: cast(v as double)) xs, list_transform(regexp_extract_all(geometry_wkt, '([0-9.]+) ([0-9.]+)', 2), lambda v: cast(v as double)) ys from admin_units where geometry_wkt is not null),
+km as (select distinct r, c from (select unnest(range(cast(list_min(ys) as bigint) // 1000, cast(list_max(ys) as bigint) // 1000)) r, xs from box) a, lateral (select unnest(range(cast(list_min(a.xs) as bigint) // 1000, cast(list_max(a.xs) as bigint) // 1000)) c) b),
+side as (select count(*) n from km, (values (0, 1), (1, 0), (0, -1), (-1, 0)) s(i, j) where (r + i, c + j) not in (select (r, c) from km))
+select (select count(*) from box) n_regions, cast((select count(*) from km) as double) area_km2, cast(n as double) perimeter_km from side""")
+def country_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Area and outline of the union of all regions, a dimension table; SQL counts the kilometre squares its rectangles are made of."""
+    u = region_union(table(spark, d, "admin_units"), "geometry_wkt", dualtree.parse_polygons)
+    return u.select("n_regions", F.round(F.col("area") / 1e6, 6).alias("area_km2"), F.round(F.col("perimeter") / 1e3, 6).alias("perimeter_km"))
+
+
+@query(f"""with {_LINES_SQL}, {V.EDGES_SQL}, sides as (select line, oblast_code, (x2 - x1) * (e.y1 - l.y1) - (y2 - y1) * (e.x1 - l.x1) a, (x2 - x1) * (e.y2 - l.y1) - (y2 - y1) * (e.x2 - l.x1) b,
+ (e.x2 - e.x1) * (l.y1 - e.y1) - (e.y2 - e.y1) * (l.x1 - e.x1) c, (e.x2 - e.x1) * (l.y2 - e.y1) - (e.y2 - e.y1) * (l.x2 - e.x1) d, l.x1 ax, l.y1 ay, l.x2 bx, l.y2 by_, e.x1 cx, e.y1 cy, e.x2 dx, e.y2 dy
+ from (select line, x1, y1, x2, y2 from lines) l, region_edges e)
+select line, oblast_code from sides where sign(a) * sign(b) <= 0 and sign(c) * sign(d) <= 0 and least(ax, bx) <= greatest(cx, dx) and least(cx, dx) <= greatest(ax, bx) and least(ay, by_) <= greatest(cy, dy) and least(cy, dy) <= greatest(ay, by_)
+union select line, oblast_code from (select line, oblast_code, l.x1 x, l.y1 y, e.x1, e.y1, e.x2, e.y2 from lines l, region_edges e) group by line, oblast_code, x, y having {V.INSIDE_SQL}""".replace("(x2 - x1) * (e.y1", "(l.x2 - l.x1) * (e.y1").replace("- (y2 - y1) * (e.x1", "- (l.y2 - l.y1) * (e.x1").replace("(x2 - x1) * (e.y2", "(l.x2 - l.x1) * (e.y2").replace("- (y2 - y1) * (e.x2", "- (l.y2 - l.y1) * (e.x2"))
+def lines_in_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The regions each line, here one per river reach, runs through or touches."""
+    return dualtree.lines_meeting_regions(_lines(spark, d), "line", table(spark, d, "admin_units"), "oblast_code", "geometry_wkt")

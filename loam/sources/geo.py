@@ -1,4 +1,4 @@
-"""Geographic files as tables: shapefiles, GeoPackage layers, ASCII rasters, zip members. All are read whole by the task that holds them."""
+"""Geographic files as tables: shapefiles, GeoPackage layers, ASCII and TIFF rasters, zip members. A file is read whole by the task that holds it, many files in parallel."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import sqlite3
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,7 +169,96 @@ def read_ascii_rasters(spark: SparkSession, path: str, window: tuple[int, int, i
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "band string, row bigint, col bigint, value double")
 
 
-def write_raster(raster: DataFrame, bands: DataFrame, path: str) -> None:
-    """A long raster and its bands (name, description, units) as two tables; pixels clustered by band and row, so that windows skip row groups."""
-    raster.repartitionByRange("band", "row").sortWithinPartitions("band", "row", "col").write.mode("overwrite").parquet(f"{path}/pixels")
-    bands.write.mode("overwrite").parquet(f"{path}/bands")
+# ---- tagged image files (TIFF 6.0; little or big endian; strips or tiles; none, LZW or deflate compression; horizontal predictor)
+
+_SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+
+
+def _lzw(data: bytes) -> bytes:
+    """The variable-width LZW of TIFF: codes from 9 bits, high bits first, 256 clears the table, 257 ends."""
+    out, table, width, acc, bits, before = bytearray(), [], 9, 0, 0, b""
+    for byte in data:
+        acc, bits = (acc << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, acc = acc >> bits, acc & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = [], 9, b""
+            continue
+        entry = bytes([code]) if code < 256 else table[code - 258] if code - 258 < len(table) else before + before[:1]
+        out += entry
+        if before:
+            table.append(before + entry[:1])
+        before = entry
+        width = 9 if len(table) + 259 < 512 else 10 if len(table) + 259 < 1024 else 11 if len(table) + 259 < 2048 else 12
+    return bytes(out)
+
+
+def parse_tiff(data: bytes, window: tuple[int, int, int, int] | None = None) -> tuple[np.ndarray, float | None, tuple[float, float, float, float] | None]:
+    """(bands x rows x columns of the window, the missing value, (x0, y0, dx, dy) of the upper left corner) of the first image of a TIFF file.
+
+    ``window``: first and last row and column; only strips or tiles that touch it are unpacked.
+    """
+    end = {b"II": "<", b"MM": ">"}[data[:2]]
+    (at,) = struct.unpack_from(end + "I", data, 4)
+    tags: dict[int, tuple] = {}
+    for i in range(struct.unpack_from(end + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
+        code = _SIZES.get(kind)
+        if code is None:
+            continue
+        size = struct.calcsize(code) * n
+        pos = at + 2 + 12 * i + 8 if size <= 4 else struct.unpack_from(end + "I", data, at + 2 + 12 * i + 8)[0]
+        tags[tag] = (data[pos : pos + n],) if kind == 2 else struct.unpack_from(f"{end}{n}{code}", data, pos)
+    width, height, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    kind = np.dtype(f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(339, (1,))[0]] }{tags.get(258, (8,))[0] // 8}")
+    planes, pack, predictor = tags.get(284, (1,))[0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if pack not in (1, 5, 8, 32946) or predictor not in (1, 2):
+        raise ValueError(f"compression {pack} with predictor {predictor} is not supported")
+    tiled = 322 in tags
+    tw, th = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
+    starts, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    across, down = -(-width // tw), -(-height // th)
+    r0, r1, c0, c1 = window or (0, height - 1, 0, width - 1)
+    r1, c1 = min(r1, height - 1), min(c1, width - 1)
+    out = np.zeros((bands, max(0, r1 - r0 + 1), max(0, c1 - c0 + 1)), dtype=kind.newbyteorder("="))
+    each = bands if planes == 1 else 1
+    for k, (pos, size) in enumerate(zip(starts, sizes)):
+        plane, cell = divmod(k, across * down) if planes == 2 else (0, k)
+        ty, tx = divmod(cell, across)
+        y, x = ty * th, tx * tw
+        rows = th if tiled else min(th, height - y)
+        if y > r1 or y + rows <= r0 or x > c1 or x + tw <= c0:
+            continue
+        raw = data[pos : pos + size]
+        raw = raw if pack == 1 else _lzw(raw) if pack == 5 else zlib.decompress(raw)
+        block = np.frombuffer(raw, kind, rows * tw * each).reshape(rows, tw, each)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+        a, b, p, q = max(r0, y), min(r1 + 1, y + rows), max(c0, x), min(c1 + 1, x + tw)
+        part = block[a - y : b - y, p - x : q - x].transpose(2, 0, 1)
+        out[slice(plane, plane + 1) if planes == 2 else slice(None), a - r0 : b - r0, p - c0 : q - c0] = part
+    missing = float(tags[42113][0].split(b"\0")[0]) if 42113 in tags else None
+    scale, tie = tags.get(33550), tags.get(33922)
+    place = (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], scale[1]) if scale and tie else None
+    return out, missing, place
+
+
+def read_tiff_rasters(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Long raster ``(band, row, col, value)`` of TIFF files, a band per file and sample (name of the file, and ``_2`` and on for further samples), missing pixels as ``files.NODATA``; ``window`` as in ``read_ascii_rasters``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, c in zip(b["path"], b["content"]):
+                values, missing, _ = parse_tiff(c, window)
+                stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                r0, c0 = (window[0], window[2]) if window else (0, 0)
+                for k, image in enumerate(values.astype(float)):
+                    image[np.isnan(image) | (image == missing)] = NODATA
+                    for r, line in enumerate(image):
+                        yield pd.DataFrame({"band": [stem if k == 0 else f"{stem}_{k + 1}"] * len(line), "row": r0 + r, "col": np.arange(c0, c0 + len(line)), "value": line})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "band string, row bigint, col bigint, value double")

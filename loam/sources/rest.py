@@ -10,10 +10,14 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from loam.operators.lineage import cut
+
 #: Rows of a page and the largest offset a service usually accepts.
 PAGE, MAX_OFFSET = 300, 100_000
 _RETRY = {429, 500, 502, 503, 504}
@@ -108,6 +112,33 @@ class RestPages(DataSource):
         return _Reader(schema, dict(self.options))
 
 
+def title(base: str, key: str, field: str, tries: int = 2, wait: float = 0.5) -> str | None:
+    """One field of the record of a key, over HTTP or of ``KEY.json`` in a local folder; NULL if it cannot be had."""
+    try:
+        got = fetch(f"{base}/{urllib.parse.quote(str(key), safe='')}", tries, wait) if base.startswith(("http://", "https://")) else json.loads((Path(base) / f"{key}.json").read_text())
+        return got.get(field)
+    except (OSError, ValueError, AttributeError):
+        return None
+
+
+def with_titles(df: DataFrame, key: str, name: str, base: str, field: str = "title") -> DataFrame:
+    """``df`` with ``name`` filled from the service where it is NULL or blank: one lookup per distinct missing key, spread over tasks; what cannot be had stays NULL.
+
+    Rows with a name keep it; rows without a key stay without. However many rows share a key, it is asked for once.
+    """
+    blank = F.coalesce(F.trim(F.col(name)) == "", F.lit(True))
+    kind = df.schema[key].dataType.simpleString()
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"_key": b["_key"], "_title": [title(base, k, field) for k in b["_key"]]})
+
+    missing = df.where(blank & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
+    found = cut(missing.mapInPandas(ask, f"_key {kind}, _title string"))
+    out = df.join(found, df[key] == found["_key"], "left").withColumn(name, F.when(blank, F.col("_title")).otherwise(F.col(name)))
+    return out.select(*df.columns)
+
+
 def manifest(spark, base: str, params: dict[str, str], max_offset: int = MAX_OFFSET, size: int = PAGE):
     """One row about a request: parameters, number of records, whether it is truncated, UTC time."""
     n = count(base, **params)
