@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loam.operators.components import connected_components
 from loam.operators.lineage import cut
@@ -17,7 +17,7 @@ UNKNOWN = (
     "", "-", "--", "?", "na", "n/a", "n.a", "null", "none", "nil", "nan", "unknown", "unspecified", "anonymous", "anon", "not recorded", "not stated", "not given", "not known", "no data",
     "observer not stated", "observer unknown", "collector unknown", "unknown observer", "unknown collector", "<na>", "невідомо", "невідомий", "немає даних", "не вказано", "анонім", "s.n", "nobody", "missing",
 )
-#: Dominance layers that are peeled one by one; groups with a field found in none of them get the layer of each entry from a sorted pass.
+#: Dominance layers that are peeled one by one; groups with a field found in none of them get the layer of each entry.
 LAYERS = 4
 
 
@@ -50,22 +50,83 @@ def duplicate_groups(rows: DataFrame, ident: str, links: list[Column]) -> DataFr
     return grouped.join(sizes, "group", "left").select(F.col("_id").alias(ident), "group", "group_size")
 
 
-def layer_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with ``_layer``: the dominance layer of each entry, from 1, of rows sorted by ``_g``, then newest, most complete and most trusted first.
+Kind = tuple[int, int]  # completeness, trust
+_NONE = -(2**40)
 
-    What beats an entry comes before it, so its layer is one more than the deepest layer so far with at least its completeness and
-    trust. Kept are only the deepest layers of one group by completeness and trust.
+
+def _beaten_by(kinds: list[Kind]) -> list[list[int]]:
+    """Of each kind, the kinds of at least its completeness and trust, itself included."""
+    return [[j for j, (c2, t2) in enumerate(kinds) if c2 >= c and t2 >= t] for c, t in kinds]
+
+
+def layers_from(deepest: list[int], entries: Iterable[int], beaten: list[list[int]]) -> list[int]:
+    """The dominance layers, from 1, of entries given by their kinds, newest first (of equal recency the better first), after entries
+    whose deepest layers by kind are ``deepest`` (0: none), which is brought up to date.
+
+    What beats an entry comes before it, so its layer is one more than the deepest layer so far of a kind at least as good.
+    """
+    out = []
+    for k in entries:
+        deepest[k] = 1 + max(deepest[j] for j in beaten[k])
+        out.append(deepest[k])
+    return out
+
+
+def span_gain(entries: Iterable[int], beaten: list[list[int]]) -> np.ndarray:
+    """What a run of entries does to the deepest layers by kind, whatever these were: a matrix of gains, over maximum and sum. The last place stands for layer 0."""
+    n = len(beaten)
+    gain = np.full((n + 1, n + 1), _NONE, dtype=np.int64)
+    np.fill_diagonal(gain, 0)
+    for k in entries:
+        gain[k] = 1 + gain[[*beaten[k], n]].max(0)
+    return np.maximum(gain, _NONE)
+
+
+def _fill_deep(out: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """``out`` with values it lacks from the least dominance layer that holds them, of the ``entries`` of its groups.
+
+    Entries are range-partitioned by group and recency, so a group of any size is many tasks. Each task gives what its entries do to
+    the deepest layers by kind (``span_gain``); per group these few numbers a task are put together in order, and the tasks then number
+    their entries in parallel. Exact, however deep.
     """
-    group, deepest = None, {}
-    for b in batches:
-        out = []
-        for g, c, t in zip(*(b.column(x).to_pylist() for x in ("_g", "_c", "_t"))):
-            if g != group:
-                group, deepest = g, {}
-            layer = 1 + max((v for (c2, t2), v in deepest.items() if c2 >= c and t2 >= t), default=0)
-            deepest[c, t] = layer
-            out.append(layer)
-        yield b.append_column("_layer", pa.array(out, pa.int32()))
+    old, micros = F.col("_r").isNull().alias("old"), (-F.unix_micros(F.col("_r").cast("timestamp"))).alias("micros")
+    order = ["_g", "old", "micros", F.desc("_c"), F.desc("_t")]
+    slim = entries.select("_g", "_c", "_t", "_id", old, micros)
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(slim.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    # kinds of entries: at most one per completeness and level of trust
+    kinds = sorted((r["_c"], r["_t"]) for r in placed.select("_c", "_t").distinct().collect())
+    number, beaten = {k: i for i, k in enumerate(kinds)}, _beaten_by(kinds)
+    g = slim.schema["_g"].dataType.simpleString()
+
+    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
+        pdf = pdf.sort_values(["old", "micros", "_c", "_t"], ascending=[True, True, False, False], kind="stable")
+        return pdf, [number[k] for k in zip(pdf["_c"].tolist(), pdf["_t"].tolist())]
+
+    def gains(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_g": pdf["_g"].iloc[:1].tolist(), "_part": pdf["_part"].iloc[:1].tolist(), "m": [span_gain(ordered(pdf)[1], beaten).ravel().tolist()]})
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        state, before = np.append(np.full(len(kinds), _NONE, dtype=np.int64), 0), []
+        for m in pdf["m"]:
+            before.append(np.maximum(state[:-1], 0).tolist())
+            state = (np.array(m).reshape(len(state), -1) + state).max(1)
+        return pd.DataFrame({"_g": pdf["_g"].tolist(), "_part": pdf["_part"].tolist(), "deepest": before})
+
+    def layers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pdf, run = ordered(left)
+        return pd.DataFrame({"_g": pdf["_g"].tolist(), "_id": pdf["_id"].tolist(), "_layer": layers_from(list(right["deepest"].iloc[0]), run, beaten)})
+
+    done = placed.groupBy("_g", "_part").applyInPandas(gains, f"_g {g}, _part int, m array<bigint>")
+    state = done.groupBy("_g").applyInPandas(starts, f"_g {g}, _part int, deepest array<bigint>")
+    kind = slim.schema["_id"].dataType.simpleString()
+    numbered = placed.groupBy("_g", "_part").cogroup(state.groupBy("_g", "_part")).applyInPandas(layers, f"_g {g}, _id {kind}, _layer bigint")
+    numbered = entries.join(numbered.withColumnsRenamed({"_g": "_h", "_id": "_j"}), (F.col("_g") == F.col("_h")) & (F.col("_id") == F.col("_j")))
+    # within a layer completeness comes before recency
+    rank = F.struct("_layer", (-F.col("_c")).alias("c"), old, micros, (-F.col("_t")).alias("t"), F.col("_id").alias("id"))
+    found = numbered.groupBy("_g").agg(*[F.min_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_d{i}") for i in range(n)])
+    return out.join(found, "_g", "left").withColumns({f"_v{i}": F.coalesce(f"_v{i}", f"_d{i}") for i in range(n)})
 
 
 def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recency: str, trust: Column | None = None, layers: int = LAYERS, size: str | None = None) -> DataFrame:
@@ -80,8 +141,7 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
     Scale: before anything is compared, rows are aggregated to one entry per (group, completeness, trust, recency), and of each
     (group, completeness, trust) only the ``layers`` most recent entries can be in the first ``layers`` layers; so a group of any
     size becomes a few bounded entries, before and in the shuffle. Only groups with a filled field in none of these layers go on:
-    their entries get their layers in one sorted pass that holds a few numbers (``layer_numbers``), a group in one task, and the
-    field comes from the least layer of its holders, however deep. Where a column ``size`` tells the rows of
+    their entries get their layers in parallel (``_fill_deep``), and the field comes from the least layer of its holders, however deep. Where a column ``size`` tells the rows of
     the group, rows alone in theirs are taken as they are, without a shuffle. ``ident`` must be unique. Values are taken
     as they are, blanks included; unfilled ones count as missing. An empty table gives no rows.
     """
@@ -127,12 +187,7 @@ def survivors(rows: DataFrame, group: str, ident: str, fields: list[str], recenc
     out = cut(picked.join(held, "_g").join(size, "_g"))
     deep = out.where(F.exists(F.array(*[F.col(f"_v{i}").isNull() & (F.col(f"_h{i}") > 0) for i in range(len(fields))]), lambda x: x)) if fields else out.where("false")
     if not deep.isEmpty():
-        # the order within a layer, and of the pass over all of them; completeness before recency within a layer only
-        old, micros = F.col("_r").isNull().alias("old"), (-F.unix_micros(F.col("_r").cast("timestamp"))).alias("r")
-        of_deep = entries.join(deep.select("_g"), "_g", "left_semi").repartition("_g").sortWithinPartitions("_g", old, micros, F.desc("_c"), F.desc("_t"))
-        numbered = of_deep.mapInArrow(layer_numbers, T.StructType([*of_deep.schema.fields, T.StructField("_layer", T.IntegerType())]))
-        rank = F.struct("_layer", (-F.col("_c")).alias("c"), old, micros, (-F.col("_t")).alias("t"), F.col("_id").alias("id"))
-        found = numbered.groupBy("_g").agg(*[F.min_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_d{i}") for i in range(len(fields))])
-        out = out.join(found, "_g", "left").withColumns({f"_v{i}": F.coalesce(f"_v{i}", f"_d{i}") for i in range(len(fields))})
+        of_deep = cut(entries.join(deep.select("_g"), "_g", "left_semi"))
+        out = _fill_deep(out, of_deep, len(fields))
     out = out.select(F.col("_g").alias("group"), "first_id", "n_rows", "survivor_id", "completeness", "trust", F.col("_newest").alias("newest"), *[F.col(f"_v{i}").alias(c) for i, c in enumerate(fields)])
     return out if single is None else out.unionByName(single)

@@ -142,6 +142,25 @@ def test_survivor_deep_layers(spark):
     assert deep >= 5
 
 
+def test_layers_of_runs_put_together():
+    """Runs of entries in any cut, each numbered from what the runs before it did, against layers by definition."""
+    r = random.Random(9)
+    kinds = [(c, t) for c in range(4) for t in range(2)]
+    beaten = survivor._beaten_by(kinds)
+    run = [r.randrange(len(kinds)) for _ in range(60)]
+    whole = survivor.layers_from([0] * len(kinds), run, beaten)
+    entries = [(i, kinds[k][0], -i, kinds[k][1]) for i, k in enumerate(run)]
+    want = {p[0]: n for n, layer in enumerate(_layers(entries), 1) for p in layer}
+    assert whole == [want[i] for i in range(60)]
+    for size in (1, 7, 25):
+        state, got = np.append(np.full(len(kinds), survivor._NONE), 0), []
+        for i in range(0, 60, size):
+            part = run[i : i + size]
+            got += survivor.layers_from(np.maximum(state[:-1], 0).tolist(), part, beaten)
+            state = (survivor.span_gain(part, beaten) + state).max(1)
+        assert got == whole
+
+
 def test_duplicate_groups(spark):
     df = spark.createDataFrame([(1, "k", "p"), (2, "k", "q"), (3, "l", "q"), (4, "m", None), (5, None, None), (6, None, "p")], "id long, a string, b string")
     got = {r["id"]: r["group"] for r in survivor.duplicate_groups(df, "id", [F.col("a"), F.col("b")]).collect()}
