@@ -240,6 +240,24 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(docs, "doc_id", "text", path, pattern), "doc_id", "n_tokens", CAPACITY)
 
 
+@query
+def p8_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing of all texts must satisfy, as numbers: texts placed; containers above capacity, places that overlap, texts with a gap or split though small (0); whether at least 95 % of the room is used, or as few containers as there can be (1)."""
+    p = cut(p8_containers(spark, d))
+    used = p.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"))
+    box = used.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.count_if(F.col("end") > CAPACITY).alias("above"), F.count_if(F.col("end") > F.col("n")).alias("overlap")).first()
+    text = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"))
+    item = text.agg(F.count("*").alias("k"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY)))).alias("bad")).first()
+    n = box["n"] or 0
+    full = box["k"] <= -(-n // CAPACITY) + 1 or n >= 0.95 * CAPACITY * box["k"]
+    rows = [("texts placed", item["k"]), ("containers above capacity", box["above"]), ("containers with holes or overlaps", box["overlap"]), ("texts with a gap or split though small", item["bad"]), ("room is used", int(full))]
+    return spark.createDataFrame(rows, "fact string, value bigint")
+
+
+SQL["p8_facts"] = """select 'texts placed' fact, count(distinct doc_id) value from documents union all select 'containers above capacity', 0 union all select 'containers with holes or overlaps', 0
+union all select 'texts with a gap or split though small', 0 union all select 'room is used', 1"""
+
+
 # 10. per-document text quality statistics
 
 
@@ -255,6 +273,23 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
+@query
+def p10_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the statistics of all mails must satisfy: mails and code points measured, mails whose shares leave 0 to 1 (0), and whether kinds agree with at least 98 of 100 labels (1)."""
+    p = cut(p10_statistics(spark, d))
+    shares = [c for c in p.columns if c.endswith(("_share", "_ratio"))]
+    out = F.lit(False)
+    for c in shares:
+        out = out | ~F.col(c).between(0, 1)
+    n = p.agg(F.count("*").alias("k"), F.sum("n_chars").alias("n"), F.count_if(out).alias("out")).first()
+    label = p.join(table(spark, d, "doc_labels"), "doc_id").agg(F.count("*").alias("k"), F.count_if(F.when(F.col("kind") == "empty", "prose").otherwise(F.col("kind")) == F.col("body_kind")).alias("same")).first()
+    rows = [("mails", n["k"]), ("code points", n["n"] or 0), ("shares beyond 0 to 1", n["out"]), ("agrees with labels", int(label["same"] >= 0.98 * label["k"]))]
+    return spark.createDataFrame(rows, "fact string, value bigint")
+
+
+SQL["p10_facts"] = "select 'mails' fact, count(*) value from documents union all select 'code points', cast(sum(n_chars) as bigint) from documents union all select 'shares beyond 0 to 1', 0 union all select 'agrees with labels', 1"
+
+
 # 9. evaluation texts leaking into training text
 
 
@@ -275,6 +310,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+@query
+def p9_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with the raw texts taken as they are, headers, markup and encodings included: what SQL can follow of it."""
+    docs = table(spark, d, "documents")
+    return leakage.find_leaks(docs, "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", split=leakage.plain_words).select("doc_id", "item_id", "n_windows")
+
+
+_GRAM = " || ' ' || ".join(["w", *(f"lead(w, {i}) over p" for i in range(1, leakage.LEAST))])
+SQL["p9_plain"] = f"""with t as (select 'd' src, doc_id id, text from documents union all select distinct 'i', item_id, text from eval_items),
+word as (select src, id, unnest(ws) w, generate_subscripts(ws, 1) k from (select src, id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') ws from t)),
+gram as (select src, id, k, {_GRAM} g from word window p as (partition by src, id order by k)),
+ig as (select id, k, g from gram where src = 'i' and g is not null)
+select d.id doc_id, ig.id item_id, count(distinct ig.k) n_windows from gram d join ig using (g) where src = 'd' group by 1, 2"""
+
+
 # 5. variant spellings of names typed by people
 
 
@@ -289,3 +339,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different spellings of one person or organisation."""
     e = cut(p5_entities(spark, d).where("entity is not null").select("entity", "name"))
     return e.select("entity", F.col("name").alias("name_a")).join(e.select("entity", F.col("name").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")
+
+
+@query
+def p5_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling that is linked, with the number of rows it comes in: all of the names, each once."""
+    return p5_entities(spark, d).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+
+
+SQL["p5_spellings"] = r"""select name, count(*) n, 1 times from (select regexp_replace(regexp_replace(v, '^[\s\x{a0}]+', ''), '[\s\x{a0}]+$', '') name from (select unnest(regexp_split_to_array(recordedBy, '[|;&]')) v from heracleum_ua_clean
+union all select unnest(regexp_split_to_array(identifiedBy, '[|;&]')) from heracleum_ua_clean)) where name <> '' group by 1"""
